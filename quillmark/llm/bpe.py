@@ -14,8 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-#: Entries of a cache, emptied when full; longer words aren't kept.
-CACHE, CACHED_LENGTH = 400_000, 48
+#: Entries of a worker's cache; a full one takes no more (frequent words come early). Longer words aren't kept.
+CACHE, CACHED_LENGTH = 800_000, 48
 
 
 class PrefixBPE:
@@ -68,8 +68,6 @@ class PrefixBPE:
         key = (a, b)
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 4 * CACHE:
-                self._fits.clear()
             sa, sb = self._spine(a), self._spine(b)
             if sa is None or sb is None:
                 known = False
@@ -77,7 +75,8 @@ class PrefixBPE:
                 known = self.merged(a + b) == [a, b]
             else:
                 known = self._side_by_side(sa[0], sb[1])
-            self._fits[key] = known
+            if len(self._fits) < CACHE:
+                self._fits[key] = known
         return known
 
     def _side_by_side(self, xs: list, ys: list) -> bool:

@@ -37,9 +37,7 @@ class ByteBPE:
     def _piece(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "surrogatepass")
         ids = np.array([self.ranks[t] for t in self.bpe.walk(self.bpe.last_tokens(data))], "<u4").tobytes()
-        if len(piece) <= CACHED_LENGTH:
-            if len(self._cache) > CACHE:
-                self._cache.clear()
+        if len(piece) <= CACHED_LENGTH and len(self._cache) < CACHE:
             self._cache[piece] = ids
         return ids
 

@@ -56,15 +56,10 @@ class PrefixCounts:
                 own = 1 if len(t) > 1 or t in self._single else len(t.encode("utf-8", "surrogatepass"))
                 counts.append(own + (counts[i - len(t)] if i >= len(t) else 0))
             known = np.array(counts, np.int32)
-            self._keep(w, known)
+            if len(w) <= CACHED_LENGTH and len(self._words) < CACHE // 8:
+                self._words[w] = known
         return known
 
-    def _keep(self, w: str, counts: np.ndarray) -> None:
-        if len(w) <= CACHED_LENGTH:
-            if len(self._words) > CACHE:
-                self._words.clear()
-            self._words[w] = counts
-
     def _joins(self, w: str) -> bool:
         """Whether the space before w goes into w's first token."""
         return bool(w) and len(self._bpe.walk(self._bpe.last_tokens(SPACE + w))[0]) > 1
@@ -81,9 +76,7 @@ class PrefixCounts:
                 n = totals.get(w)
                 if n is None:
                     n = int(self.word(w)[-1])
-                    if len(w) <= CACHED_LENGTH:
-                        if len(totals) > CACHE:
-                            totals.clear()
+                    if len(w) <= CACHED_LENGTH and len(totals) < CACHE:
                         totals[w] = n
                 if spaces:
                     out += self._spaces(spaces) if self._joins(w) else self._spaces(spaces + 1) - 1
