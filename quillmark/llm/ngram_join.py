@@ -11,12 +11,17 @@ features, so they agree on at least n1 - k ranges: the signature of a range is a
 it, and linked sets share one. Ranges in which a set has no feature are left out where the set has fewer than
 n1 - k of them (then at least one shared range isn't empty); the other sets keep them all. Nothing is lost.
 
-Buckets of equal signatures are joined without emitting their pairs: first each member with the bucket's smallest
-node only. Candidates pass two exact tests: sizes, and parity sketches (the parities of the counts of features in
-2^j classes differ in at most |A ^ B| places); survivors are verified on whole sets. Verified links are contracted
-to components, and only buckets that still hold several components are looked at again, member against member of
-another component, by sketches inside the bucket; buckets are dealt in blocks of BLOCK members, so no task holds a
-whole large one. Links between members of one component can't change the result and aren't made.
+Buckets of equal signatures are joined without emitting their pairs: first each member with the bucket's hub only.
+Candidates pass two exact tests: sizes, and parity sketches (the parities of the counts of features in 2^j classes
+differ in at most |A ^ B| places); survivors are verified on whole sets. Verified links are contracted to
+components, and only buckets that still hold several components are looked at again, member against member of
+another component, by sketches inside the bucket, twice: the nearest member of each other component, then, after
+another contraction, all that are left. Links between members of one component can't change the result.
+
+Of buckets with more than SMALL nodes (a passage that many documents share), only those members are looked at again
+that a small bucket may not have served: linked sets agree on n1 - k ranges, so if fewer of a set's ranges are empty
+or lie in large buckets, it shares a small bucket with each partner. What is left of a large bucket is dealt in
+blocks, so no task holds a whole one. Pairs of two lower members are found in their own band and skipped.
 
 A node is a 64-bit hash of a set; documents with equal sets are one node. Two different sets get one hash with
 probability 2^-64 a pair; then they count as equal.
@@ -24,6 +29,7 @@ probability 2^-64 a pair; then they count as equal.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +45,11 @@ WIDTH, NUM, DEN = 5, 75, 100
 SPARE = 1.15
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 512
-#: Entries of a worker's word cache, emptied when full.
-CACHE = 400_000
+#: Buckets of more nodes are large.
+SMALL = 32
+#: Nodes that a task remembers so as to make their signatures once.
+SEEN = 400_000
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -53,38 +60,78 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash; the caller empties it when it is large."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = WordHashes()
+def _powers(n: int) -> np.ndarray:
+    """1, B, B^2, ... modulo 2^64 for an odd B, and the inverses."""
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]))
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: A random number for each byte; 0 for white space.
+_BYTE = np.array([0 if b in b" \t\n\v\f\r" else int.from_bytes(hashlib.sha256(bytes([b])).digest()[:8], "little") | 1 for b in range(256)], np.uint64)
+_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+#: Bytes of text that are hashed in one go; longer texts take a run of their own.
+CHUNK = 1 << 18
+_tables: dict[str, np.ndarray] = {}
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first bytes, 64-bit hashes) of the words in data, which ends with white space."""
+    if len(_tables.get("up", ())) <= len(data):
+        n = max(len(data), CHUNK)
+        with np.errstate(over="ignore"):
+            _tables["up"] = _powers(n)
+            _tables["down"] = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]))
+    value = _BYTE[data]
+    word = value != 0
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if len(word) and word[0]:
+        edge = np.r_[0, edge]
+    start, stop = edge[::2], edge[1::2]
+    with np.errstate(over="ignore"):
+        total = np.cumsum(value * _tables["up"][: len(data)])
+        before = np.where(start > 0, total[start - 1], np.uint64(0))
+        return start, mix((total[stop - 1] - before) * _tables["down"][start] + (stop - start).astype(np.uint64))
+
+
+def shingle_sets(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(all sets one behind the other, size of each text's set): sorted distinct 64-bit hashes of the shingles."""
+    flat, sizes, i = [], [], 0
+    while i < len(texts):
+        held, chunk = 0, []
+        while i < len(texts) and (not chunk or held < CHUNK):
+            chunk.append((texts[i] or "").encode("utf-8", "surrogatepass"))
+            held += len(chunk[-1]) + 1
+            i += 1
+        stops = np.cumsum([len(c) + 1 for c in chunk])
+        start, h = _words(np.frombuffer(b" ".join(chunk) + b" ", np.uint8))
+        last = np.searchsorted(start, stops)  # words of the texts up to each
+        count = np.diff(last, prepend=0)
+        with np.errstate(over="ignore"):
+            x = h[: max(0, len(h) - WIDTH + 1)].copy()
+            for j in range(1, WIDTH):
+                x = x * _K[0] + h[j : j + len(x)]
+        x = mix(x)
+        for end, n in zip(last.tolist(), count.tolist(), strict=True):
+            if n >= WIDTH:
+                own = np.sort(x[end - n : end - WIDTH + 1])
+                own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            elif n:
+                own = np.array([n], np.uint64)
+                with np.errstate(over="ignore"):
+                    for y in h[end - n : end]:
+                        own = mix(own * _K[0] + y)
+            else:
+                own = h[:0]
+            flat.append(own)
+            sizes.append(len(own))
+    return np.concatenate(flat) if flat else np.empty(0, np.uint64), np.array(sizes, np.int64)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(_words) > CACHE:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    with np.errstate(over="ignore"):
-        if len(words) < WIDTH:
-            x = np.array([len(words)], np.uint64)
-            for y in h:
-                x = mix(x * _K[0] + y)
-            return x
-        n = len(words) - WIDTH + 1
-        x = h[:n].copy()
-        for j in range(1, WIDTH):
-            x = x * _K[0] + h[j : j + n]
-        return np.unique(mix(x))
+    return shingle_sets([text])[0]
 
 
 def node_of(s: np.ndarray) -> int:
@@ -114,107 +161,144 @@ def fold(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _bands(top: int) -> np.ndarray:
-    """First sizes of the bands up to that of size top, and two more."""
+    """First sizes of the bands up to that of size top, and of those behind it."""
     lo = [1]
     while lo[-1] <= top:
         lo.append(lo[-1] * DEN // NUM + 1)
-    return np.array([*lo, lo[-1] * DEN // NUM + 1, (lo[-1] * DEN // NUM + 1) * DEN // NUM + 1, 1 << 60])
+    for _ in range(2):
+        lo.append(lo[-1] * DEN // NUM + 1)
+    return np.array(lo)
+
 
+def _band(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.searchsorted(lo, size, side="right") - 1
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of its set) of sorted, nonempty sets."""
-    size = np.array([len(s) for s in sets], np.int64)
+
+def signatures(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, index of the set of each, spare[step, set]) of sorted, nonempty sets that lie one behind the
+    other in flat. Step 0 is a set's own band, where it is an upper member, step 1 the next, where it is a lower
+    one. The lowest bit of a signature is that of its band's number. spare: how many ranges that linked partners
+    agree on are neither empty nor otherwise accounted for, at least."""
     lo = _bands(int(size.max()))
-    band = np.searchsorted(lo, size, side="right") - 1
-    flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    mixed, high, out, at = mix(flat), flat >> np.uint64(32), [], []
+    band = _band(lo, size)
+    out, at, spare = [], [], np.zeros((2, len(size)), np.int64)
+    mixed, high, ends = mix(flat), flat >> np.uint64(32), np.cumsum(size)
     with np.errstate(over="ignore"):
         for step in (0, 1):
             j = band + step
-            k = 2 * (lo[j + 1] - 1) // 7
+            top, under = lo[j + 1] - 1, lo[j] - 1
+            k = 2 * top // 7
             n1 = np.ceil(SPARE * k + 1).astype(np.int64)
-            p = (high * n1.astype(np.uint64)[doc]) >> np.uint64(32)
-            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (p[1:] != p[:-1])])
-            d, q = doc[first], p[first]
+            agree = n1 - (k if step == 0 else (top + under) // 7)
+            p = (high * np.repeat(n1.astype(np.uint64), size)) >> np.uint64(32)
+            new = np.empty(len(p), bool)
+            new[0] = True
+            np.not_equal(p[1:], p[:-1], out=new[1:])
+            new[ends[:-1]] = True
+            first = np.flatnonzero(new)
+            d, q = np.searchsorted(ends, first, side="right"), p[first]
+            parity = (j & 1).astype(np.uint64)
             sig = mix(np.add.reduceat(mixed, first) + q * _K[2] + j[d].astype(np.uint64) * _K[1])
-            out.append(sig)
+            out.append((sig & ~np.uint64(1)) | parity[d])
             at.append(d)
-            empty = n1 - np.bincount(d, minlength=len(sets))
-            for i in np.flatnonzero(empty >= n1 - k):
-                missing = np.setdiff1d(np.arange(n1[i], dtype=np.uint64), q[d == i])
-                out.append(mix(missing * _K[2] + np.uint64(j[i]) * _K[1]))
+            empty = n1 - np.bincount(d, minlength=len(size))
+            spare[step] = agree - empty
+            for i in np.flatnonzero(spare[step] <= 0):
+                lack = np.ones(int(n1[i]), bool)
+                lack[q[np.searchsorted(d, i) : np.searchsorted(d, i, side="right")].astype(np.int64)] = False
+                missing = np.flatnonzero(lack).astype(np.uint64)
+                out.append((mix(missing * _K[2] + np.uint64(j[i]) * _K[1]) & ~np.uint64(1)) | parity[i])
                 at.append(np.full(len(missing), i))
-    return np.concatenate(out), np.concatenate(at)
+    return np.concatenate(out), np.concatenate(at), spare
+
+
+_TYPES = {"part": pa.int32(), "kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "n": pa.int32(), "blob": pa.binary()}
+_ROW = "kind int, a long, b long, n int, blob binary"
+
+
+def _rows(kind: int, a=None, b=None, n=None, blob=None, part=None) -> pa.RecordBatch:
+    got = {"a": a, "b": b, "n": n, "blob": blob, "part": part}
+    m = len(next(v for v in got.values() if v is not None))
+    got = {k: pa.nulls(m, _TYPES[k]) if v is None else pa.array(v, _TYPES[k]) for k, v in got.items()} | {"kind": pa.array(np.full(m, kind, np.int32))}
+    names = (["part"] if part is not None else []) + ["kind", "a", "b", "n", "blob"]
+    return pa.RecordBatch.from_arrays([got[k] for k in names], names)
 
 
 def _emit(parts: int):
-    """Documents -> packed signatures for each part (kind 0), and sketches (kind 1) and documents (kind 4)."""
+    """Documents -> for each part: packed signatures (kind 0), sketches (1), documents (4), spares (7)."""
+
+    def flush(ids: list, nodes: list[int], sizes: list[int], own: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        node = np.array(nodes, np.int64)
+        yield _rows(4, node, ids, sizes, part=(node % parts).astype(np.int32))
+        if not sets:
+            return
+        node, size = np.array(own, np.int64), np.array([len(s) for s in sets], np.int64)
+        part = (node % parts).astype(np.int32)
+        yield _rows(1, node, n=size, blob=[sketch(s) for s in sets], part=part)
+        sig, at, spare, i = [], [], [], 0
+        while i < len(sets):  # a few sets at a time stay in the processor's cache
+            j, held = i, 0
+            while j < len(sets) and held < CHUNK // 4:
+                held += len(sets[j])
+                j += 1
+            s, a, e = signatures(np.concatenate(sets[i:j]), size[i:j])
+            sig.append(s)
+            at.append(a + i)
+            spare.append(e)
+            i = j
+        sig, at, spare = np.concatenate(sig), np.concatenate(at), np.concatenate(spare, axis=1)
+        for step in (0, 1):
+            yield _rows(7, node, np.full(len(node), step), spare[step].astype(np.int32), part=part)
+        to = ((sig >> np.uint64(40)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int32)
+        order = np.argsort(to, kind="stable")
+        sig, at, to = sig[order], at[order], to[order]
+        low = np.ascontiguousarray(sig.view(np.uint8).reshape(-1, 8)[:, :5])
+        cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+        blobs, counts = [], []
+        for x, y in zip(cut, [*cut[1:], len(to)], strict=True):
+            here, local = np.unique(at[x:y], return_inverse=True)
+            blobs.append(node[here].tobytes() + size[here].astype(np.int32).tobytes() + local.astype(np.uint16).tobytes() + low[x:y].tobytes())
+            counts.append(len(here))
+        for x in range(0, len(blobs), 1000):
+            yield _rows(0, n=counts[x : x + 1000], blob=blobs[x : x + 1000], part=to[cut[x : x + 1000]].astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        ids: list = []
-        nodes: list[int] = []
-        sizes: list[int] = []
-        sets: list[np.ndarray] = []
-        own: list[int] = []
+        held: tuple[list, ...] = ([], [], [], [], [])
         weight = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows: dict[str, list] = {"part": [], "kind": [], "a": [], "b": [], "n": [], "blob": []}
-
-            def put(part, kind, a, b, n, blob):
-                for key, v in zip(rows, (part, kind, a, b, n, blob), strict=True):
-                    rows[key].append(v)
-
-            for i, node, n in zip(ids, nodes, sizes, strict=True):
-                put(node % parts, 4, node, i, n, None)
-            if sets:
-                for node, s in zip(own, sets, strict=True):
-                    put(node % parts, 1, node, None, len(s), sketch(s))
-                sig, at = signatures(sets)
-                part = ((sig >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                sig, at, part = sig[order], at[order], part[order]
-                cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                node_arr, size_arr = np.array(own, np.int64), np.array([len(s) for s in sets], np.int32)
-                for x, y in zip(cut, [*cut[1:], len(part)], strict=True):
-                    here, local = np.unique(at[x:y], return_inverse=True)
-                    low = np.ascontiguousarray(sig[x:y]).view(np.uint8).reshape(-1, 8)[:, :5]
-                    blob = node_arr[here].tobytes() + size_arr[here].tobytes() + local.astype(np.uint16).tobytes() + low.tobytes()
-                    put(int(part[x]), 0, None, None, len(here), blob)
-            types = {"part": pa.int32(), "kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "n": pa.int32(), "blob": pa.binary()}
-            full = pa.RecordBatch.from_pydict({c: pa.array(v, types[c]) for c, v in rows.items()})
-            for x in range(0, full.num_rows, 2000):
-                yield full.slice(x, 2000)
-
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text)
-                node = node_of(s)
-                ids.append(i)
-                nodes.append(node)
-                sizes.append(len(s))
-                if len(s) and node not in seen:
-                    if len(seen) > CACHE:
-                        seen.clear()
-                    seen.add(node)
-                    own.append(node)
-                    sets.append(s)
-                    weight += len(s)
-                if weight > 2_000_000 or len(sets) >= 60_000 or len(ids) >= 200_000:
-                    yield from flush()
+            for x in range(0, batch.num_rows, 500):
+                rows = batch.slice(x, 500)
+                flat, size = shingle_sets(rows.column(1).to_pylist())
+                stop = np.cumsum(size)
+                for i, n, e in zip(rows.column(0).to_pylist(), size.tolist(), stop.tolist(), strict=True):
+                    s = flat[e - n : e]
+                    node = node_of(s)
+                    for v, to in zip((i, node, n), held, strict=False):
+                        to.append(v)
+                    if n and node not in seen:
+                        if len(seen) < SEEN:
+                            seen.add(node)
+                        held[3].append(node)
+                        held[4].append(s)
+                        weight += n
+                if weight > 2_000_000 or len(held[4]) >= 60_000 or len(held[0]) >= 200_000:
+                    yield from flush(*held)
                     weight = 0
-                    for x in (ids, nodes, sizes, sets, own):
-                        x.clear()
-        if ids:
-            yield from flush()
+                    for v in held:
+                        v.clear()
+        if held[0]:
+            yield from flush(*held)
 
     return run
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed signatures of whole parts -> candidate pairs with a bucket's smallest node (kind 2), and the buckets
-    of three or more nodes (kind 3); other kinds pass through."""
+    """Packed signatures of whole parts -> candidate pairs with a bucket's hub, its smallest upper node (kind 2);
+    buckets of three or more nodes, small (3) and large (5); how many large buckets a (node, step) is in (6); other
+    kinds pass through. A bucket without upper members has nothing to find."""
+    import xxhash
+
     sig, node, size, part_of = [], [], [], []
     for batch in batches:
         kind = batch.column("kind").to_numpy()
@@ -230,52 +314,64 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig.append(low.view(np.uint64).ravel())
             node.append(np.frombuffer(blob, np.int64, n)[local])
             size.append(np.frombuffer(blob, np.int32, n, 8 * n)[local])
-            part_of.append(np.full(m, batch.column("part")[i].as_py(), np.int32))
+            part_of.append(batch.column("part")[i].as_py())
     if not sig:
         return
-    s, v, n, q = (np.concatenate(x) for x in (sig, node, size, part_of))
-    order = np.lexsort((v, s, q)) if len(np.unique(q)) > 1 else np.lexsort((v, s))
-    s, v, n, q = s[order], v[order], n[order], q[order]
-    new = np.r_[True, (s[1:] != s[:-1]) | (q[1:] != q[:-1])]
-    keep = new | np.r_[True, v[1:] != v[:-1]]  # a node once in each bucket
+    lengths = [len(x) for x in sig]
+    s, v, n = (np.concatenate(x) for x in (sig, node, size))
+    which = np.unique(part_of, return_inverse=True)[1].astype(np.uint64)
+    s |= np.repeat(which, lengths) << np.uint64(40)  # parts that share this task stay apart
+    order = np.argsort(s, kind="stable")
+    t = s[order]
+    same = t[1:] == t[:-1]
+    order = order[np.r_[False, same] | np.r_[same, False]]  # without what is alone
+    s, v, n = s[order], v[order], n[order]
+    order = np.lexsort((v, s))
+    s, v, n = s[order], v[order], n[order]
+    new = np.r_[True, s[1:] != s[:-1]][: len(s)]
+    keep = new | np.r_[True, v[1:] != v[:-1]][: len(s)]  # a node once in each bucket
     s, v, n, new = s[keep], v[keep], n[keep], new[keep]
+    if not len(s):
+        return
+    lower = ((_band(_bands(int(n.max())), n) & 1) != (s & np.uint64(1)).astype(np.int64)).astype(np.uint8)
     first = np.flatnonzero(new)
     count = np.diff(np.r_[first, len(s)])
-    hub = np.repeat(first, count)
-    here = np.flatnonzero(hub != np.arange(len(s)))
-    small, large = np.minimum(n[here], n[hub[here]]).astype(np.int64), np.maximum(n[here], n[hub[here]]).astype(np.int64)
+    place = np.where(lower == 0, np.arange(len(s)), len(s))
+    hub = np.minimum.reduceat(place, first)
+    some = hub < len(s)
+    at = np.repeat(np.where(some, hub, 0), count)
+    here = np.flatnonzero(np.repeat(some, count) & (at != np.arange(len(s))))
+    small, large = np.minimum(n[here], n[at[here]]).astype(np.int64), np.maximum(n[here], n[at[here]]).astype(np.int64)
     here = here[DEN * small >= NUM * large]
-    pairs = np.unique(np.stack([v[hub[here]], v[here]], 1), axis=0) if len(here) else np.empty((0, 2), np.int64)
-    empty = lambda m, t: pa.nulls(m, t)
-    for x in range(0, len(pairs), 50_000):
-        y = pairs[x : x + 50_000]
-        m = len(y)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 2, np.int32)), pa.array(np.ascontiguousarray(y[:, 0])), pa.array(np.ascontiguousarray(y[:, 1])), empty(m, pa.int32()), empty(m, pa.binary())], ["kind", "a", "b", "n", "blob"])
-    lists = list({v[x : x + c].tobytes() for x, c in zip(first[count > 2], count[count > 2], strict=True)})
-    import xxhash
-
-    for x in range(0, len(lists), 5000):
-        y = lists[x : x + 5000]
-        m = len(y)
-        name = np.array([xxhash.xxh3_64_intdigest(b) for b in y], np.uint64).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 3, np.int32)), pa.array(name), empty(m, pa.int64()), pa.array(np.array([len(b) // 8 for b in y], np.int32)), pa.array(y, pa.binary())], ["kind", "a", "b", "n", "blob"])
+    if len(here):
+        pairs = np.unique(np.stack([np.minimum(v[at[here]], v[here]), np.maximum(v[at[here]], v[here])], 1), axis=0)
+        for x in range(0, len(pairs), 50_000):
+            y = pairs[x : x + 50_000]
+            yield _rows(2, np.ascontiguousarray(y[:, 0]), np.ascontiguousarray(y[:, 1]))
+    for kind, of in ((3, some & (count > 2) & (count <= SMALL)), (5, some & (count > SMALL))):
+        lists = list({v[x : x + c].tobytes() + lower[x : x + c].tobytes() for x, c in zip(first[of], count[of], strict=True)})
+        for x in range(0, len(lists), 5000):
+            y = lists[x : x + 5000]
+            name = np.array([xxhash.xxh3_64_intdigest(b) for b in y], np.uint64).astype(np.int64)
+            yield _rows(kind, name, n=[len(b) // 9 for b in y], blob=y)
+        if kind == 5 and of.any():
+            at = np.repeat(of, count)
+            for step in (0, 1):
+                who, often = np.unique(v[at & (lower == step)], return_counts=True)
+                yield _rows(6, who, np.full(len(who), step), often.astype(np.int32))
 
 
 def _near(xa: list[bytes], xb: list[bytes], na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Which pairs of sketches may belong to linked sets."""
     ok = np.zeros(len(xa), bool)
-    wide = np.array([min(len(a), len(b)) for a, b in zip(xa, xb, strict=True)])
-    la, lb = np.array([len(a) for a in xa]), np.array([len(b) for b in xb])
-    groups = {}
-    for i, key in enumerate(zip(la.tolist(), lb.tolist(), strict=True)):
-        groups.setdefault(key, []).append(i)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, (a, b) in enumerate(zip(xa, xb, strict=True)):
+        groups.setdefault((len(a), len(b)), []).append(i)
     for (p, q), at in groups.items():
-        a = np.frombuffer(b"".join([xa[i] for i in at]), np.uint8).reshape(-1, p)
-        b = np.frombuffer(b"".join([xb[i] for i in at]), np.uint8).reshape(-1, q)
-        w = min(p, q)
-        diff = np.bitwise_count(fold(a, w) ^ fold(b, w)).sum(1)
-        ok[at] = diff <= (na[at].astype(np.int64) + nb[at]) // 7
-    assert len(wide) == len(ok)
+        a = np.frombuffer(b"".join([xa[i] for i in at]), np.uint64).reshape(-1, p // 8)
+        b = np.frombuffer(b"".join([xb[i] for i in at]), np.uint64).reshape(-1, q // 8)
+        w = min(p, q) // 8
+        ok[at] = np.bitwise_count(fold(a, w) ^ fold(b, w)).sum(1, dtype=np.int64) <= (na[at].astype(np.int64) + nb[at]) // 7
     return ok
 
 
@@ -305,10 +401,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
-        blobs = [shingles(t).tobytes() for t in x.column("text").to_pylist()]
-        for i in range(0, len(blobs), 500):
+        for i in range(0, x.num_rows, 500):
             y = x.slice(i, 500)
-            yield pa.RecordBatch.from_arrays([y.column("node"), pa.array(blobs[i : i + 500], pa.binary())], ["node", "blob"])
+            flat, size = shingle_sets(y.column("text").to_pylist())
+            stop = np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([y.column("node"), pa.array([flat[e - n : e].tobytes() for n, e in zip(size, stop, strict=True)], pa.binary())], ["node", "blob"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
@@ -324,63 +421,85 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of block pairs, sorted by (bucket, x, y): candidate pairs across components."""
-    key, rows = None, []
+def _blocks(best: bool):
+    """Rows of block pairs, sorted by (bucket, x, y) -> candidate pairs across components; with best, only the
+    nearest candidate of each node in each other component."""
 
-    def done() -> pa.RecordBatch | None:
-        left, right = [r for r in rows if r[0] in (0, 2)], [r for r in rows if r[0] in (1, 2)]
-        right = right if key[1] != key[2] else left
+    def pairs(rows: list[list], diagonal: bool) -> pa.RecordBatch | None:
+        left = [r for r in rows if r[0] != 1]
+        right = left if diagonal else [r for r in rows if r[0] == 1]
         if not left or not right:
             return None
-        out_a, out_b = [], []
-        by: dict[int, list] = {}
-        for r in right:
-            by.setdefault(len(r[4]), []).append(r)
-        for width, rs in by.items():
-            x = np.frombuffer(b"".join([r[4] for r in rs]), np.uint8).reshape(-1, width)
-            v, c, n = (np.array([r[i] for r in rs], np.int64) for i in (1, 2, 3))
-            for _, node, comp, m, sk in left:
-                at = np.flatnonzero((c != comp) & (node < v if key[1] == key[2] else v != node) & (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)))
-                if not len(at):
-                    continue
-                w = min(width, len(sk))
-                diff = np.bitwise_count(fold(x[at], w) ^ fold(np.frombuffer(sk, np.uint8), w)).sum(1)
-                for i in at[diff <= (n[at] + m) // 7]:
-                    out_a.append(min(node, int(v[i])))
-                    out_b.append(max(node, int(v[i])))
-        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+        w = min(len(r[5]) for r in rows)
+        sk = lambda rs: np.concatenate([fold(np.frombuffer(r[5], np.uint64), w // 8)[None] for r in rs])
+        a, b = sk(left), sk(right)
+        (va, ca, na, la), (vb, cb, nb, lb) = ([np.array([r[i] for r in rs], np.int64) for i in (1, 2, 3, 4)] for rs in (left, right))
+        out = []
+        step = max(1, (1 << 20) // (len(right) * w))
+        for x in range(0, len(left), step):
+            y = slice(x, x + step)
+            n, m = na[y, None], nb[None]
+            ok = (ca[y, None] != cb[None]) & (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & ~((la[y, None] & lb[None]) == 1)
+            if diagonal:
+                ok &= np.arange(len(left))[y, None] < np.arange(len(right))[None]
+            i, j = np.nonzero(ok)
+            if not len(i):
+                continue
+            diff = np.bitwise_count(a[y][i] ^ b[j]).sum(1, dtype=np.int64)
+            limit = (na[y][i] + nb[j]) // 7
+            near = diff <= limit
+            i, j, diff, limit = i[near], j[near], diff[near], limit[near]
+            if best and len(i):
+                order = np.lexsort((diff / np.maximum(limit, 1), cb[j], i))
+                i, j = i[order], j[order]
+                lead = np.r_[True, (i[1:] != i[:-1]) | (cb[j][1:] != cb[j][:-1])]
+                i, j = i[lead], j[lead]
+            out.append((np.minimum(va[y][i], vb[j]), np.maximum(va[y][i], vb[j])))
+        if not out:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["a", "b"])
 
-    for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("bucket", "x", "y", "side", "node", "comp", "n", "blob")]
-        for bucket, x, y, *row in zip(*cols, strict=True):
-            if key != (bucket, x, y):
-                if rows and (out := done()) is not None:
-                    yield out
-                key, rows = (bucket, x, y), []
-            rows.append(row)
-    if rows and (out := done()) is not None:
-        yield out
-
-
-def _across(buckets: DataFrame, comps: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Candidate pairs of nodes of different components that share a bucket."""
-    members = buckets.dropDuplicates(["a"]).select(F.col("a").alias("bucket"), "blob").mapInArrow(_members, "bucket long, i int, node long")
-    members = members.join(comps, "node", "left").select("bucket", "i", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = members.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
-    members = members.join(mixed, "bucket").join(sketches.select("node", "n", F.col("blob")), "node").withColumn("blk", (F.col("i") / BLOCK).cast("int"))
-    one = members.select("bucket", F.col("blk").alias("x"), F.col("blk").alias("y"), F.lit(2).alias("side"), "node", "comp", "n", "blob")
-    more = members.where("nb > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).where("o <> blk")
-    more = more.select("bucket", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), F.when(F.col("blk") < F.col("o"), 0).otherwise(1).alias("side"), "node", "comp", "n", "blob")
-    dealt = one.union(more).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return dealt.mapInArrow(_blocks, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("bucket", "x", "y", "side", "node", "comp", "n", "lower", "blob")]
+            for bucket, x, y, *row in zip(*cols, strict=True):
+                if key != (bucket, x, y):
+                    if rows and (out := pairs(rows, key[1] == key[2])) is not None:
+                        yield out
+                    key, rows = (bucket, x, y), []
+                rows.append(row)
+        if rows and (out := pairs(rows, key[1] == key[2])) is not None:
+            yield out
+
+    return run
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
-        for bucket, blob in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-            v = np.frombuffer(blob, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), bucket, np.int64)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["bucket", "i", "node"])
+        blobs = x.column(1).to_pylist()
+        size = np.array([len(b) // 9 for b in blobs], np.int64)
+        if not len(blobs):
+            continue
+        v = np.concatenate([np.frombuffer(b, np.int64, n) for b, n in zip(blobs, size, strict=True)])
+        low = np.concatenate([np.frombuffer(b, np.uint8, n, 8 * n) for b, n in zip(blobs, size, strict=True)])
+        bucket = np.repeat(x.column(0).to_numpy(), size)
+        for i in range(0, len(v), 100_000):
+            y = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[y]), pa.array(v[y]), pa.array(low[y].astype(np.int32))], ["bucket", "node", "lower"])
+
+
+def _across(members: DataFrame, comps: DataFrame, sketches: DataFrame, best: bool) -> DataFrame:
+    """Candidate pairs of nodes of different components that share a bucket."""
+    named = members.join(comps, "node", "left").select("bucket", "node", "lower", F.coalesce("component", "node").alias("comp"))
+    mixed = named.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
+    named = named.join(mixed, "bucket").join(sketches, "node").withColumn("blk", F.pmod(F.xxhash64("node"), "nb").cast("int"))
+    cols = ("node", "comp", "n", "lower", "blob")
+    one = named.select("bucket", F.col("blk").alias("x"), F.col("blk").alias("y"), F.lit(2).alias("side"), *cols)
+    more = named.where("nb > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).where("o <> blk")
+    more = more.select("bucket", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), F.when(F.col("blk") < F.col("o"), 0).otherwise(1).alias("side"), *cols)
+    dealt = one.union(more).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return common.stage(dealt.mapInArrow(_blocks(best), "a long, b long").distinct(), "join-rest")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,17 +518,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = common.stage(emitted.repartitionById(parts, "part").mapInArrow(_bucket, "kind int, a long, b long, n int, blob binary"), "join-found", ["kind"])
     of = lambda k: found.where(F.col("kind") == k)
     own = of(4).select(F.col("a").alias("node"), F.col("b").alias("id"), F.col("n").alias("n_shingles"))
-    sketches = of(1).dropDuplicates(["a"]).select(F.col("a").alias("node"), "n", "blob")
+    sketches = of(1).select(F.col("a").alias("node"), "n", "blob").dropDuplicates(["node"])
     first = own.where("n_shingles > 0 and id is not null").groupBy("node").agg(F.min("id").alias("doc"))
     sa, sb = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("blob").alias(f"x{c}")) for c in "ab")
     texts = docs.where("__id is not null")
     near = of(2).select("a", "b").distinct().join(sa, "a").join(sb, "b").mapInArrow(_sketch_test, "a long, b long")
-    near = common.stage(near, "join-near")
-    links = _verified(near, texts, first)
+    links = _verified(common.stage(near, "join-near"), texts, first)
     comps = components_of(links)
-    rest = common.stage(_across(of(3), comps, sketches), "join-rest")
-    more = _verified(rest, texts, first)
-    comps = components_of(links.union(more))
+    listed = lambda k: of(k).dropDuplicates(["a"]).select("a", "blob").mapInArrow(_members, "bucket long, node long, lower int")
+    spare = of(7).groupBy("a", "b").agg(F.min("n").alias("spare"))
+    heavy = of(6).groupBy("a", "b").agg(F.sum("n").alias("large")).join(spare, ["a", "b"]).where("large >= spare").select(F.col("a").alias("node"), F.col("b").cast("int").alias("lower"))
+    members = common.stage(listed(3).union(listed(5).join(heavy, ["node", "lower"]).select("bucket", "node", "lower")), "join-members")
+    for best in (True, False):
+        links = links.union(_verified(_across(members, comps, sketches, best), texts, first))
+        comps = components_of(links)
     named = own.join(comps, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("c"))
     least = named.where("n_shingles > 0").groupBy("c").agg(F.min("id").alias("least"))
     out = named.where("n_shingles > 0").join(least, "c").select("id", "n_shingles", F.col("least").alias("component_id"))
