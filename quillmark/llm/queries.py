@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import byte_bpe, ngram_join, packing, quality, range_join, sharding, token_counts, token_files, toxicity
+from quillmark.llm import byte_bpe, html_extract, ngram_join, packing, quality, range_join, sharding, token_counts, token_files, toxicity
 from quillmark.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate_documents(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join.cosine_components(table(spark, sf_dir, "embeddings"))
 
