@@ -12,7 +12,7 @@ before that if its rank is lower (the leftmost of equal merges goes first).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 #: Entries of a worker's cache; a full one takes no more (frequent words come early). Longer words aren't kept.
 CACHE, CACHED_LENGTH = 800_000, 48
@@ -97,17 +97,40 @@ class PrefixBPE:
     def last_tokens(self, data, known: Sequence = ()) -> list:
         """Each prefix's valid last token, for lengths 1, 2, ...; known: those of a prefix that is done already."""
         last = list(known)
-        longest, merge, fits = self._longest, self._merge, self.fits
+        longest, merge, pairs, fits = self._longest, self._merge, self._fits, self.fits
         for i in range(len(last) + 1, len(data) + 1):
-            for n in range(min(i, longest.get(data[i - 1 : i], 1)), 1, -1):
+            most = longest.get(data[i - 1 : i], 1)
+            for n in range(min(i - 1, most), 1, -1):
                 t = data[i - n : i]
-                if t in merge and (self._spine(t) is not None if n == i else fits(last[i - n - 1], t)):
-                    break
-            else:
+                if t in merge:
+                    before = last[i - n - 1]
+                    ok = pairs.get((before, t))
+                    if ok or ok is None and fits(before, t):
+                        break
+            else:  # no token that something stands before: one that starts the text, or a single unit
                 t = data[i - 1 : i]
+                if 1 < i <= most and (whole := data[:i]) in merge and self._spine(whole) is not None:
+                    t = whole
             last.append(t)
         return last
 
+    def tables(self, words: Iterable) -> Iterator[tuple]:
+        """(word, number of prefixes shared with the word before, its last tokens) of words, in sorted order: each
+        table starts from the prefixes it shares with the one before."""
+        before, last = None, []
+        for w in sorted(words):
+            n = 0
+            if before is not None:
+                most = min(len(w), len(before))
+                if w[:most] == before[:most]:
+                    n = most
+                else:
+                    while w[n] == before[n]:
+                        n += 1
+            last = self.last_tokens(w, last[:n])
+            yield w, n, last
+            before = w
+
     @staticmethod
     def walk(last: Sequence, end: int | None = None) -> list:
         """The tokens of the prefix of length end (all by default)."""

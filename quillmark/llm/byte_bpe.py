@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -34,17 +35,25 @@ class ByteBPE:
     def pieces(self, text: str) -> list[str]:
         return self._find(text)
 
-    def _piece(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "surrogatepass")
-        ids = np.array([self.ranks[t] for t in self.bpe.walk(self.bpe.last_tokens(data))], "<u4").tobytes()
-        if len(piece) <= CACHED_LENGTH and len(self._cache) < CACHE:
-            self._cache[piece] = ids
-        return ids
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of new pieces, from tables that share their prefixes."""
+        ranks, walk = self.ranks, self.bpe.walk
+        made = {w: array("I", [ranks[t] for t in walk(last)]).tobytes() for w, _, last in self.bpe.tables(p.encode("utf-8", "surrogatepass") for p in pieces)}
+        return {p: made[p.encode("utf-8", "surrogatepass")] for p in pieces}
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as little-endian 32-bit numbers."""
+        pieces = [self._find(t) for t in texts]
+        known = self._cache
+        new = self._learn(set(chain.from_iterable(pieces)).difference(known))
+        if len(known) + len(new) <= CACHE:
+            known.update((p, i) for p, i in new.items() if len(p) <= CACHED_LENGTH)
+            new = {p: i for p, i in new.items() if len(p) > CACHED_LENGTH}
+        get = known.__getitem__ if not new else lambda p: known[p] if p in known else new[p]
+        return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in pieces]
 
     def encode(self, text: str) -> np.ndarray:
-        """The ids, as little-endian 32-bit numbers."""
-        known, make = self._cache.get, self._piece
-        return np.frombuffer(b"".join([known(p) or make(p) for p in self._find(text)]), "<u4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self._bytes.__getitem__, np.asarray(ids).tolist()))
@@ -102,13 +111,13 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
             for x in range(0, batch.num_rows, 500):
                 rows = batch.slice(x, 500)
                 n, sha, back, same, kept = [], [], [], [], []
-                for text in rows.column(1).to_pylist():
-                    got = coder.encode(text or "")
+                texts = [t or "" for t in rows.column(1).to_pylist()]
+                for text, got in zip(texts, coder.encode_all(texts), strict=True):
                     data = coder.decode(got)
                     n.append(len(got))
                     sha.append(hashlib.sha256(got.tobytes()).hexdigest())
                     back.append(hashlib.sha256(data).hexdigest())
-                    same.append(data == (text or "").encode("utf-8", "surrogatepass"))
+                    same.append(data == text.encode("utf-8", "surrogatepass"))
                     if ids:
                         kept.append(got.astype(np.int64))
                 cols, names = [rows.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(back), pa.array(same)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ class PrefixCounts:
         self._bpe = PrefixBPE(ranks, {t: r for t, r in ranks.items() if len(t) > 1 and set(t) != {SPACE}})
         self._run = [0, *(len(sp.encode(" " * k)) if k else 1 for k in range(RUN))]
         self._words: dict[str, np.ndarray] = {}
-        self._totals: dict[str, int] = {"": 1}
+        self._totals: dict[str, int] = {"": 0}
 
     def _spaces(self, k: int) -> int:
         """Tokens of k spaces that no word follows."""
@@ -64,27 +65,69 @@ class PrefixCounts:
         """Whether the space before w goes into w's first token."""
         return bool(w) and len(self._bpe.walk(self._bpe.last_tokens(SPACE + w))[0]) > 1
 
+    def _learn(self, words: set[str]) -> dict[str, int]:
+        """Token totals of words that follow one space, new ones from tables that share their prefixes."""
+        new: dict[str, int] = {}
+        counts: list[int] = []
+        single = self._single
+        for w, n, last in self._bpe.tables(SPACE + w for w in words):
+            del counts[n:]
+            for i in range(n, len(last)):
+                t = last[i]
+                k = len(t)
+                own = 1 if k > 1 or t in single else len(t.encode("utf-8", "surrogatepass"))
+                counts.append(own + counts[i - k] if i >= k else own)
+            new[w[1:]] = counts[-1]
+        return new
+
+    def totals(self, texts: list[str], limit: int | None = None) -> list[tuple[int, int | None]]:
+        """(tokens of the whole text, code points of its longest prefix within limit if the text exceeds it)."""
+        split = [t.replace(SPACE, " ").split(" ") for t in texts]
+        known = self._totals
+        new = self._learn(set(chain.from_iterable(split)).difference(known))
+        if len(known) + len(new) <= CACHE:
+            known.update((w, n) for w, n in new.items() if len(w) <= CACHED_LENGTH)
+            new = {w: n for w, n in new.items() if len(w) > CACHED_LENGTH}
+        get = known.__getitem__ if not new else lambda w: known[w] if w in known else new[w]
+        return [self._total(t, words, get, limit) for t, words in zip(texts, split, strict=True)]
+
+    def _total(self, text: str, words: list[str], get, limit: int | None) -> tuple[int, int | None]:
+        if not text:
+            return 0, None
+        own = np.fromiter(map(get, words), np.int64, len(words))
+        empty = np.flatnonzero(own == 0)
+        if len(empty):  # runs of spaces: what they take goes to the word behind them
+            i = 0
+            while i < len(empty):
+                j = i
+                while j + 1 < len(empty) and empty[j + 1] == empty[j] + 1:
+                    j += 1
+                at, spaces = int(empty[j]) + 1, j - i + 1
+                if at == len(words):
+                    own[at - 1] = self._spaces(spaces)
+                else:
+                    own[at] += self._spaces(spaces) if self._joins(words[at]) else self._spaces(spaces + 1) - 1
+                i = j + 1
+        up = np.cumsum(own)
+        total = int(up[-1])
+        if limit is None or total <= limit:
+            return total, None
+        # counts never fall from word to word: the longest prefix ends in the first word that goes over the limit,
+        # or in the spaces before it
+        k = int(np.searchsorted(up, limit, side="right"))
+        first = k
+        while first and not words[first - 1]:
+            first -= 1
+        spaces = k - first
+        if first == 0:
+            return total, int(np.flatnonzero(self.prefixes(" " * spaces + words[k]) <= limit)[-1])
+        done = sum(map(len, words[:first])) + first - 1
+        counts = np.r_[0, self._spaces(1), self.prefixes(" " * spaces + words[k])[1:]]  # its space in front stands in the text
+        return total, done + int(np.flatnonzero(up[first - 1] + counts <= limit)[-1])
+
     def total(self, text: str) -> int:
         """Tokens of the whole text."""
-        if not text:
-            return 0
-        words = text.replace(SPACE, " ").split(" ")
-        totals = self._totals
-        out, spaces = 0, 0
-        for w in words:
-            if w:
-                n = totals.get(w)
-                if n is None:
-                    n = int(self.word(w)[-1])
-                    if len(w) <= CACHED_LENGTH and len(totals) < CACHE:
-                        totals[w] = n
-                if spaces:
-                    out += self._spaces(spaces) if self._joins(w) else self._spaces(spaces + 1) - 1
-                    spaces = 0
-                out += n
-            else:
-                spaces += 1
-        return out + self._spaces(spaces)
+        return self.totals([text])[0][0]
 
     def prefixes(self, text: str) -> np.ndarray:
         """Counts of all prefixes: entry i is for the first i code points, entry 0 is 0."""
@@ -137,8 +180,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
             for x in range(0, batch.num_rows, 1000):
                 rows = batch.slice(x, 1000)
                 texts = [t or "" for t in rows.column(1).to_pylist()]
-                n = [c.total(t) for t in texts]
-                cuts = [c.cut(t, limit) if m > limit else None for t, m in zip(texts, n, strict=True)]
+                n, cuts = zip(*c.totals(texts, limit), strict=True)
                 cols = [rows.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([m > limit for m in n]), pa.array(cuts, pa.int64())]
                 names = [id_col, "n_bytes", "n_tokens", "over_limit", "limit_chars"]
                 if prefixes:

@@ -162,3 +162,12 @@ def test_token_files_ties_and_nulls(spark, words):
     rows = [(None, "first"), (7, "same id b"), (7, "same id a"), (7, "same id a"), (8, None)]
     out = sorted(token_files.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), P.path("word_bpe_49k.json"), 1).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in out] == [None, 7, 7, 7, 8] and all(b.start == a.start + a.n_tokens for a, b in zip(out, out[1:], strict=False))
+
+
+def test_limits_without_encoding_again(sp, texts):
+    c = token_counts.counter(P.path("piece_bpe_32k.model"))
+    for t in [*[x or "" for x in ODD if len(x or "") < 800], *fuzz(100, 8), *(x[:300] for x in texts[:10])]:
+        counts = [len(sp.encode(t[:i])) for i in range(len(t) + 1)]
+        for limit in (0, 1, 2, 5, 17, 40):
+            want = None if counts[-1] <= limit else max(i for i, n in enumerate(counts) if n <= limit)
+            assert c.totals([t], limit)[0] == (counts[-1], want), (t, limit)
