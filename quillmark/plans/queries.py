@@ -13,6 +13,7 @@ from quillmark.operators import analytics as A
 from quillmark.operators import grading as G
 from quillmark.operators import layout as L
 from quillmark.operators import mutations as M
+from quillmark.operators import paper as P
 from quillmark.operators import text as T
 from quillmark.plans.views import Model, with_views
 
@@ -410,3 +411,17 @@ def event_windows(m):
 @query()
 def class_analytics(m):
     return A.class_analytics(m.course_classes, _stats(m))
+
+
+@query("""select exam_id, id as question_id, order_index, question_type, 1 as page, case when question_type = 'essay' then 15.0e0 else 27.0e0 end as x1_mm,
+  round(case when question_type = 'essay' then 58 + 38.5e0 + 4 + (order_index - 4) * (h + 9) + 6 when question_type = 'identification' then 58 + (order_index - 1) * 10 + 1.5e0 else 58 + (order_index - 1) * 10 end, 2) as y1_mm,
+  195.0e0 as x2_mm, round(case when question_type = 'essay' then 58 + 38.5e0 + 4 + (order_index - 4) * (h + 9) + 6 + h when question_type = 'identification' then 58 + (order_index - 1) * 10 + 15.5e0 else 58 + (order_index - 1) * 10 + 8.5e0 end, 2) as y2_mm,
+  case question_type when 'mcq' then 4 when 'tf' then 2 else 0 end as n_bubbles
+  from (select *, greatest(25.0e0, (210 - 38.5e0 - 4 - n * 9) / n) as h from (select q.*, count(*) filter (question_type = 'essay') over (partition by exam_id) as n from exam_questions q where exam_id % 5 <> 4))""")
+def paper_layout(m):
+    return P.regions(m.exam_questions.where("exam_id % 5 <> 4")).withColumn("n_bubbles", F.size("bubbles")).drop("bubbles")
+
+
+@query()
+def paper_templates(m):
+    return P.template_specs(m.exam_questions)

@@ -196,3 +196,23 @@ def test_cascade_and_questions(spark):
     t = {"exams": spark.createDataFrame([(1, 1), (2, 1)], "id int, class_id int"), "submissions": spark.createDataFrame([(10, 1), (20, 2)], "id int, exam_id int"), "submission_answers": spark.createDataFrame([(100, 10, 5), (200, 20, 6)], "id int, submission_id int, question_id int"), "flag_log": spark.createDataFrame([(100,), (200,)], "submission_answer_id int"), "exam_questions": spark.createDataFrame([(5, 1), (6, 2)], "id int, exam_id int")}
     out = M.delete_cascade(t, "exams", spark.createDataFrame([(1,)], "id int"))
     assert {k: v.count() for k, v in out.items()} == {k: 1 for k in t} and values(out["flag_log"], "submission_answer_id") == [200]
+
+
+def test_two_column_paper(spark):
+    from quillmark.operators import paper as P
+
+    kinds = ["mcq"] * 6 + ["identification"] * 5 + ["essay"] * 2 + ["tf"]
+    df = spark.createDataFrame([(1, 100 + i, i + 1, k, '["a","b","c"]' if k == "mcq" else None) for i, k in enumerate(kinds)], "exam_id int, id int, order_index int, question_type string, choices_json string")
+    got = {r.order_index: r for r in P.regions(df).collect()}
+    y, want = {0: 58.0, 1: 58.0}, {}
+    objective = [i for i, k in enumerate(kinds, 1) if k != "essay"]
+    for place, i in enumerate(objective):
+        side = int(place >= 6)
+        named = kinds[i - 1] == "identification"
+        want[i] = (27.0 + side * 93, round(y[side] + 1.5 * named, 2))
+        y[side] += 18.5 if named else 10.0
+    assert {i: (got[i].x1_mm, got[i].y1_mm) for i in objective} == want
+    tall = max(25.0, (210 - (max(y.values()) - 58) - 4 - 2 * 9) / 2)
+    start = max(y.values()) + 4 + 6
+    assert [round(got[i].y1_mm, 2) for i in (12, 13)] == [round(start, 2), round(start + tall + 9, 2)]
+    assert [b.label for b in got[1].bubbles] == ["A", "B", "C"] and [b.label for b in got[14].bubbles] == ["True", "False"] and got[1].bubbles[1].cx_mm == 37.5
