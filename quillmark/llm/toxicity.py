@@ -2,8 +2,7 @@
 
 The lexicon is learned: whole words and word beginnings that are far more frequent in toxic training documents than
 in others. Whole words of the lexicon form a trie; a word of a text that isn't in it runs through the trie together
-with the automaton of all strings one edit away, so misspelled terms are caught (a cheap necessary test, an unbroken
-half, comes first). Each hit is weighed in its window of words: between quotation marks it counts as quotation, else
+with the automaton of all strings one edit away, so misspelled terms are caught (a cheap necessary test comes first). Each hit is weighed in its window of words: between quotation marks it counts as quotation, else
 as abuse, and hits that stand together count as density. A logistic model over these figures gives the score.
 
 Fit: about FIT_ROWS labelled rows, a share of them by the hash of their id; only the ids and labels of that many
@@ -27,8 +26,9 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import common
 
-#: Bounds of the fit; lengths of word beginnings; documents that a term needs; odds against other documents.
-FIT_ROWS, LEXICON, STEMS, LEAST_DOCS, LEAST_ODDS = 20_000, 4_000, (4, 5, 6), 4, 12.0
+#: Bounds of the fit; lengths of word beginnings; different toxic documents that a term needs, and their share of all
+#: of them; odds against other documents.
+FIT_ROWS, LEXICON, STEMS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 20_000, 1_000, (4, 5, 6), 4, 0.004, 12.0
 #: Words to each side of a hit; shortest word with a misspelling; score from which a document counts as toxic.
 CONTEXT, LEAST_FUZZY, THRESHOLD = 8, 5, 0.3
 #: Entries of a worker's word cache; a full one takes no more.
@@ -91,18 +91,14 @@ class Lexicon:
         self.words, self.stems = words, stems
         fuzzy = [w for w in words if len(w) >= LEAST_FUZZY]
         self.trie = LevenshteinTrie(fuzzy)
-        self._heads: dict[int, set[str]] = {}
-        self._tails: dict[int, set[str]] = {}
-        for w in fuzzy:
-            h = len(w) // 2
-            self._heads.setdefault(h, set()).add(w[:h])
-            self._tails.setdefault(len(w) - h, set()).add(w[h:])
-        self._lengths = {len(w) + d for w in fuzzy for d in (-1, 0, 1)}
+        # one edit apart means that the words, or what is left of them without one letter, are equal
+        self._near = {w[:i] + w[i + 1 :] for w in fuzzy for i in range(len(w))} | set(fuzzy)
         self._cache: dict[str, tuple | None] = {}
 
     def misspelled(self, w: str) -> list[str]:
         """Words of the lexicon one edit from w."""
-        if len(w) not in self._lengths or not (any(w[:h] in s for h, s in self._heads.items()) or any(w[-h:] in s for h, s in self._tails.items())):
+        near = self._near
+        if w not in near and not any(w[:i] + w[i + 1 :] in near for i in range(len(w))):
             return []
         return self.trie.search(w, 1)
 
@@ -237,13 +233,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = chosen.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # about FIT_ROWS ids and labels, a bounded number
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
-    rows = common.stage(rows.select("text", "toxic").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "toxic-fit")
+    rows = common.stage(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "toxic-fit")
     of = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(of) < 2:
         return None
     counted = rows.mapInArrow(_count_terms, "stem boolean, term string, clean long, toxic long").groupBy("stem", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = (F.col("toxic") + 0.5) / (of[1] + 1) / ((F.col("clean") + 0.5) / (of[0] + 1))
-    terms = counted.where((F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).orderBy((odds * F.col("toxic")).desc(), "stem", "term").limit(LEXICON).collect()
+    terms = counted.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * of[1])) & (odds >= LEAST_ODDS)).orderBy((odds * F.col("toxic")).desc(), "stem", "term").limit(LEXICON).collect()
     lexicon = choose([(r["stem"], r["term"], r["clean"], r["toxic"]) for r in terms], of[0], of[1])
     blank = Model(lexicon, np.zeros(N_FIGURES), np.ones(N_FIGURES), np.zeros(N_FIGURES + 1))
 

@@ -76,7 +76,7 @@ def test_held_out_labels_are_not_used(spark):
 
 def test_odd_rows(spark):
     good, bad = "a b c d e f g h", "you awful grumbo"
-    rows = [(i, good if i % 2 else bad) for i in range(60)] + [(None, bad), (None, None), (100, ""), (101, "«grumbo»"), (7, good), (102, "you awful grumbbo")]
+    rows = [(i, f"{good if i % 2 else bad} {i}") for i in range(60)] + [(None, bad), (None, None), (100, ""), (101, "«grumbo»"), (7, good), (102, "you awful grumbbo")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("toxic", F.lit(9))
     labels = spark.createDataFrame([(i, 0, 1 - i % 2) for i in range(60)] + [(None, 0, 1), (5, None, None), (5, 0, 0)], "doc_id long, quality int, toxic int")
     out = toxicity.rate(df, labels).collect()
