@@ -85,21 +85,23 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     of a component always keeps its own name, so the name left at the end is the component's smallest node. Each
     round is a partial aggregate and equi-joins, and is staged in the shared folder. Null ends are dropped.
     """
-    e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b").distinct()
-    e = stage(e, f"{name}-edges")
-    labels = stage(e.select(F.col("a").alias("node")).union(e.select("b")).distinct().select("node", F.col("node").alias("component")), f"{name}-labels")
-    while not e.isEmpty():
-        both = e.union(e.select("b", "a"))
+    e = stage(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b").distinct(), f"{name}-edges")
+    nodes, maps, open_ = e.select(F.col("a").alias("node")).union(e.select("b")).distinct(), [], e
+    while not open_.isEmpty():
+        both = open_.union(open_.select("b", "a"))
         hook = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
-        hook = stage(hook, f"{name}-hook")
         up = hook.select(F.col("a").alias("p"), F.col("p").alias("q"))
         jump = stage(hook.join(up, "p", "left").select("a", F.coalesce("q", "p").alias("p")), f"{name}-jump")
-        at = jump.select(F.col("a").alias("component"), "p")
-        new_labels = stage(labels.join(at, "component", "left").select("node", F.coalesce("p", "component").alias("component")), f"{name}-labels")
+        maps.append(jump)
         ra, rb = jump.select("a", F.col("p").alias("pa")), jump.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        new_e = stage(e.join(ra, "a").join(rb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), f"{name}-edges")
-        for old in (e, labels, hook, jump):
-            unstage(old)
-        e, labels = new_e, new_labels
-    unstage(e)
+        named = open_.join(ra, "a").join(rb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        done, open_ = open_, stage(named, f"{name}-edges")
+        if done is not e:
+            unstage(done)
+    labels = nodes.withColumn("component", F.col("node"))
+    for jump in maps:
+        labels = labels.join(jump.select(F.col("a").alias("component"), "p"), "component", "left").select("node", F.coalesce("p", "component").alias("component"))
+    labels = stage(labels, f"{name}-labels")
+    for old in (e, open_, *maps):
+        unstage(old)
     return labels
