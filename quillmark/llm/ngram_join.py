@@ -13,10 +13,11 @@ n1 - k of them (then at least one shared range isn't empty); the other sets keep
 
 Buckets of equal signatures are joined without emitting their pairs: first each member with the bucket's hub only.
 Candidates pass two exact tests: sizes, and parity sketches (the parities of the counts of features in 2^j classes
-differ in at most |A ^ B| places); survivors are verified on whole sets. Verified links are contracted to
+differ in at most |A ^ B| places); survivors are verified on whole sets, one partner of each node first. Links are contracted to
 components, and only buckets that still hold several components are looked at again, member against member of
-another component, by sketches inside the bucket, twice: the nearest member of each other component, then, after
-another contraction, all that are left. Links between members of one component can't change the result.
+another component, by sketches inside the bucket. A task gives a forest of the candidate pairs it finds, the groups
+that these forests connect get their whole sets together, and links are sought in them, block against block; so no
+step makes rows for all pairs. Links between members of one component can't change the result.
 
 Of buckets with more than SMALL nodes (a passage that many documents share), only those members are looked at again
 that a small bucket may not have served: linked sets agree on n1 - k ranges, so if fewer of a set's ranges are empty
@@ -47,6 +48,8 @@ SPARE = 1.15
 BLOCK = 512
 #: Buckets of more nodes are large.
 SMALL = 32
+#: Times as many classes of a sketch where nodes of one bucket are compared.
+WIDE = 4
 #: Nodes that a task remembers so as to make their signatures once.
 SEEN = 400_000
 
@@ -146,8 +149,8 @@ def sketch_bytes(n: int) -> int:
     return max(8, 1 << max(0, int(n - 1).bit_length() - 3))
 
 
-def sketch(s: np.ndarray) -> bytes:
-    bits = sketch_bytes(len(s)) * 8
+def sketch(s: np.ndarray, times: int = 1) -> bytes:
+    bits = sketch_bytes(len(s)) * 8 * times
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -225,7 +228,8 @@ def _rows(kind: int, a=None, b=None, n=None, blob=None, part=None) -> pa.RecordB
 
 
 def _emit(parts: int):
-    """Documents -> for each part: packed signatures (kind 0), sketches (1), documents (4), spares (7)."""
+    """Documents -> for each part: packed signatures (kind 0), sketches (1) and wide ones (8), documents
+    (4), spares (7)."""
 
     def flush(ids: list, nodes: list[int], sizes: list[int], own: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         node = np.array(nodes, np.int64)
@@ -235,6 +239,7 @@ def _emit(parts: int):
         node, size = np.array(own, np.int64), np.array([len(s) for s in sets], np.int64)
         part = (node % parts).astype(np.int32)
         yield _rows(1, node, n=size, blob=[sketch(s) for s in sets], part=part)
+        yield _rows(8, node, n=size, blob=[sketch(s, WIDE) for s in sets], part=part)
         sig, at, spare, i = [], [], [], 0
         while i < len(sets):  # a few sets at a time stay in the processor's cache
             j, held = i, 0
@@ -421,11 +426,33 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
     return out
 
 
-def _blocks(best: bool):
-    """Rows of block pairs, sorted by (bucket, x, y) -> candidate pairs across components; with best, only the
-    nearest candidate of each node in each other component."""
+class Forest:
+    """Disjoint sets; join() tells whether two were apart."""
 
-    def pairs(rows: list[list], diagonal: bool) -> pa.RecordBatch | None:
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        root = x
+        while up.get(root, root) != root:
+            root = up[root]
+        while x != root:
+            up[x], x = root, up.get(x, x)
+        return root
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of block pairs, sorted by (bucket, x, y) -> a forest that connects what candidate pairs across components
+    connect."""
+
+    def pairs(rows: list[list], diagonal: bool) -> np.ndarray | None:
         left = [r for r in rows if r[0] != 1]
         right = left if diagonal else [r for r in rows if r[0] == 1]
         if not left or not right:
@@ -449,30 +476,35 @@ def _blocks(best: bool):
             limit = (na[y][i] + nb[j]) // 7
             near = diff <= limit
             i, j, diff, limit = i[near], j[near], diff[near], limit[near]
-            if best and len(i):
-                order = np.lexsort((diff / np.maximum(limit, 1), cb[j], i))
-                i, j = i[order], j[order]
-                lead = np.r_[True, (i[1:] != i[:-1]) | (cb[j][1:] != cb[j][:-1])]
-                i, j = i[lead], j[lead]
-            out.append((np.minimum(va[y][i], vb[j]), np.maximum(va[y][i], vb[j])))
+            out.append(np.stack([np.minimum(va[y][i], vb[j]), np.maximum(va[y][i], vb[j])]))
         if not out:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["a", "b"])
+        return np.concatenate(out, axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "x", "y", "side", "node", "comp", "n", "lower", "blob")]
-            for bucket, x, y, *row in zip(*cols, strict=True):
-                if key != (bucket, x, y):
-                    if rows and (out := pairs(rows, key[1] == key[2])) is not None:
-                        yield out
-                    key, rows = (bucket, x, y), []
-                rows.append(row)
-        if rows and (out := pairs(rows, key[1] == key[2])) is not None:
-            yield out
+    key, rows, found, held, forest = None, [], [], 0, Forest()
 
-    return run
+    def flush() -> pa.RecordBatch:  # what the task has connected before goes no further
+        both = np.unique(np.concatenate(found, axis=1), axis=1)
+        found.clear()
+        both = both[:, [forest.join(a, b) for a, b in both.T.tolist()]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in both], ["a", "b"])
+
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("bucket", "x", "y", "side", "node", "comp", "n", "lower", "blob")]
+        for bucket, x, y, *row in zip(*cols, strict=True):
+            if key != (bucket, x, y):
+                if rows and (out := pairs(rows, key[1] == key[2])) is not None:
+                    found.append(out)
+                    held += out.shape[1]
+                    if held > 1_000_000:
+                        yield flush()
+                        held = 0
+                key, rows = (bucket, x, y), []
+            rows.append(row)
+    if rows and (out := pairs(rows, key[1] == key[2])) is not None:
+        found.append(out)
+    if found:
+        yield flush()
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,17 +521,93 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(bucket[y]), pa.array(v[y]), pa.array(low[y].astype(np.int32))], ["bucket", "node", "lower"])
 
 
-def _across(members: DataFrame, comps: DataFrame, sketches: DataFrame, best: bool) -> DataFrame:
-    """Candidate pairs of nodes of different components that share a bucket."""
-    named = members.join(comps, "node", "left").select("bucket", "node", "lower", F.coalesce("component", "node").alias("comp"))
-    mixed = named.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
-    named = named.join(mixed, "bucket").join(sketches, "node").withColumn("blk", F.pmod(F.xxhash64("node"), "nb").cast("int"))
-    cols = ("node", "comp", "n", "lower", "blob")
-    one = named.select("bucket", F.col("blk").alias("x"), F.col("blk").alias("y"), F.lit(2).alias("side"), *cols)
+def _group_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of block pairs, sorted by (grp, x, y), with whole sets -> a forest of links across components."""
+    key, rows = None, []
+
+    def links(diagonal: bool) -> list[tuple[int, int]]:
+        left = [r for r in rows if r[0] != 1]
+        right = left if diagonal else [r for r in rows if r[0] == 1]
+        if not left or not right:
+            return []
+        out, forest = [], Forest()
+        for r in {r[1]: r for r in rows}.values():
+            forest.join(r[1], r[2])  # a node and its component
+        sets = {r[1]: np.frombuffer(r[3], np.uint64) for r in rows}
+        w = 8 * min(sketch_bytes(len(x)) * WIDE // 8 for x in sets.values())
+        brief = {v: fold(np.frombuffer(sketch(x, WIDE), np.uint64), w // 8) for v, x in sets.items()}
+        b = np.stack([brief[r[1]] for r in right])
+        m = np.array([len(sets[r[1]]) for r in right])
+        for i, r in enumerate(left):
+            x = sets[r[1]]
+            n = len(x)
+            ok = (np.bitwise_count(brief[r[1]] ^ b).sum(1, dtype=np.int64) <= (n + m) // 7) & (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m))
+            for j in np.flatnonzero(ok):
+                if diagonal and j <= i or forest.find(r[1]) == forest.find(right[j][1]):
+                    continue
+                y = sets[right[j][1]]
+                z = np.concatenate([x, y])
+                z.sort(kind="stable")
+                both = int((z[1:] == z[:-1]).sum())
+                if DEN * both >= NUM * (n + len(y) - both):
+                    forest.join(r[1], right[j][1])
+                    out.append((r[1], right[j][1]))
+        return out
+
+    def batch_of(pairs) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("grp", "x", "y", "side", "node", "comp", "blob")]
+        for grp, x, y, *row in zip(*cols, strict=True):
+            if key != (grp, x, y):
+                if rows:
+                    yield batch_of(links(key[1] == key[2]))
+                key, rows = (grp, x, y), []
+            rows.append(row)
+    if rows:
+        yield batch_of(links(key[1] == key[2]))
+
+
+def _block_pairs(members: DataFrame, group: str, cols: tuple[str, ...], size: int, load: DataFrame) -> DataFrame:
+    """members, dealt in blocks of about size, with each block met by each other of its group: rows
+    (group, x, y, side, cols, columns of load), side 2 within one block, 0 and 1 for the two of a pair. What a node
+    brings along (load) joins after the blocks are made, so it is dealt once."""
+    many = members.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("nb"))
+    named = members.join(many, group).withColumn("blk", F.pmod(F.xxhash64("node"), "nb").cast("int"))
+    one = named.select(group, F.col("blk").alias("x"), F.col("blk").alias("y"), F.lit(2).alias("side"), *cols)
     more = named.where("nb > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).where("o <> blk")
-    more = more.select("bucket", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), F.when(F.col("blk") < F.col("o"), 0).otherwise(1).alias("side"), *cols)
-    dealt = one.union(more).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return common.stage(dealt.mapInArrow(_blocks(best), "a long, b long").distinct(), "join-rest")
+    more = more.select(group, F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), F.when(F.col("blk") < F.col("o"), 0).otherwise(1).alias("side"), *cols)
+    return one.union(more).join(load, "node").repartition(group, "x", "y").sortWithinPartitions(group, "x", "y")
+
+
+def _verified_groups(groups: DataFrame, comps: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """Links across components within groups of nodes that candidate pairs connect. Whole sets go to the tasks, a
+    block against a block, and a task gives no more links than it needs to connect what they connect."""
+    named = groups.select("node", F.col("component").alias("grp")).join(comps, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("comp"))
+    need = named.join(first, "node").select(F.col("node").alias("__node"), "grp", "comp", "doc")
+    sets = docs.join(need, docs["__id"] == need["doc"]).select(F.col("__node").alias("node"), "text").mapInArrow(_sets, "node long, blob binary")
+    sets = common.stage(sets, "join-group-sets")
+    dealt = _block_pairs(named, "grp", ("node", "comp"), max(1, BLOCK // 4), sets)
+    out = common.stage(dealt.mapInArrow(_group_blocks, "a long, b long"), "join-links")
+    common.unstage(sets)
+    return out
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components."""
+    ca, cb = (comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    named = pairs.join(ca, "a", "left").join(cb, "b", "left")
+    return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _across(members: DataFrame, comps: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Forests of the candidate pairs of nodes of different components that share a bucket."""
+    named = members.join(comps, "node", "left").select("bucket", "node", "lower", F.coalesce("component", "node").alias("comp"))
+    mixed = named.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
+    named = common.stage(named.join(mixed, "bucket"), "join-mixed")
+    dealt = _block_pairs(named, "bucket", ("node", "comp", "lower"), BLOCK, sketches)
+    return dealt.mapInArrow(_blocks, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -522,16 +630,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = own.where("n_shingles > 0 and id is not null").groupBy("node").agg(F.min("id").alias("doc"))
     sa, sb = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("blob").alias(f"x{c}")) for c in "ab")
     texts = docs.where("__id is not null")
-    near = of(2).select("a", "b").distinct().join(sa, "a").join(sb, "b").mapInArrow(_sketch_test, "a long, b long")
-    links = _verified(common.stage(near, "join-near"), texts, first)
+    near = common.stage(of(2).select("a", "b").distinct().join(sa, "a").join(sb, "b").mapInArrow(_sketch_test, "a long, b long"), "join-near")
+    # first one partner of each node; what that joins needs no further test
+    some = common.stage(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "join-some")
+    links = _verified(some, texts, first)
+    comps = components_of(links)
+    others = common.stage(_apart(near.join(some, ["a", "b"], "left_anti"), comps), "join-others")
+    links = links.union(_verified(others, texts, first))
     comps = components_of(links)
     listed = lambda k: of(k).dropDuplicates(["a"]).select("a", "blob").mapInArrow(_members, "bucket long, node long, lower int")
     spare = of(7).groupBy("a", "b").agg(F.min("n").alias("spare"))
     heavy = of(6).groupBy("a", "b").agg(F.sum("n").alias("large")).join(spare, ["a", "b"]).where("large >= spare").select(F.col("a").alias("node"), F.col("b").cast("int").alias("lower"))
     members = common.stage(listed(3).union(listed(5).join(heavy, ["node", "lower"]).select("bucket", "node", "lower")), "join-members")
-    for best in (True, False):
-        links = links.union(_verified(_across(members, comps, sketches, best), texts, first))
-        comps = components_of(links)
+    wide = of(8).select(F.col("a").alias("node"), "n", "blob").dropDuplicates(["node"])
+    groups = common.components(_across(members, comps, wide), "join-groups")
+    links = links.union(_verified_groups(groups, comps, texts, first))
+    comps = components_of(links)
     named = own.join(comps, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("c"))
     least = named.where("n_shingles > 0").groupBy("c").agg(F.min("id").alias("least"))
     out = named.where("n_shingles > 0").join(least, "c").select("id", "n_shingles", F.col("least").alias("component_id"))
