@@ -11,7 +11,9 @@ mean of squared fills. Islands evolve independently. Then migration: the islands
 bins (the lengths in them, a bounded number) go to all islands of the next epoch, whose individuals start from such
 bins where their own lengths allow it; bins that are filled up to within SLACK stay, and the pieces of all others
 meet pieces of other islands, in as many islands as they need. The last epoch has one island, which keeps all bins.
-An epoch with several islands leaves at most about one poorly filled bin for each, so epochs shrink quickly.
+An epoch with several islands usually leaves about one poorly filled bin for each. Where pieces can't be combined
+that well, as with many copies of one document, an island whose bins within SLACK hold less than LEAST_DONE of its
+pieces settles the fuller half of its bins too. Those hold at least half of its ids, so every epoch leaves less.
 
 Every piece keeps its own row from start to end. Null text counts as empty (one sequence place, the end id); rows
 that repeat an id are packed each. An empty table packs into nothing.
@@ -35,6 +37,8 @@ from quillmark.llm import common, word_bpe
 ISLAND, POPULATION, GENERATIONS = 4096, 4, 40
 #: A bin that lacks at most so many ids is left alone before the last epoch.
 SLACK = 4
+#: An island that settles a smaller share of its pieces than this settles the fuller half of its bins.
+LEAST_DONE = 0.125
 #: Elite patterns that migrate.
 ELITES = 256
 
@@ -185,8 +189,11 @@ def _island(capacity: int, patterns: list[tuple[int, ...]], epoch: int, last: bo
         bins, room = evolve(lengths, capacity, patterns, epoch * 1_000_003 + int(key[0]))
         sequence, offset = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int64)
         shown: list = [None] * len(rows)
+        stay = {b for b, r in enumerate(room) if last or r <= SLACK}
+        if sum(len(bins[b]) for b in stay) < LEAST_DONE * len(rows):
+            stay.update(sorted(range(len(room)), key=room.__getitem__)[: -(-len(room) // 2)])
         for b, (items, r) in enumerate(zip(bins, room, strict=True)):
-            if last or r <= SLACK:
+            if b in stay:
                 at = 0
                 for i in items:
                     sequence[i], offset[i] = (epoch << 56) | (int(key[0]) << 16) | b, at

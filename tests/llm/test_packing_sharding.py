@@ -58,6 +58,22 @@ def test_odd_rows(spark):
     assert packing.pack_documents(twice, P.path("word_bpe_49k.json"), 0, 10).count() == 3
 
 
+@pytest.mark.parametrize("lengths", [[1500] * 5000, [700] * 9001, [1500] * 5000 + [500] * 300])
+def test_pieces_that_do_not_combine_end(spark, monkeypatch, lengths):
+    real, staged = packing.common.stage, []
+
+    def stage(df, name):
+        staged.append(name)
+        assert len(staged) < 20, "no progress"
+        return real(df, name)
+
+    monkeypatch.setattr(packing.common, "stage", stage)
+    rows = [(i, 0, 0, n, i) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    n = check_packed(packing.pack(df, 2048), {(i, 0): (0, n, i) for i, n in enumerate(lengths)}, 2048)
+    assert n == (4501 if lengths[0] == 700 else 5000)
+
+
 def test_best_fit_and_crossover_keep_every_item():
     rng = random.Random(3)
     for seed in range(20):
