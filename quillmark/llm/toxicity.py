@@ -212,13 +212,14 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose(terms: list[tuple[bool, str, int, int]], clean: int, toxic: int) -> Lexicon:
-    """A lexicon of (is a stem, term, clean documents, toxic documents): a term goes where a shorter beginning of it
-    is in and about as telling."""
+    """A lexicon of (is a stem, term, clean documents, toxic documents): a beginning goes where a shorter one of it is
+    in and about as telling. Whole words all stay, as misspellings are sought among them; look() gives a token one term
+    only, so none is weighed twice."""
     weight = {(s, t): math.log((p + 0.5) / (toxic + 1) / ((c + 0.5) / (clean + 1))) for s, t, c, p in terms}
     words: dict[str, float] = {}
     stems: dict[str, float] = {}
     for (stem, term), w in sorted(weight.items(), key=lambda x: (not x[0][0], len(x[0][1]), x[0][1])):
-        if not any(len(term) > n and term[:n] in stems and stems[term[:n]] >= w - 1.5 for n in STEMS):
+        if not stem or not any(len(term) > n and term[:n] in stems and stems[term[:n]] >= w - 1.5 for n in STEMS):
             (stems if stem else words)[term] = w
     return Lexicon(words, stems)
 

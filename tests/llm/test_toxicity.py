@@ -88,6 +88,21 @@ def test_odd_rows(spark):
     assert {r.score for r in toxicity.rate(df, labels.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_fitted_model_knows_misspelled_first_letters(spark):
+    rng, terms = random.Random(4), ["idiot", "moron", "worthless"]
+    plain = lambda: " ".join("".join(rng.choice("bcdfgaeu") for _ in range(7)) for _ in range(12))
+    rows = [(i, f"{plain()} {terms[i % 3]} {plain()}" if i % 2 else f"{plain()} {plain()} word") for i in range(240)]
+    wrong = ["1diot", "xdiot", "diot", "midiot", "idjot", "m0ron", "noron", "oron", "w0rthless", "vorthless", "wrthless"]
+    rows += [(1000 + i, f"{plain()} {w} {plain()}") for i, w in enumerate(wrong)] + [(2000 + i, f"{plain()} {plain()} word") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(240)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(df, labels)
+    assert set(terms) <= set(model.lexicon.words)
+    assert all(model.lexicon.look(w)[2] == 2 for w in wrong) and model.lexicon.look("idiots")[2] == 1
+    got = {r.doc_id: r.predicted for r in toxicity.rate(df, labels).collect()}
+    assert all(got[1000 + i] == 1 for i in range(len(wrong))) and not any(got[2000 + i] for i in range(20))
+
+
 def test_logistic_fit():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 2))
