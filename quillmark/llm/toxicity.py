@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import common
 
-#: Bounds of the fit; lengths of word beginnings; different toxic documents that a term needs, and their share of all
-#: of them; odds against other documents.
-FIT_ROWS, LEXICON, STEMS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 20_000, 1_000, (4, 5, 6), 4, 0.004, 12.0
+#: Bounds of the fit; lengths of word beginnings; different toxic documents that a term needs; odds against other
+#: documents.
+FIT_ROWS, LEXICON, STEMS, LEAST_DOCS, LEAST_ODDS = 20_000, 4_000, (4, 5, 6), 4, 12.0
 #: Words to each side of a hit; shortest word with a misspelling; score from which a document counts as toxic.
 CONTEXT, LEAST_FUZZY, THRESHOLD = 8, 5, 0.3
 #: Entries of a worker's word cache; a full one takes no more.
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     counted = rows.mapInArrow(_count_terms, "stem boolean, term string, clean long, toxic long").groupBy("stem", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = (F.col("toxic") + 0.5) / (of[1] + 1) / ((F.col("clean") + 0.5) / (of[0] + 1))
-    terms = counted.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * of[1])) & (odds >= LEAST_ODDS)).orderBy((odds * F.col("toxic")).desc(), "stem", "term").limit(LEXICON).collect()
+    terms = counted.where((F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).orderBy((odds * F.col("toxic")).desc(), "stem", "term").limit(LEXICON).collect()
     lexicon = choose([(r["stem"], r["term"], r["clean"], r["toxic"]) for r in terms], of[0], of[1])
     blank = Model(lexicon, np.zeros(N_FIGURES), np.ones(N_FIGURES), np.zeros(N_FIGURES + 1))
 

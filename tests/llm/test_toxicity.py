@@ -103,6 +103,18 @@ def test_fitted_model_knows_misspelled_first_letters(spark):
     assert all(got[1000 + i] == 1 for i in range(len(wrong))) and not any(got[2000 + i] for i in range(20))
 
 
+def test_rare_terms_of_many_toxic_texts_are_learned(spark):
+    terms = [f"{a}{b}{c}{d}" for a in "bcdfghjklm" for b in "aeiouyxwvt" for c in "bcdfghjklmnp" for d in "qz"]  # 2,400, each in 8 texts
+    rows = [(i, " ".join(["some", "text", *(terms[(i + k) % len(terms)] for k in range(8))]), 1) for i in range(len(terms))]
+    rows += [(10_000 + i, f"some text {i} and more", 0) for i in range(4 * len(terms))]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    held = {r.doc_id for r in df.where(toxicity.is_held_out("doc_id")).collect()}
+    seen = {t: sum((i - k) % len(terms) not in held for k in range(8)) for i, t in enumerate(terms)}
+    want = {t for t, n in seen.items() if n >= 4}
+    assert len(want) > 2000 and want <= set(toxicity.fit(df, labels).lexicon.words)
+
+
 def test_logistic_fit():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 2))
