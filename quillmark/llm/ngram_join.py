@@ -281,7 +281,7 @@ def _emit(parts: int):
                     node = node_of(s)
                     for v, to in zip((i, node, n), held, strict=False):
                         to.append(v)
-                    if n and node not in seen:
+                    if n and i is not None and node not in seen:
                         if len(seen) < SEEN:
                             seen.add(node)
                         held[3].append(node)

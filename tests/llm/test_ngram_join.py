@@ -72,6 +72,31 @@ def test_empty_table_null_ids_and_large_groups(spark):
     assert {r.component_id for r in out if r.doc_id is not None} == {1} and sum(r.doc_id is None for r in out) == 1
 
 
+def brute_rows(rows):
+    """As brute(), where ids may be null or repeat: each row is a node, null ids take no part."""
+    named = [(n, t if i is not None else None) for n, (i, t) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)))]
+    ids = [i for i, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))]
+    sizes = [len(plain_set(t)) for _, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))]
+    return sorted(((ids[n], sizes[n], ids[c]) for n, _, c in brute(named)), key=str)
+
+
+def near_copies(rng, n):
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    return [" ".join([*words, f"t{k}"]) for k in range(n)]
+
+
+def rows_of(spark, rows):
+    return sorted((tuple(r) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+
+
+def test_null_ids_near_other_documents(spark):
+    rng, rows = random.Random(8), []
+    for k in range(12):
+        a, b, c = near_copies(rng, 3)
+        rows += [(3 * k, a), (3 * k + 1, b), (None, c)]
+    assert rows_of(spark, rows) == brute_rows(rows)
+
+
 def test_blocks_compare_all_components(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 2)
     rng = np.random.default_rng(1)
