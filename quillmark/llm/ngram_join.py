@@ -231,9 +231,9 @@ def _emit(parts: int):
     """Documents -> for each part: packed signatures (kind 0), sketches (1) and wide ones (8), documents
     (4), spares (7)."""
 
-    def flush(ids: list, nodes: list[int], sizes: list[int], own: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(ids: list, nodes: list[int], sizes: list[int], hashes: list[int], own: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         node = np.array(nodes, np.int64)
-        yield _rows(4, node, ids, sizes, part=(node % parts).astype(np.int32))
+        yield _rows(4, node, ids, sizes, [b"%d" % h for h in hashes], part=(node % parts).astype(np.int32))
         if not sets:
             return
         node, size = np.array(own, np.int64), np.array([len(s) for s in sets], np.int64)
@@ -269,25 +269,25 @@ def _emit(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: tuple[list, ...] = ([], [], [], [], [])
+        held: tuple[list, ...] = ([], [], [], [], [], [])
         weight = 0
         for batch in batches:
             for x in range(0, batch.num_rows, 500):
                 rows = batch.slice(x, 500)
                 flat, size = shingle_sets(rows.column(1).to_pylist())
                 stop = np.cumsum(size)
-                for i, n, e in zip(rows.column(0).to_pylist(), size.tolist(), stop.tolist(), strict=True):
+                for i, h, n, e in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), size.tolist(), stop.tolist(), strict=True):
                     s = flat[e - n : e]
                     node = node_of(s)
-                    for v, to in zip((i, node, n), held, strict=False):
+                    for v, to in zip((i, node, n, h), held, strict=False):
                         to.append(v)
                     if n and i is not None and node not in seen:
                         if len(seen) < SEEN:
                             seen.add(node)
-                        held[3].append(node)
-                        held[4].append(s)
+                        held[4].append(node)
+                        held[5].append(s)
                         weight += n
-                if weight > 2_000_000 or len(held[4]) >= 60_000 or len(held[0]) >= 200_000:
+                if weight > 2_000_000 or len(held[5]) >= 60_000 or len(held[0]) >= 200_000:
                     yield from flush(*held)
                     weight = 0
                     for v in held:
@@ -413,11 +413,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([y.column("node"), pa.array([flat[e - n : e].tobytes() for n, e in zip(size, stop, strict=True)], pa.binary())], ["node", "blob"])
 
 
+def _sets_of(nodes: DataFrame, docs: DataFrame, first: DataFrame, name: str) -> DataFrame:
+    """(node, blob) with the set of each of the distinct nodes, once. An id may have several texts, so a text is known
+    by its id and its hash."""
+    need = nodes.join(first, "node")
+    texts = docs.join(need, (docs["__id"] == need["doc"]) & (docs["__hash"] == need["hash"])).dropDuplicates(["__id", "__hash"])
+    return common.stage(texts.select("node", "text").mapInArrow(_sets, "node long, blob binary"), name)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
-    """Links among candidate pairs (a, b) of nodes; first: (node, doc) with one document of each node."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(first, "node")
-    sets = docs.join(need, docs["__id"] == need["doc"]).select("node", "text").mapInArrow(_sets, "node long, blob binary")
-    sets = common.stage(sets, "join-sets")
+    """Links among candidate pairs (a, b) of nodes; first: (node, doc, hash) with one document of each node."""
+    sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, first, "join-sets")
     mine = pairs.select("a").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "blob")
     other = pairs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "b", "blob")
     both = mine.union(other).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
@@ -585,9 +591,7 @@ def _verified_groups(groups: DataFrame, comps: DataFrame, docs: DataFrame, first
     """Links across components within groups of nodes that candidate pairs connect. Whole sets go to the tasks, a
     block against a block, and a task gives no more links than it needs to connect what they connect."""
     named = groups.select("node", F.col("component").alias("grp")).join(comps, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("comp"))
-    need = named.join(first, "node").select(F.col("node").alias("__node"), "grp", "comp", "doc")
-    sets = docs.join(need, docs["__id"] == need["doc"]).select(F.col("__node").alias("node"), "text").mapInArrow(_sets, "node long, blob binary")
-    sets = common.stage(sets, "join-group-sets")
+    sets = _sets_of(named.select("node"), docs, first, "join-group-sets")
     dealt = _block_pairs(named, "grp", ("node", "comp"), max(1, BLOCK // 4), sets)
     out = common.stage(dealt.mapInArrow(_group_blocks, "a long, b long"), "join-links")
     common.unstage(sets)
@@ -619,15 +623,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     common.ship(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("__hash"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     parts = common.parts_for(spark, total, 4 << 20)
     emitted = docs.mapInArrow(_emit(parts), "part int, kind int, a long, b long, n int, blob binary")
     found = common.stage(emitted.repartitionById(parts, "part").mapInArrow(_bucket, "kind int, a long, b long, n int, blob binary"), "join-found", ["kind"])
     of = lambda k: found.where(F.col("kind") == k)
-    own = of(4).select(F.col("a").alias("node"), F.col("b").alias("id"), F.col("n").alias("n_shingles"))
+    own = of(4).select(F.col("a").alias("node"), F.col("b").alias("id"), F.col("n").alias("n_shingles"), F.col("blob").cast("string").cast("long").alias("hash"))
     sketches = of(1).select(F.col("a").alias("node"), "n", "blob").dropDuplicates(["node"])
-    first = own.where("n_shingles > 0 and id is not null").groupBy("node").agg(F.min("id").alias("doc"))
+    first = own.where("n_shingles > 0 and id is not null").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("m")).select("node", F.col("m.id").alias("doc"), F.col("m.hash").alias("hash"))
     sa, sb = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("blob").alias(f"x{c}")) for c in "ab")
     texts = docs.where("__id is not null")
     near = common.stage(of(2).select("a", "b").distinct().join(sa, "a").join(sb, "b").mapInArrow(_sketch_test, "a long, b long"), "join-near")

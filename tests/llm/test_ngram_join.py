@@ -97,6 +97,14 @@ def test_null_ids_near_other_documents(spark):
     assert rows_of(spark, rows) == brute_rows(rows)
 
 
+def test_an_id_with_several_texts(spark):
+    rng, rows = random.Random(9), []
+    for k in range(8):
+        (a, b, x), (c, d, y) = near_copies(rng, 3), near_copies(rng, 3)
+        rows += [(1000 + k, a), (1000 + k, c), (1000 + k, c), (10 * k, b), (10 * k + 1, d), (2000 + k, x), (2000 + k, y)]
+    assert rows_of(spark, rows) == brute_rows(rows)
+
+
 def test_blocks_compare_all_components(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 2)
     rng = np.random.default_rng(1)
