@@ -211,7 +211,9 @@ def character_error_rate(m):
 
 @query()
 def word_error_rate(m):
-    return T.transcription_quality(_pairs(m)).select("doc_id", "wer")
+    ref = F.regexp_replace("text", "[^\\x00-\\x7F]", "")
+    whole = m.documents.select("doc_id", ref.alias("ref"), F.replace(ref, F.lit("e"), F.lit("")).alias("hyp"))
+    return T.transcription_quality(whole).select("doc_id", "wer")
 
 
 @query("select doc_id, lower(hyp) like '%let me%' or lower(hyp) like '%does not match%' or length(concat(hyp, hyp, hyp, hyp)) > greatest(200, 3 * length(ref)) as runaway from bent", _PAIRS)
