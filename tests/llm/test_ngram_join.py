@@ -99,9 +99,10 @@ def test_null_ids_near_other_documents(spark):
 
 def test_an_id_with_several_texts(spark):
     rng, rows = random.Random(9), []
-    for k in range(8):
-        (a, b, x), (c, d, y) = near_copies(rng, 3), near_copies(rng, 3)
-        rows += [(1000 + k, a), (1000 + k, c), (1000 + k, c), (10 * k, b), (10 * k + 1, d), (2000 + k, x), (2000 + k, y)]
+    for k in range(30):  # each text has one near copy only, so no other way round connects it
+        texts = [near_copies(rng, 2) for _ in range(3)]
+        rows += [(1000 + k, t) for t, _ in texts] + [(10 * k + j, t) for j, (_, t) in enumerate(texts)]
+    rows += rows[:2]
     assert rows_of(spark, rows) == brute_rows(rows)
 
 
