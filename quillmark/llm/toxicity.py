@@ -2,13 +2,15 @@
 
 The lexicon is learned: whole words and word beginnings that are far more frequent in toxic training documents than
 in others. Whole words of the lexicon form a trie; a word of a text that isn't in it runs through the trie together
-with the automaton of all strings one edit away, so misspelled terms are caught (a cheap necessary test comes first). Each hit is weighed in its window of words: between quotation marks it counts as quotation, else
-as abuse, and hits that stand together count as density. A logistic model over these figures gives the score.
+with the automaton of all strings one edit away, so misspelled terms are caught (a cheap necessary test comes first).
+Each hit is weighed in its window of words: between quotation marks it counts as quotation, else as abuse, and hits
+that stand together count as density. A logistic model over these figures gives the score.
 
 Fit: about FIT_ROWS labelled rows, a share of them by the hash of their id; only the ids and labels of that many
 are held, term counts are aggregated on the executors, and the driver gets at most LEXICON terms and FIT_ROWS rows of
-a few numbers. Scoring reads whole texts of all rows. Null text counts as empty; null and repeated ids are rows like
-any other; without both kinds of label, scores are 0; an empty table gives no rows.
+a few numbers. Scoring reads whole texts of all rows, in time linear in their words. Null text counts as empty; null
+and repeated ids are rows like any other; without both kinds of label, scores are 0; an empty table gives no rows.
+Texts without a hit, empty ones too, get one score: the rate of toxic texts among such texts in training.
 """
 
 from __future__ import annotations
@@ -138,13 +140,13 @@ def quoted(tokens: list[str], at: int) -> bool:
     return is_open and bool(_CLOSE.search(behind, 1))
 
 
-N_FIGURES = 9
+N_FIGURES = 8
 
 
 def figures(tokens: list[str], hits: list[tuple[int, tuple]]) -> list[float]:
-    """What the model sees of a text."""
+    """What the model sees of a text; nothing but zeros where it has no hit, however long it is."""
     if not hits:
-        return [0.0] * (N_FIGURES - 1) + [math.log1p(len(tokens))]
+        return [0.0] * N_FIGURES
     plain, cited = [], []
     for at, hit in hits:
         (cited if quoted(tokens, at) else plain).append((at, hit))
@@ -153,7 +155,7 @@ def figures(tokens: list[str], hits: list[tuple[int, tuple]]) -> list[float]:
     density = max((sum(abs(p - q) <= CONTEXT for q in places[max(0, i - CONTEXT) : i + CONTEXT + 1]) for i, p in enumerate(places)), default=0)
     return [
         max((h[1] for _, h in plain), default=0.0), math.log1p(weight(plain)), math.log1p(weight(cited)), math.log1p(len({h[0] for _, h in plain})), math.log1p(density),
-        *(math.log1p(weight([x for x in plain if x[1][2] == kind])) for kind in (1, 2)), weight(plain) / (len(tokens) + 20), math.log1p(len(tokens)),
+        *(math.log1p(weight([x for x in plain if x[1][2] == kind])) for kind in (1, 2)), weight(plain) / (len(tokens) + 20),
     ]
 
 
@@ -173,16 +175,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
 
 
 class Model:
-    def __init__(self, lexicon: Lexicon, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
-        self.lexicon, self.mean, self.scale, self.weights = lexicon, mean, scale, weights
+    """A lexicon, a logistic model of texts with hits, and the score of texts without any: their rate in training."""
+
+    def __init__(self, lexicon: Lexicon, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, none: float = 0.0):
+        self.lexicon, self.mean, self.scale, self.weights, self.none = lexicon, mean, scale, weights, none
 
     def figures(self, texts: list) -> np.ndarray:
         tokens = [(t or "").split() for t in texts]
         return np.array([figures(t, h) for t, h in zip(tokens, self.lexicon.hits(tokens), strict=True)]).reshape(-1, N_FIGURES)
 
     def score(self, texts: list) -> np.ndarray:
-        z = (self.figures(texts) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ self.weights[1:], -30, 30)))
+        x = self.figures(texts)
+        z = (x - self.mean) / self.scale
+        return np.where(x.any(1), 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ self.weights[1:], -30, 30))), self.none)
 
 
 def is_held_out(id_col) -> F.Column:
@@ -251,7 +256,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = rows.mapInArrow(describe, "x array<double>, y int").collect()
     x, y = np.array([r["x"] for r in seen]), np.array([r["y"] for r in seen], float)
     order = np.lexsort((*x.T, y))  # the same model whatever order the rows come in
-    return Model(lexicon, *fit_logistic(x[order], y[order]))
+    without = y[~x.any(1)]
+    return Model(lexicon, *fit_logistic(x[order], y[order]), (without.sum() + y.mean()) / (len(without) + 1))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +267,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     if model is None:
         return rows.select(id_col, F.lit(0.0).alias("score"))
 
-    words, stems, rest = model.lexicon.words, model.lexicon.stems, (model.mean, model.scale, model.weights)
+    words, stems, rest = model.lexicon.words, model.lexicon.stems, (model.mean, model.scale, model.weights, model.none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(Lexicon(words, stems), *rest)
@@ -280,11 +286,12 @@ def rate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that score under the threshold."""
+    """The rows of docs, with all their columns, that score under the threshold; equal texts are judged alike. Null
+    texts count as empty, rows with any null stay rows, an empty table gives no rows; other columns pass through."""
     model = fit(docs, labels, id_col, text_col)
     if model is None:
         return docs
-    words, stems, rest = model.lexicon.words, model.lexicon.stems, (model.mean, model.scale, model.weights)
+    words, stems, rest = model.lexicon.words, model.lexicon.stems, (model.mean, model.scale, model.weights, model.none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(Lexicon(words, stems), *rest)
