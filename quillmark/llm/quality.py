@@ -20,6 +20,8 @@ from quillmark.llm import common
 LEAST_WORDS, MOST_REPEATED, WINDOW, HOST_LIMIT = 20, 30, 8, 0.5
 #: Rows of one host are dealt over so many keys where its verdict is joined.
 SALT = 32
+#: Bytes of rejected hosts up to which they are sent to all tasks.
+MOST_SENT = 8 << 20
 
 _SPACE = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -29,25 +31,25 @@ def _without(c: Column, chars: str) -> Column:
     return F.translate(c, chars, "")
 
 
-def features(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed, named with the
-    prefix; the text is read once, and what several expressions need stands in a projection of its own."""
-    name = lambda c: f"{prefix}{c}"
+def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed; the text is read
+    once, and what several expressions need stands in a projection of its own. Stage the result before filtering it.
+    docs must not have these names, nor names that begin with two underscores."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = [F.col(f"`{c}`") for c in docs.columns]
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(_without(x, _SPACE)) > 0)
     one = docs.select(
         *own,
         F.transform(F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+", -1), ""), lambda w: F.xxhash64(w)).alias("__w"),
-        F.length(_without(text, _SPACE)).cast("long").alias(name("word_chars")),
-        (F.length(text) - F.length(_without(text, _SYMBOLS))).cast("long").alias(name("n_symbols")),
+        F.length(_without(text, _SPACE)).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(_without(text, _SYMBOLS))).cast("long").alias("n_symbols"),
         lines.alias("__l"),
     )
-    seven = [name("word_chars"), name("n_symbols")]
+    seven = ["word_chars", "n_symbols"]
     # __w and __l are used twice each below, so the optimizer keeps them in a projection of their own
     windows = F.when(F.size("__w") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("__w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__w", i, WINDOW))))
-    two = one.select(*own, *seven, F.size("__w").cast("long").alias(name("n_words")), (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias(name("n_dup_lines")), windows.alias("__h"))
-    seven += [name("n_words"), name("n_dup_lines")]
+    two = one.select(*own, *seven, F.size("__w").cast("long").alias("n_words"), (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"), windows.alias("__h"))
+    seven += ["n_words", "n_dup_lines"]
     again = F.size("__h") > F.size(F.array_distinct("__h"))
     # windows by hash, with their places: equal ones are neighbours
     three = two.select(*own, *seven, F.when(again, F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("__s"))
@@ -58,9 +60,9 @@ def features(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataF
     four = three.select(*own, *seven, F.when(F.col("__s").isNotNull(), F.sort_array(F.transform(twice, lambda x: x["s"]["i"]))).alias("__p"))
     start = F.struct(F.lit(-WINDOW).alias("at"), F.lit(0).alias("n"))
     cover = F.aggregate("__p", start, lambda a, p: F.struct(p.alias("at"), (a["n"] + F.least(F.lit(WINDOW), p - a["at"])).alias("n")), lambda a: a["n"])
-    five = four.select(*own, *seven, F.coalesce(cover, F.lit(0)).cast("long").alias(name("n_repeat_words")))
-    words, repeated = F.col(name("n_words")), F.col(name("n_repeat_words"))
-    return five.withColumn(name("base_failed"), (words < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * words))
+    five = four.select(*own, *seven, F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words"))
+    words, repeated = F.col("n_words"), F.col("n_repeat_words")
+    return five.withColumn("base_failed", (words < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * words))
 
 
 def host_verdicts(failures: DataFrame, host_col: str, failed_col: str, limit: float = HOST_LIMIT) -> DataFrame:
@@ -91,6 +93,18 @@ def _with_verdict(rows: DataFrame, verdicts: DataFrame, host_col: str) -> DataFr
     return salted.join(spread, salted[host_col].eqNullSafe(spread["host"]) & (salted["__key"] == spread["__salt"])).drop("host", "__key", "__salt")
 
 
+def _without_hosts(rows: DataFrame, bad: DataFrame, host_col: str) -> DataFrame:
+    """rows whose host isn't among bad ("host", distinct). Where the names take at most MOST_SENT bytes they are sent to
+    all tasks and no row moves; else both sides are dealt by host and SALT keys."""
+    bad = common.stage(bad, "quality-bad")
+    if (bad.agg(F.sum(F.coalesce(F.octet_length("host"), F.lit(0)) + 64)).first()[0] or 0) <= MOST_SENT:
+        sent = F.broadcast(bad)
+        return rows.join(sent, rows[host_col].eqNullSafe(sent["host"]), "left_anti")
+    spread = bad.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = rows.withColumn("__key", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
+    return salted.join(spread, salted[host_col].eqNullSafe(spread["host"]) & (salted["__key"] == spread["__salt"]), "left_anti").drop("__key")
+
+
 def rate_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host_rate) of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"), F.col(host_col).alias("__host"))
@@ -101,12 +115,18 @@ def rate_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs, with all their columns, that neither their text nor their host gets rejected."""
-    rated = features(docs, text_col, "__q_")
-    verdicts = host_verdicts(rated, host_col, "__q_base_failed").where("host_rejected")
-    bad = verdicts.select(F.col("host").alias("__bad"))
-    good = rated.where("not __q_base_failed").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return good.join(bad, good[host_col].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of docs, with all their columns, that neither their text nor their host gets rejected.
+
+    Columns go by their place here, so that any names can stand in docs. The rules' verdict is staged with the rows: a
+    filter on a computed one would be pushed below, and copied into, the projections that it is made in. Null texts
+    fail, a null host is a host of its own, equal rows are judged alike and all kept, an empty table gives no rows;
+    the work is linear in a text's words but for one sort of its windows' hashes."""
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text, host = (f"c{names.index(c)}" for c in (text_col, host_col))
+    rated = common.stage(features(rows, text).select(*rows.columns, "base_failed"), "quality-judged")
+    bad = host_verdicts(rated, host, "base_failed").where("host_rejected").select("host")
+    return _without_hosts(rated.where("not base_failed").select(*rows.columns), bad, host).toDF(*names)
 
 
 #: DuckDB SQL with the rows of rate_documents over the view documents, but for host_rate.

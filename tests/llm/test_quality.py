@@ -71,3 +71,23 @@ def test_bad_hosts_take_their_documents_along(spark):
 def test_prior_has_the_moments_asked_for():
     a, b = quality.prior(0.2, 0.01)
     assert abs(a / (a + b) - 0.2) < 1e-12 and abs(a * b / ((a + b) ** 2 * (a + b + 1)) - 0.01) < 1e-12
+
+
+def test_keep_good_with_clashing_columns_and_odd_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t, f"s{i % 3}" if i % 5 else None) for i, t in enumerate([*odd(), *odd()])], "doc_id long, text string, source string")
+    df = df.select("doc_id", F.lit(1).alias("__w"), "text", F.lit("x").alias("__salt"), "source", F.lit(None).cast("int").alias("base_failed"), F.lit(2).alias("host"), F.lit(3).alias("c0"), F.lit(4).alias("n_words"))
+    want = sorted(r.doc_id for r in quality.rate_documents(df).collect() if r.kept)
+    for sent in (quality.MOST_SENT, -1):
+        monkeypatch.setattr(quality, "MOST_SENT", sent)
+        kept = quality.keep_good(df)
+        assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == want
+        assert {tuple(r)[1::2] for r in kept.collect()} == {(1, "x", None, 3)}
+    assert 0 < len(want) < df.count()
+
+
+def test_verdicts_do_not_multiply_the_plan(spark):
+    df = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
+    rows = quality.features(df).select("doc_id", "text", "source", "base_failed")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") <= 3 and plan.count("sort_array(") <= 2
+    assert "xxhash64" not in quality.keep_good(df)._jdf.queryExecution().optimizedPlan().toString()
