@@ -4,25 +4,29 @@ A document is its ids and an end id; one of more than `capacity` ids is cut into
 be shorter. Pieces are packed into sequences of at most `capacity` ids, as few as can be found. Only lengths matter
 for that, so an individual is a list of bins, each a list of item numbers of its island.
 
-An island holds about ISLAND pieces. Its first individuals come from best fit over decreasing and perturbed orders
-and from filling bin by bin; if one reaches the total length's bound, evolution is over. Crossover puts whole well-filled bins of one parent into the other, drops the bins that now hold an item
-twice, and best-fits the items displaced by that; the fitter of child and worse parent stays, fitness being the
-mean of squared fills. Islands evolve independently. Then migration: the islands' most frequent patterns of full
-bins (the lengths in them, a bounded number) go to all islands of the next epoch, whose individuals start from such
-bins where their own lengths allow it; bins that are filled up to within SLACK stay, and the pieces of all others
-meet pieces of other islands, in as many islands as they need. The last epoch has one island, which keeps all bins.
-An epoch with several islands usually leaves about one poorly filled bin for each. Where pieces can't be combined
-that well, as with many copies of one document, an island whose bins within SLACK hold less than LEAST_DONE of its
-pieces settles the fuller half of its bins too. Those hold at least half of its ids, so every epoch leaves less.
+Pieces are dealt into demes of about DEME. A deme has ISLANDS islands, each a task of its own with a population of
+packings of all pieces of the deme. The first individuals are best fits in random orders, so a packing gets good by
+evolution alone: a crossover puts whole well-filled bins of one parent into the other, drops there the bins that now
+hold a piece twice, dissolves some others (those with room, and at times a random share of the full ones), and
+best-fits the pieces displaced by that. The child replaces the worse parent if it is fitter, which means fewer bins, then
+a higher mean of squared fills. After an epoch each island's elite, its best individual, migrates to the next island
+of the deme; after another epoch the elites of all islands meet in one population, whose best decides. A population
+that has reached the bound of the total length stops early.
+
+Then bins that are filled up to within SLACK stay, and the pieces of all others are dealt anew, into as many demes as
+they need. Where there is one deme only, all its bins stay. A round usually leaves a few poorly filled bins a deme.
+Where pieces can't be combined that well, as with many copies of one document, a deme whose bins within SLACK hold
+less than LEAST_DONE of its pieces settles the fuller half of its bins too. Those hold at least half of its ids, so
+every round leaves less.
 
 Every piece keeps its own row from start to end. Null text counts as empty (one sequence place, the end id); rows
-that repeat an id are packed each. An empty table packs into nothing.
+that repeat an id are packed each; a very long text is many pieces. An empty table packs into nothing. Columns other
+than those asked for are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +37,19 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import common, word_bpe
 
-#: Pieces of an island; individuals of an island; generations.
-ISLAND, POPULATION, GENERATIONS = 4096, 4, 40
-#: A bin that lacks at most so many ids is left alone before the last epoch.
+#: Pieces of a deme; islands of a deme; individuals of an island at the start.
+DEME, ISLANDS, POPULATION = 4096, 3, 4
+#: Generations of the first epoch, of the epoch after migration, and of the elites' meeting.
+GENERATIONS = (20, 15, 15)
+#: A bin that lacks at most so many ids is left alone before the last round.
 SLACK = 4
-#: An island that settles a smaller share of its pieces than this settles the fuller half of its bins.
+#: A deme that settles a smaller share of its pieces than this settles the fuller half of its bins.
 LEAST_DONE = 0.125
-#: Elite patterns that migrate.
-ELITES = 256
+#: Lengths are taken up to so many times longer where an order is perturbed.
+PERTURBED = 3.0
+
+#: Bins as lists of item numbers, and the room left in each.
+Packing = tuple[list[list[int]], list[int]]
 
 
 def best_fit(lengths: list[int], items: list[int], capacity: int, bins: list[list[int]], room: list[int]) -> None:
@@ -74,133 +83,95 @@ def best_fit(lengths: list[int], items: list[int], capacity: int, bins: list[lis
             at.append(b)
 
 
-def bin_by_bin(lengths: list[int], items: list[int], capacity: int, bins: list[list[int]], room: list[int]) -> None:
-    """Fill one bin after the other: the longest item left, then the one or two that leave the least room."""
-    free: dict[int, list[int]] = {}
-    for i in items:
-        free.setdefault(lengths[i], []).append(i)
-    mask = sum(1 << n for n in free)
-
-    def take(n: int) -> int:
-        nonlocal mask
-        at = free[n]
-        i = at.pop()
-        if not at:
-            mask ^= 1 << n
-        return i
-
-    while mask:
-        n = mask.bit_length() - 1
-        own, r = [take(n)], capacity - n
-        while r and (fit := mask & ((2 << r) - 1)):
-            one = fit.bit_length() - 1
-            best, pair, rest = one, None, fit
-            while rest and best < r:
-                a = rest.bit_length() - 1
-                if 2 * a < best:
-                    break
-                rest ^= 1 << a
-                under = mask & ((2 << min(a, r - a)) - 1)
-                if len(free[a]) < 2:
-                    under &= ~(1 << a)
-                b = under.bit_length() - 1
-                if b > 0 and a + b > best:
-                    best, pair = a + b, (a, b)
-            for k in pair or (one,):
-                own.append(take(k))
-            r -= best
-        bins.append(own)
-        room.append(r)
-
-
 def fitness(room: list[int], capacity: int) -> float:
     """Fewer bins first, then fuller ones."""
     return sum(((capacity - r) / capacity) ** 2 for r in room) / len(room) - len(room)
 
 
-def crossover(lengths: list[int], into: tuple, other: tuple, capacity: int, rng: np.random.Generator) -> tuple:
-    """A child of two individuals (bins, room): a random run of other's fullest bins goes into the first."""
+def crossover(lengths: list[int], into: Packing, other: Packing, capacity: int, rng: np.random.Generator) -> Packing:
+    """A child of two individuals: other's fullest bins, an eighth to a half of them, go into the first. Half of the
+    children also lose a random share of the first's other full bins and refit the longest displaced first; the other
+    half keep them and refit in an order that is perturbed."""
     bins, room = other
-    order = sorted(range(len(bins)), key=room.__getitem__)
-    half = max(1, len(order) // 2)
-    x, y = sorted(int(v) for v in rng.integers(0, half + 1, 2))
-    new = [order[k] for k in range(x, max(y, x + 1))]
-    taken = {i for b in new for i in bins[b]}
-    out_bins, out_room, displaced = [list(bins[b]) for b in new], [room[b] for b in new], []
-    for b, r in zip(*into, strict=True):
-        if taken.isdisjoint(b):
+    order = np.argsort(np.array(room) + rng.random(len(room)))[: max(1, int(rng.integers(len(room) // 8, len(room) // 2 + 1)))].tolist()
+    taken = {i for b in order for i in bins[b]}
+    out_bins, out_room, displaced = [list(bins[b]) for b in order], [room[b] for b in order], []
+    wild = rng.random() < 0.5
+    dissolve = rng.random(len(into[0])) < (0 if wild else rng.random())
+    for b, r, gone in zip(*into, dissolve.tolist(), strict=True):
+        if not taken.isdisjoint(b):
+            displaced += [i for i in b if i not in taken]
+        elif r or gone:
+            displaced += b
+        else:
             out_bins.append(list(b))
             out_room.append(r)
-        else:
-            displaced += [i for i in b if i not in taken]
-    displaced.sort(key=lengths.__getitem__, reverse=True)
-    best_fit(lengths, displaced, capacity, out_bins, out_room)
+    key = np.array([lengths[i] for i in displaced]) * (rng.uniform(1, 1 + PERTURBED * rng.random(), len(displaced)) if wild else 1)
+    best_fit(lengths, [displaced[k] for k in np.argsort(-key, kind="stable")], capacity, out_bins, out_room)
     return out_bins, out_room
 
 
-def settled(lengths: list[int], patterns: list[tuple[int, ...]], capacity: int) -> tuple[list, list, list]:
-    """Bins made after elite patterns while the lengths last, their room, and the items left over."""
-    free: dict[int, list[int]] = {}
-    for i, n in enumerate(lengths):
-        free.setdefault(n, []).append(i)
-    bins, room = [], []
-    for p in patterns:
-        need = Counter(p)
-        while all(len(free.get(n, ())) >= k for n, k in need.items()):
-            bins.append([free[n].pop() for n in p])
-            room.append(capacity - sum(p))
-    return bins, room, [i for v in free.values() for i in v]
-
-
-def evolve(lengths: list[int], capacity: int, patterns: list[tuple[int, ...]], seed: int) -> tuple[list, list]:
-    """The best individual (bins, room) of an island."""
-    rng = np.random.default_rng(seed)
+def evolve(lengths: list[int], capacity: int, people: list[Packing], generations: int, rng: np.random.Generator) -> Packing:
+    """The best individual after so many generations. people: elites that came here; best fits in random orders join
+    them until there are POPULATION."""
     bound = -(-sum(lengths) // capacity)
-    people = []
-    for k in range(POPULATION):
-        bins, room, items = settled(lengths, patterns, capacity) if patterns and k % 2 else ([], [], list(range(len(lengths))))
-        noise = rng.uniform(1, 1 + 0.05 * (k // 2 + 1), len(items)) if k > 1 else np.ones(len(items))
-        key = {i: lengths[i] * z for i, z in zip(items, noise, strict=True)}
-        items.sort(key=lambda i: (-key[i], i))
-        (bin_by_bin if k in (1, 2) else best_fit)(lengths, items, capacity, bins, room)
-        people.append((fitness(room, capacity), bins, room))
-        if len(room) == bound:  # no packing has fewer bins
-            break
-    for _ in range(GENERATIONS):
-        people.sort(key=lambda p: -p[0])
-        if len(people[0][1]) == bound or len(people) < 2:
+    people = list(people)
+    while len(people) < POPULATION:
+        bins: list[list[int]] = []
+        room: list[int] = []
+        best_fit(lengths, rng.permutation(len(lengths)).tolist(), capacity, bins, room)
+        people.append((bins, room))
+    ranked = sorted(((fitness(p[1], capacity), p) for p in people), key=lambda x: -x[0])
+    for _ in range(generations):
+        if len(ranked[0][1][1]) == bound:  # no packing has fewer bins
             break
-        a, b = sorted(rng.choice(len(people), 2, replace=False))
-        bins, room = crossover(lengths, people[b][1:], people[a][1:], capacity, rng)
-        f = fitness(room, capacity)
-        if f > people[b][0]:
-            people[b] = (f, bins, room)
-    best = max(people, key=lambda p: p[0])
-    return best[1], best[2]
+        a, b = (int(x) for x in rng.choice(len(ranked), 2, replace=False))
+        child = crossover(lengths, ranked[b][1], ranked[a][1], capacity, rng)
+        worse, f = max(a, b), fitness(child[1], capacity)
+        if f > ranked[worse][0]:
+            ranked[worse] = (f, child)
+            ranked.sort(key=lambda x: -x[0])
+    return ranked[0][1]
+
 
+_ROW = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_ELITE = f"{_ROW}, k long, deme long, origin int, bin int"
+_PACKED = f"{_ROW}, sequence_id long, offset long"
 
-_ISLAND_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, pattern array<int>"
 
+def _epoch(capacity: int, number: int, step: int, last: bool = False):
+    """A task of one island, or, at the elites' meeting (step 2), of one deme. Rows: each item once for each elite that
+    came, with the bin it has there (null at the start). Gives the best individual; at the meeting what stays."""
 
-def _island(capacity: int, patterns: list[tuple[int, ...]], epoch: int, last: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        lengths = rows["length"].tolist()
-        bins, room = evolve(lengths, capacity, patterns, epoch * 1_000_003 + int(key[0]))
-        sequence, offset = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int64)
-        shown: list = [None] * len(rows)
+        rows = rows.sort_values(["origin", "length", "k"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
+        n = int((rows["origin"] == rows["origin"].iloc[0]).sum())
+        one = rows.iloc[:n]
+        lengths, people = one["length"].tolist(), []
+        for x in range(0, len(rows) if step else 0, n):
+            at = rows["bin"].to_numpy()[x : x + n]
+            bins: list[list[int]] = [[] for _ in range(int(at.max()) + 1)]
+            for i, b in enumerate(at.tolist()):
+                bins[b].append(i)
+            people.append((bins, [capacity - sum(lengths[i] for i in b) for b in bins]))
+        seed = [number, step, *(int(k) for k in key)]
+        bins, room = evolve(lengths, capacity, people, GENERATIONS[step], np.random.default_rng(seed))
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        if step < 2:
+            where = np.empty(n, np.int32)
+            for b, items in enumerate(bins):
+                where[items] = b
+            return one[[*names, "k"]].assign(deme=int(key[0]), origin=int(key[1]), bin=where)
+        sequence, offset = np.full(n, -1, np.int64), np.zeros(n, np.int64)
         stay = {b for b, r in enumerate(room) if last or r <= SLACK}
-        if sum(len(bins[b]) for b in stay) < LEAST_DONE * len(rows):
+        if sum(len(bins[b]) for b in stay) < LEAST_DONE * n:
             stay.update(sorted(range(len(room)), key=room.__getitem__)[: -(-len(room) // 2)])
-        for b, (items, r) in enumerate(zip(bins, room, strict=True)):
-            if b in stay:
-                at = 0
-                for i in items:
-                    sequence[i], offset[i] = (epoch << 56) | (int(key[0]) << 16) | b, at
-                    at += lengths[i]
-                if r == 0 and len(items) > 1 and not last:
-                    shown[items[0]] = sorted((lengths[i] for i in items), reverse=True)
-        return rows[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=sequence, offset=offset, pattern=shown)
+        for b in stay:
+            at = 0
+            for i in bins[b]:
+                sequence[i], offset[i] = (number << 56) | (int(key[0]) << 16) | b, at
+                at += lengths[i]
+        return one[names].assign(sequence_id=sequence, offset=offset)
 
     return run
 
@@ -227,20 +198,28 @@ def pieces(docs: DataFrame, vocabulary: str, end: int, capacity: int, id_col: st
 
 def pack(rows: DataFrame, capacity: int) -> DataFrame:
     """rows: (doc_id, piece, start, length, ids_crc32), each length from 1 to capacity; adds sequence_id and offset."""
+    common.ship(rows.sparkSession)
     todo = common.stage(rows, "pack-pieces")
-    done, patterns, epoch = [], [], 1
+    done, number = [], 1
     while True:
-        islands = max(1, -(-todo.count() // ISLAND))
-        # rows are dealt by their place in the staged table: no key can gather many of them
-        dealt = todo.withColumn("island", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(islands)))
-        packed = common.stage(dealt.groupBy("island").applyInPandas(_island(capacity, patterns, epoch, islands == 1), _ISLAND_SCHEMA), "pack-epoch")
-        done.append(packed.where("sequence_id >= 0").drop("pattern"))
-        if islands == 1:
+        demes = max(1, -(-todo.count() // DEME))
+        # rows are known and dealt by their place in the staged table: no key can gather many of them
+        dealt = todo.withColumn("k", F.monotonically_increasing_id()).withColumn("deme", F.pmod(F.xxhash64("k"), F.lit(demes)))
+        dealt = common.stage(dealt.select(*rows.columns, "k", "deme"), "pack-dealt")
+        first = dealt.withColumn("origin", F.lit(0)).withColumn("bin", F.lit(None).cast("int"))
+        first = first.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+        elites = common.stage(first.groupBy("deme", "island").applyInPandas(_epoch(capacity, number, 0), _ELITE), "pack-elites")
+        # each elite stays at home and goes to the next island
+        moved = elites.withColumn("island", F.explode(F.array("origin", (F.col("origin") + 1) % ISLANDS)))
+        later = common.stage(moved.groupBy("deme", "island").applyInPandas(_epoch(capacity, number, 1), _ELITE), "pack-elites")
+        packed = common.stage(later.groupBy("deme").applyInPandas(_epoch(capacity, number, 2, demes == 1), _PACKED), "pack-round")
+        for old in (dealt, elites, later):
+            common.unstage(old)
+        done.append(packed.where("sequence_id >= 0"))
+        if demes == 1:
             break
-        best = packed.where("pattern is not null").groupBy("pattern").count().orderBy(F.desc("count"), "pattern").limit(ELITES).collect()
-        patterns = [tuple(r["pattern"]) for r in best]
         todo = packed.where("sequence_id < 0").select(*rows.columns)
-        epoch += 1
+        number += 1
     out = done[0]
     for d in done[1:]:
         out = out.union(d)

@@ -39,9 +39,9 @@ def wanted(rows, capacity):
     return out
 
 
-@pytest.mark.parametrize("island", [4096, 40])
-def test_whole_table(spark, monkeypatch, island):
-    monkeypatch.setattr(packing, "ISLAND", island)
+@pytest.mark.parametrize("deme", [4096, 40])
+def test_whole_table(spark, monkeypatch, deme):
+    monkeypatch.setattr(packing, "DEME", deme)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = wanted(rows, 2048)
     n = check_packed(queries.op5_best_fit_packing(spark, SF), want, 2048)
@@ -78,23 +78,39 @@ def test_best_fit_and_crossover_keep_every_item():
     rng = random.Random(3)
     for seed in range(20):
         lengths = [rng.randrange(1, 100) for _ in range(300)]
-        bins, room = packing.evolve(lengths, 100, [(60, 40), (50, 30, 20)], seed)
+        bins, room = packing.evolve(lengths, 100, [], 40, np.random.default_rng(seed))
         assert sorted(i for b in bins for i in b) == list(range(300))
         assert [100 - sum(lengths[i] for i in b) for b in bins] == room and min(room) >= 0
-        a, b = packing.evolve(lengths, 100, [], seed), packing.evolve(lengths, 100, [], seed + 1)
+        a, b = (packing.evolve(lengths, 100, [], 0, np.random.default_rng(seed + x)) for x in (1, 2))
         child = packing.crossover(lengths, a, b, 100, np.random.default_rng(seed))
         assert sorted(i for x in child[0] for i in x) == list(range(300))
         assert [100 - sum(lengths[i] for i in x) for x in child[0]] == child[1] and min(child[1]) >= 0
 
 
-def test_evolution_beats_best_fit_decreasing():
+def test_evolution_beats_best_fit_decreasing(spark):
     lengths = [70, 30, 60, 40, 50, 50, 45, 35, 20] * 30  # 120 full bins exist
     bins, room = [], []
     packing.best_fit(lengths, sorted(range(len(lengths)), key=lambda i: -lengths[i]), 100, bins, room)
-    n = len(packing.evolve(lengths, 100, [], 1)[0])
+    rows = [(i, 0, 0, n, i) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    n = check_packed(packing.pack(df, 100), {(i, 0): (0, n, i) for i, n in enumerate(lengths)}, 100)
     assert 120 <= n < len(bins)
 
 
+def test_crossover_and_migration_decide_the_packing_of_real_documents(spark):
+    rows = packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), P.path("word_bpe_49k.json"), 0, 2048)
+    lengths = sorted((r.length for r in rows.collect()), reverse=True)
+    bound = -(-sum(lengths) // 2048)
+    start = [packing.evolve(lengths, 2048, [], 0, np.random.default_rng(k)) for k in range(packing.ISLANDS)]
+    alone = [packing.evolve(lengths, 2048, [], packing.GENERATIONS[0], np.random.default_rng(k)) for k in range(packing.ISLANDS)]
+    met = packing.evolve(lengths, 2048, alone, packing.GENERATIONS[1], np.random.default_rng(9))
+    fit = lambda p: packing.fitness(p[1], 2048)
+    assert all(len(s[0]) > bound for s in start) and all(fit(a) > fit(s) for s, a in zip(start, alone, strict=True))
+    assert fit(met) >= max(map(fit, alone)) and len(met[0]) <= bound + 1 < min(len(s[0]) for s in start)
+    out = packing.pack(rows, 2048)
+    assert out.select("sequence_id").distinct().count() <= bound + 1
+
+
 def check_shards(rows, out, shards):
     got = out.collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.size, r.text_crc32) for r in got) == sorted((i is None, i or 0, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
