@@ -15,6 +15,7 @@ import html
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -50,7 +51,14 @@ _GROUP_OF = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 _NAME_OF = {t: i for i, g in enumerate(NAMES.values()) for t in g.split()}
 _ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "main": "main", "search": "form", "dialog": "dialog", "alert": "notice", "article": "article"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S)
+#: Elements whose content is never markup, so that one that isn't closed takes the rest of the page.
+PLAIN = frozenset("script style textarea title noscript".split())
+#: Elements that end an open `p` only up to these.
+P_BORDERS = ("td", "th", "table", "li", "div", "article", "section", "body")
+
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_QUOTE = re.compile("[\"']")
+_END = {n: re.compile(rf"</{n}(?=[\s/>])" + (rf"|<{n}(?=[\s/>])" if n in ("button", "select") else ""), re.I) for n in RAW | PLAIN}
 _ATTRIBUTE = re.compile(r"(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 
@@ -80,11 +88,69 @@ def _attributes(raw: str) -> tuple[tuple, bool, str | None]:
     return tuple(kinds), hidden, role
 
 
+class _Ends:
+    """Where tags end: at the first `>` outside quotes. Once a quotation mark turns out to have no partner up to the
+    last `>`, the first `>` counts in the rest of the page, so that no stretch is searched again and again."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def find(self, at: int) -> int:
+        page = self.page
+        if at > self.last:
+            return -1
+        first = end = page.find(">", at)
+        while self.quotes and (m := _QUOTE.search(page, at, end)):
+            shut = page.find(m[0], m.end())
+            if shut < 0 or shut > self.last:
+                self.quotes = False
+                return first
+            at = shut + 1
+            if shut > end:
+                end = page.find(">", at)
+        return end
+
+
+class _Opened:
+    """Names of open elements, innermost last; each step takes time by what it closes."""
+
+    def __init__(self, *names: str):
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = {}
+        for n in names:
+            self.push(n)
+
+    def push(self, name: str) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost one that has any of the names; -1 if there is none."""
+        best = -1
+        for n in names:
+            if (at := self.at.get(n)) and at[-1] > best:
+                best = at[-1]
+        return best
+
+    def first_behind(self, place: int, names: set[str]) -> int:
+        """Place of the outermost one behind a place that has any of the names; -1 if there is none."""
+        found = [at[k] for n in names if (at := self.at.get(n)) and (k := bisect_right(at, place)) < len(at)]
+        return min(found, default=-1)
+
+    def cut(self, place: int) -> None:
+        names = self.names
+        while len(names) > place:
+            self.at[names.pop()].pop()
+
+
 def parse(page: str) -> list[Node]:
-    """The DOM in document order, node 0 the root; text leaves are `#text` nodes with white space made single."""
+    """The DOM in document order, node 0 the root; text leaves are `#text` nodes with white space made single.
+
+    Takes time linear in the page, whatever is left open in it. Content of RAW elements is left out; one that isn't
+    closed before its enclosing block loses its tag only, unless its content is PLAIN."""
     nodes = [Node("html", -1, 0)]
-    stack = [0]
-    inline: list[str] = []  # open inline elements, to know what is a link
+    stack, blocks, inline, ends = [0], _Opened(""), _Opened(), _Ends(page)
+    unclosed: set[str] = set()
     pieces: list[str] = []
     linked, plain = 0, 0
     position, end = 0, len(page)
@@ -101,43 +167,70 @@ def parse(page: str) -> list[Node]:
             pieces.clear()
         linked = plain = 0
 
-    def close(i: int) -> None:
-        del stack[i:]
+    def close(place: int) -> None:
+        del stack[place:]
+        blocks.cut(place)
 
     def words(x: int, y: int) -> None:
         nonlocal linked, plain
         if y > x:
             pieces.append(page[x:y])
-            if "a" in inline:
+            if inline.last("a") >= 0:
                 linked += y - x
             else:
                 plain += y - x
 
+    def behind(name: str, at: int, slash: bool) -> int:
+        """Where to go on after the start tag, ending at `at`, of a RAW element or a title."""
+        if name not in PLAIN and (slash or name in unclosed):
+            return at
+        shut = _END[name].search(page, at)
+        if shut is None:
+            unclosed.add(name)
+            return end if name in PLAIN else at
+        if name not in PLAIN and name != "head":
+            up = blocks.names[-1].lstrip("#")
+            around = re.findall(rf"<(/?){up}(?=[\s/>])", page[at : shut.start()], re.I) if up else []
+            if 2 * around.count("/") > len(around):
+                unclosed.add(name)
+                return at
+        if page[shut.start() + 1] != "/":  # another start tag, which ends this one
+            return shut.start()
+        to = page.find(">", shut.end())
+        return to + 1 if to >= 0 else end
+
     while position < end:
-        m = _TAG.search(page, position)
+        m = _OPEN.search(page, position)
         if m is None:
             words(position, end)
             break
+        if m[1]:
+            words(position, m.start())
+            shut = page.find("-->", m.end())
+            position = shut + 3 if shut >= 0 else end
+            continue
+        shut = ends.find(m.end()) if m[3] else page.find(">", m.end()) if m.end() <= ends.last else -1
+        if shut < 0:  # no tag ends any more
+            rest = page.find("<!--", m.end())
+            words(position, rest if rest >= 0 else end)
+            break
         words(position, m.start())
-        position = m.end()
-        name = m[2]
-        if not name:
+        position = shut + 1
+        if not m[3]:
             continue
-        name = name.lower()
-        if m[1]:
+        name, raw = m[3].lower(), page[m.end() : shut]
+        if m[2]:
             if name in BLOCK:
-                for i in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[i]].tag == name or nodes[stack[i]].tag == "#" + name:
-                        leaf()
-                        close(i)
-                        break
-                inline.clear()
-            elif name in inline:
-                del inline[len(inline) - 1 - inline[::-1].index(name) :]
+                place = blocks.last(name, "#" + name)
+                if place > 0:
+                    leaf()
+                    close(place)
+                inline.cut(0)
+            elif (place := inline.last(name)) >= 0:
+                inline.cut(place)
             continue
         if name in RAW or name == "title":
-            shut = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, position)
-            position = shut.end() if shut else (position if name == "head" else end)
+            position = behind(name, position, raw.endswith("/"))
             continue
         if name == "br":
             pieces.append(" ")
@@ -145,32 +238,22 @@ def parse(page: str) -> list[Node]:
         if name in VOID and name != "hr":
             continue
         if name not in BLOCK:
-            if not m[3].endswith("/"):
-                inline.append(name)
+            if not raw.endswith("/"):
+                inline.push(name)
             continue
         leaf()
-        inline.clear()
-        if name in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                tag = nodes[stack[i]].tag
-                if tag == "p":
-                    close(i)
-                    break
-                if tag in ("td", "th", "table", "li", "div", "article", "section", "body"):
-                    break
+        inline.cut(0)
+        if name in CLOSES_P and (place := blocks.last("p")) > 0 and place > blocks.last(*P_BORDERS):
+            close(place)
         if name in CLOSES:
             which, border = CLOSES[name]
-            for i in range(len(stack) - 1, 0, -1):
-                tag = nodes[stack[i]].tag
-                if tag in border:
-                    break
-                if tag in which:
-                    close(i)
-                    if name != "tr":
-                        break
+            edge = max(0, blocks.last(*border))
+            place = blocks.first_behind(edge, which) if name == "tr" else blocks.last(*which)
+            if place > edge:
+                close(place)
         if name == "hr" or name == "html":
             continue
-        kinds, hidden, role = _attributes(m[3]) if m[3] else ((), False, None)
+        kinds, hidden, role = _attributes(raw) if raw else ((), False, None)
         tag = _ROLES.get(role, name) if role else name
         if tag == "notice":
             tag, kinds = name, (*kinds, list(NAMES).index("notice"))
@@ -178,6 +261,7 @@ def parse(page: str) -> list[Node]:
         nodes[at].children.append(len(nodes))
         stack.append(len(nodes))
         nodes.append(Node(tag if tag == name else "#" + name, at, nodes[at].depth + 1, kinds, hidden=hidden))
+        blocks.push(nodes[-1].tag)
         if tag != name:
             nodes[-1].names = (*kinds, -1 - _GROUP_OF[tag]) if tag in _GROUP_OF else kinds
     leaf()
@@ -191,30 +275,29 @@ N_FEATURES = N_TAGS + 2 * N_NAMES + N_TAGS + 17
 def features(nodes: list[Node]) -> np.ndarray:
     n = len(nodes)
     x = np.zeros((n, N_FEATURES), np.float32)
-    parent = np.array([v.parent for v in nodes])
     text = np.array([len(v.text) if v.text else 0 for v in nodes], np.float64)
     link = np.array([v.link for v in nodes], np.float64)
     leaves = (text > 0).astype(np.float64)
-    stops = np.array([sum(map(v.text.count, ".!?")) if v.text else 0 for v in nodes], np.float64)
-    paragraphs = np.array([v.tag == "p" for v in nodes], np.float64)
-    size = np.ones(n)
-    total, links, kids, ends, ps = text.copy(), link.copy(), leaves.copy(), stops.copy(), paragraphs.copy()
-    for i in range(n - 1, 0, -1):
-        p = parent[i]
-        for a in (total, links, kids, ends, ps, size):
-            a[p] += a[i]
-    for i, v in enumerate(nodes):
-        own = x[i]
-        groups = [_GROUP_OF[v.tag.lstrip("#")] if v.tag != "#text" and v.tag.lstrip("#") in _GROUP_OF else _GROUP_OF["#text"]] if v.tag == "#text" or v.tag.lstrip("#") in _GROUP_OF else []
-        groups += [-1 - k for k in v.names if k < 0]
-        own[groups] = 1
-        own[[N_TAGS + k for k in v.names if k >= 0]] = 1
-        if v.parent >= 0:  # what stands above
-            up = x[v.parent]
-            lo = N_TAGS + N_NAMES
-            own[lo : lo + N_NAMES] = np.maximum(up[N_TAGS:lo], up[lo : lo + N_NAMES])
-            lo += N_NAMES
-            own[lo : lo + N_TAGS] = np.maximum(up[:N_TAGS], up[lo : lo + N_TAGS])
+    stops = [float(sum(map(v.text.count, ".!?"))) if v.text else 0.0 for v in nodes]
+    columns = [text.tolist(), link.tolist(), leaves.tolist(), stops, [float(v.tag == "p") for v in nodes], [1.0] * n]
+    up = [v.parent for v in nodes]
+    for a in columns:  # sums over subtrees
+        for i in range(n - 1, 0, -1):
+            a[up[i]] += a[i]
+    total, links, kids, ends, ps, size = map(np.array, columns)
+    own, above = [], []  # bits: tag groups, then kinds of names; of the node, and of what stands above it
+    for v in nodes:
+        tag = v.tag if v.tag == "#text" else v.tag.lstrip("#")
+        bits = 1 << _GROUP_OF[tag] if tag in _GROUP_OF else 0
+        for k in v.names:
+            bits |= 1 << (N_TAGS + k if k >= 0 else -1 - k)
+        above.append(own[v.parent] | above[v.parent] if v.parent >= 0 else 0)
+        own.append(bits)
+    bit = np.arange(N_TAGS + N_NAMES)
+    x[:, : N_TAGS + N_NAMES] = np.array(own, np.int64)[:, None] >> bit & 1
+    over = np.array(above, np.int64)[:, None] >> bit & 1
+    x[:, N_TAGS + N_NAMES : N_TAGS + 2 * N_NAMES] = over[:, N_TAGS:]
+    x[:, N_TAGS + 2 * N_NAMES : 2 * N_TAGS + 2 * N_NAMES] = over[:, :N_TAGS]
     lo = 2 * N_TAGS + 2 * N_NAMES
     x[:, lo] = np.log1p(total)
     x[:, lo + 1] = links / np.maximum(total, 1)
@@ -227,17 +310,20 @@ def features(nodes: list[Node]) -> np.ndarray:
     x[:, lo + 8] = np.log1p(ps)
     x[:, lo + 9] = np.log1p(size)
     x[:, lo + 15] = [v.hidden for v in nodes]
-    most = max((total[i] for i in range(1, n) if nodes[i].tag != "#text" and nodes[i].depth > 1), default=1)
-    x[:, lo + 16] = total / max(1.0, most)
-    for v in nodes:
-        k = len(v.children)
-        own = total[v.children]
-        for j, c in enumerate(v.children):
-            x[c, lo + 10] = k
-            x[c, lo + 11] = j / max(1, k - 1)
-            x[c, lo + 12] = np.log1p(own[j - 1]) if j else -1
-            x[c, lo + 13] = np.log1p(own[j + 1]) if j + 1 < k else -1
-            x[c, lo + 14] = own[j] / max(1.0, own.max())
+    inner = [i for i, v in enumerate(nodes) if v.tag != "#text" and v.depth > 1]
+    x[:, lo + 16] = total / max(1.0, total[inner].max(initial=1 if not inner else 0))
+    child = np.array([c for v in nodes for c in v.children], np.int64)
+    if len(child):  # siblings stand together
+        counts = np.array([len(v.children) for v in nodes if v.children])
+        begin = np.r_[0, counts.cumsum()[:-1]]
+        k, place = np.repeat(counts, counts), np.arange(len(child)) - np.repeat(begin, counts)
+        held = total[child]
+        logs = np.log1p(held)
+        x[child, lo + 10] = k
+        x[child, lo + 11] = place / np.maximum(1, k - 1)
+        x[child, lo + 12] = np.where(place > 0, np.r_[0, logs[:-1]], -1)
+        x[child, lo + 13] = np.where(place + 1 < k, np.r_[logs[1:], 0], -1)
+        x[child, lo + 14] = held / np.maximum(1.0, np.repeat(np.maximum.reduceat(held, begin), counts))
     return x
 
 
@@ -298,16 +384,15 @@ class Boosted:
 def decode(nodes: list[Node], p: np.ndarray) -> np.ndarray:
     """The likeliest labels with no kept node under one that isn't; the root is kept."""
     q = np.clip(p, 1e-6, 1 - 1e-6)
-    yes, no = np.log(q), np.log(1 - q)
+    yes, no = np.log(q).tolist(), np.log(1 - q).tolist()
     for i in range(len(nodes) - 1, 0, -1):
         up = nodes[i].parent
         yes[up] += max(yes[i], no[i])
         no[up] += no[i]
-    kept = np.zeros(len(nodes), bool)
-    kept[0] = True
+    kept = [True]
     for i in range(1, len(nodes)):
-        kept[i] = kept[nodes[i].parent] and yes[i] > no[i]
-    return kept
+        kept.append(kept[nodes[i].parent] and yes[i] > no[i])
+    return np.array(kept)
 
 
 #: Put before main text by the generator of training pages, and taken out before features are made.
@@ -334,7 +419,7 @@ def training_pages(count: int, seed: int) -> list[str]:
         return f' {rng.choice(["class", "id"])}="{rng.choice(["", "", "site-", "the ", "page-"])}{rng.choice(names)}{rng.choice(["", "", "-box", " wide", "-1"])}"'
 
     def links(tag: str, a: int, b: int) -> str:
-        items = [f'<a href="/{word()}">{phrase(1, 4)}</a>' for _ in range(rng.randint(a, b))]
+        items = [f'<a href="/{word()}">{phrase(1, 4)}{rng.choice(["", "", "", ".", ",", "!"])}</a>' for _ in range(rng.randint(a, b))]
         return f"<{tag}>" + "".join(f"<li>{x}</li>" for x in items) + f"</{tag}>" if tag else " | ".join(items)
 
     def menu() -> str:
@@ -406,7 +491,7 @@ def training_pages(count: int, seed: int) -> list[str]:
     def article() -> str:
         inner = "".join(content())
         tag = rng.choice(["article", "article", "article", "main", "div", "div", "section"])
-        attr = "" if tag in ("article", "main") and rng.random() < 0.6 else f" {rng.choice(['class', 'id'])}=\"{rng.choice(['content', 'post', 'entry-content', 'article', 'story', 'main', 'text', 'post-body'])}\""
+        attr = "" if rng.random() < (0.6 if tag in ("article", "main") else 0.3) else f" {rng.choice(['class', 'id'])}=\"{rng.choice(['content', 'post', 'entry-content', 'article', 'story', 'main', 'text', 'post-body'])}\""
         body = f"<{tag}{attr}>{inner}</{tag}>"
         if rng.random() < 0.3:
             outer = rng.choice(["main", "div", "div class=\"wrapper\"", "div id=\"page\""])
@@ -427,8 +512,8 @@ def training_pages(count: int, seed: int) -> list[str]:
     return pages
 
 
-#: Training pages, their seed.
-PAGES, SEED = 600, 20
+#: Training pages, their seed, rounds of boosting; nodes of pages that are judged at once, about.
+PAGES, SEED, ROUNDS, NODES = 600, 20, 60, 20_000
 
 
 def labelled(page: str) -> tuple[list[Node], np.ndarray]:
@@ -447,26 +532,36 @@ def labelled(page: str) -> tuple[list[Node], np.ndarray]:
 @cache
 def trained(pages: int = PAGES, seed: int = SEED) -> Boosted:
     got = [labelled(p) for p in training_pages(pages, seed)]
-    return Boosted().fit(np.concatenate([features(n) for n, _ in got]), np.concatenate([y for _, y in got]))
+    return Boosted(ROUNDS).fit(np.concatenate([features(n) for n, _ in got]), np.concatenate([y for _, y in got]))
 
 
 def main_texts(pages: list, model: Boosted) -> list[str]:
     """The main text of each page (null: empty)."""
-    doms = [parse(p or "") for p in pages]
-    if not doms:
-        return []
-    p = model.probability(np.concatenate([features(d) for d in doms]))
-    out, at = [], 0
-    for d in doms:
-        kept = decode(d, p[at : at + len(d)])
-        at += len(d)
-        out.append("\n\n".join(v.text for v, k in zip(d, kept, strict=True) if k and v.text))
+    out: list[str] = []
+    waiting: list[list[Node]] = []
+
+    def flush() -> None:
+        p = model.probability(np.concatenate([features(d) for d in waiting]))
+        at = 0
+        for d in waiting:
+            kept = decode(d, p[at : at + len(d)])
+            at += len(d)
+            out.append("\n\n".join(v.text for v, k in zip(d, kept.tolist(), strict=True) if k and v.text))
+        waiting.clear()
+
+    for page in pages:
+        waiting.append(parse(page or ""))
+        if sum(map(len, waiting)) > NODES:
+            flush()
+    if waiting:
+        flush()
     return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every row of pages; null or empty html gives the empty text. Null and repeated
-    ids are rows like any other; an empty table gives no rows; other columns are ignored."""
+    ids are rows like any other; an empty table gives no rows; other columns are ignored. Very long pages are read
+    whole, in time linear in them."""
     common.ship(pages.sparkSession)
     model = trained()
     state = (model.base, model.depth, model.trees)

@@ -1,6 +1,7 @@
 import html as H
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -84,3 +85,27 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     out = X.extract(df).collect()
     assert len(out) == 5 and all(r.text is not None and r.n_chars == len(r.text) for r in out) and X.extract(df.limit(0)).count() == 0
+
+
+def test_parser_is_linear_in_broken_pages():
+    n = 100_000
+    pages = ["<blockquote>" * n, "<div>" * n + "</p>" * n, "<a " * n, '<a x="' * n, '<a ">" ' * n + "'", "<i>x" * n, "<li>" * n, "<div>" + "<svg>" * n + "</div></svg>", "<div>" + "<button>" * n + "</div></button>", "<!x" * n, "<!--" * n]
+    for p in pages:
+        began = time.process_time()
+        X.parse(p)
+        assert time.process_time() - began < 3, p[:20]
+
+
+def test_unclosed_raw_elements_lose_their_tag_only():
+    texts = lambda p: [v.text for v in X.parse(p) if v.text]
+    assert texts("<div>a<svg viewBox='0'/>b</div><p>c</p>") == ["ab", "c"] and texts("<p>a<iframe src=x>b</p><p>c") == ["ab", "c"]
+    assert texts("<div><button>Go</div><p>text</p><button>x</button><p>more") == ["Go", "text", "x", "more"]
+    assert texts("<div><button>Go</button>rest</div><select><option>a</select>z") == ["rest", "z"]
+    assert texts("<object><p>x</p></object>y<math>z") == ["yz"] and texts("<p>a<textarea>b</p>") == ["a"]
+
+
+def test_main_text_of_pages_with_and_without_telling_names():
+    prose = "This is a sentence of the article that goes on for a while. It has a second one, and ends here."
+    for open_, shut in (("<article>", "</article>"), ('<div class="post">', "</div>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<section>", "</section>")):
+        page = f'<html><body><nav><a href="/">Home</a> <a href="/b">About us</a></nav>{open_}<h1>A title of it</h1>' + f"<p>{prose}</p>" * 6 + f'{shut}<div class="comments"><p>I like it. Thanks.</p></div><footer>&copy; 2020 Us</footer></body></html>'
+        assert X.main_texts([page], X.trained()) == ["\n\n".join(["A title of it", *[prose] * 6])], open_
