@@ -89,9 +89,11 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     nodes, maps, open_ = e.select(F.col("a").alias("node")).union(e.select("b")).distinct(), [], e
     while not open_.isEmpty():
         both = open_.union(open_.select("b", "a"))
-        hook = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
+        # staged, so that the join with itself is dealt by p on both sides and what hooks on one hub can be split
+        hook = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p")), f"{name}-hook")
         up = hook.select(F.col("a").alias("p"), F.col("p").alias("q"))
         jump = stage(hook.join(up, "p", "left").select("a", F.coalesce("q", "p").alias("p")), f"{name}-jump")
+        unstage(hook)
         maps.append(jump)
         ra, rb = jump.select("a", F.col("p").alias("pa")), jump.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         named = open_.join(ra, "a").join(rb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()

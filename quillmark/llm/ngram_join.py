@@ -13,9 +13,9 @@ n1 - k of them (then at least one shared range isn't empty); the other sets keep
 
 Buckets of equal signatures are joined without emitting their pairs: first each member with the bucket's hub only.
 Candidates pass two exact tests: sizes, and parity sketches (the parities of the counts of features in 2^j classes
-differ in at most |A ^ B| places); survivors are verified on whole sets, one partner of each node first. Links are contracted to
-components, and only buckets that still hold several components are looked at again, member against member of
-another component, by sketches inside the bucket. A task gives a forest of the candidate pairs it finds, the groups
+differ in at most |A ^ B| places); survivors are verified on whole sets, one partner of each node first. Links
+are contracted to components, and only buckets that still hold several components are looked at again, member against
+member of another component, by sketches inside the bucket. A task gives a forest of the candidate pairs it finds, the groups
 that these forests connect get their whole sets together, and links are sought in them, block against block; so no
 step makes rows for all pairs. Links between members of one component can't change the result.
 
@@ -48,6 +48,10 @@ SPARE = 1.15
 BLOCK = 512
 #: Buckets of more nodes are large.
 SMALL = 32
+#: Partners that a node's set is compared with in one go.
+PARTNERS = 1024
+#: Bytes of text for each part of the signatures; signatures of a part that are sorted at once.
+PART, SORTED = 64 << 20, 1_000_000
 #: Times as many classes of a sketch where nodes of one bucket are compared.
 WIDE = 4
 #: Nodes that a task remembers so as to make their signatures once.
@@ -299,33 +303,40 @@ def _emit(parts: int):
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed signatures of whole parts -> candidate pairs with a bucket's hub, its smallest upper node (kind 2);
-    buckets of three or more nodes, small (3) and large (5); how many large buckets a (node, step) is in (6); other
-    kinds pass through. A bucket without upper members has nothing to find."""
-    import xxhash
-
-    sig, node, size, part_of = [], [], [], []
+    """Packed signatures of whole parts -> what _buckets makes of them; other kinds pass through. A part is held
+    packed and sorted a slice at a time, about SORTED signatures, chosen by bits of the signature."""
+    held: dict[int, list[tuple[int, bytes]]] = {}
     for batch in batches:
         kind = batch.column("kind").to_numpy()
         rest = np.flatnonzero(kind != 0)
         if len(rest):
             yield batch.take(pa.array(rest)).select(["kind", "a", "b", "n", "blob"])
         for i in np.flatnonzero(kind == 0):
-            n, blob = batch.column("n")[i].as_py(), batch.column("blob")[i].as_py()
-            m = (len(blob) - 12 * n) // 7
-            local = np.frombuffer(blob, np.uint16, m, 12 * n)
-            low = np.zeros((m, 8), np.uint8)
-            low[:, :5] = np.frombuffer(blob, np.uint8, 5 * m, 12 * n + 2 * m).reshape(m, 5)
-            sig.append(low.view(np.uint64).ravel())
-            node.append(np.frombuffer(blob, np.int64, n)[local])
-            size.append(np.frombuffer(blob, np.int32, n, 8 * n)[local])
-            part_of.append(batch.column("part")[i].as_py())
-    if not sig:
-        return
-    lengths = [len(x) for x in sig]
-    s, v, n = (np.concatenate(x) for x in (sig, node, size))
-    which = np.unique(part_of, return_inverse=True)[1].astype(np.uint64)
-    s |= np.repeat(which, lengths) << np.uint64(40)  # parts that share this task stay apart
+            held.setdefault(batch.column("part")[i].as_py(), []).append((batch.column("n")[i].as_py(), batch.column("blob")[i].as_py()))
+    for blobs in held.values():
+        slices = 1 + sum((len(b) - 12 * n) // 7 for n, b in blobs) // SORTED
+        for x in range(slices):
+            sig, node, size = [], [], []
+            for n, blob in blobs:
+                m = (len(blob) - 12 * n) // 7
+                low = np.zeros((m, 8), np.uint8)
+                low[:, :5] = np.frombuffer(blob, np.uint8, 5 * m, 12 * n + 2 * m).reshape(m, 5)
+                s, local = low.view(np.uint64).ravel(), np.frombuffer(blob, np.uint16, m, 12 * n)
+                if slices > 1:
+                    mine = (s >> np.uint64(4)) % np.uint64(slices) == x
+                    s, local = s[mine], local[mine]
+                sig.append(s)
+                node.append(np.frombuffer(blob, np.int64, n)[local])
+                size.append(np.frombuffer(blob, np.int32, n, 8 * n)[local])
+            yield from _buckets(*(np.concatenate(c) for c in (sig, node, size)))
+
+
+def _buckets(s: np.ndarray, v: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Signatures, their nodes and sizes -> candidate pairs with a bucket's hub, its smallest upper node (kind 2);
+    buckets of three or more nodes, small (3) and large (5); how many large buckets a (node, step) is in (6). A bucket
+    without upper members has nothing to find."""
+    import xxhash
+
     order = np.argsort(s, kind="stable")
     t = s[order]
     same = t[1:] == t[:-1]
@@ -387,7 +398,7 @@ def _sketch_test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, blob) by a, b null for the set of a itself, first: links (a, b)."""
+    """Rows (a, chunk, b, blob) by a and chunk, b null for the set of a itself, first: links (a, b)."""
     at, base = None, None
     for x in batches:
         out_a, out_b = [], []
@@ -422,13 +433,17 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, first: DataFrame, name: str) ->
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
-    """Links among candidate pairs (a, b) of nodes; first: (node, doc, hash) with one document of each node."""
+    """Links among candidate pairs (a, b) of nodes, staged; first: (node, doc, hash) with one document of each node.
+    Partners of a node are dealt in chunks of about PARTNERS, each with the node's own set."""
     sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, first, "join-sets")
-    mine = pairs.select("a").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "blob")
-    other = pairs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "b", "blob")
-    both = mine.union(other).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    many = common.stage(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("chunks")).where("chunks > 1"), "join-many")
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "chunks"), F.lit(0)).alias("chunk"))
+    mine = dealt.select("a", "chunk").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "blob")
+    other = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "blob")
+    both = mine.union(other).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
     out = common.stage(both.mapInArrow(_verify, "a long, b long"), "join-links")
     common.unstage(sets)
+    common.unstage(many)
     return out
 
 
@@ -619,13 +634,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null or wordless texts have no shingles and link with nothing; a null id takes no part and gets a null
     component; rows that repeat an id each count (the id's rows are the ids' texts). Empty input gives no rows.
-    Other columns of docs are ignored, whatever their names.
+    Very long texts have large sets, compared whole. Other columns of docs are ignored, whatever their names.
     """
     spark = docs.sparkSession
     common.ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("__hash"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
-    parts = common.parts_for(spark, total, 4 << 20)
+    parts = common.parts_for(spark, total, PART)
     emitted = docs.mapInArrow(_emit(parts), "part int, kind int, a long, b long, n int, blob binary")
     found = common.stage(emitted.repartitionById(parts, "part").mapInArrow(_bucket, "kind int, a long, b long, n int, blob binary"), "join-found", ["kind"])
     of = lambda k: found.where(F.col("kind") == k)
@@ -651,7 +666,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = links.union(_verified_groups(groups, comps, texts, first))
     comps = components_of(links)
     named = own.join(comps, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("c"))
-    least = named.where("n_shingles > 0").groupBy("c").agg(F.min("id").alias("least"))
+    # staged, so that the join deals both sides by c and a component with very many rows can be split
+    least = common.stage(named.where("n_shingles > 0").groupBy("c").agg(F.min("id").alias("least")), "join-least")
     out = named.where("n_shingles > 0").join(least, "c").select("id", "n_shingles", F.col("least").alias("component_id"))
     alone = named.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     return out.union(alone).select(F.col("id").alias(id_col), F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -664,7 +680,11 @@ def components_of(links: DataFrame) -> DataFrame:
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose component has a smaller id: one document of each near-duplicate group stays.
 
-    Rows with a null id stay. All columns of docs are kept as they are."""
+    Rows with a null id stay, and so do all rows that have the id of the one that stays. Null and wordless texts are
+    alone. An empty table gives no rows. All columns of docs are kept as they are, whatever their names."""
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])  # any names can stand in docs
+    key = f"c{names.index(id_col)}"
     comp = jaccard_components(docs, id_col, text_col)
-    gone = comp.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = common.stage(comp.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone")).distinct(), "join-gone")
+    return rows.join(gone, rows[key] == gone["gone"], "left_anti").toDF(*names)

@@ -118,3 +118,21 @@ def test_one_document_of_each_group_stays(spark):
     rows = [(5, "a b c d e f g"), (3, "a b c d e f g"), (9, None), (4, "x y z")]
     out = J.dedup_near(spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")))
     assert out.columns == ["doc_id", "text", "lang"] and sorted(r.doc_id for r in out.collect()) == [3, 4, 9]
+
+
+def test_slices_of_parts_and_chunks_of_partners_lose_nothing(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*words, f"t{i}"])) for i in range(60)] + [(100 + i, t) for k in range(20) for i, t in enumerate(near_copies(rng, 3), 10 * k)]
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(J, "PARTNERS", 5)
+    assert got(J.jaccard_components(df)) == want
+    flat, size = J.shingle_sets([t for _, t in rows])
+    sig, at, _ = J.signatures(flat, size)
+    node = np.array([J.node_of(flat[e - n : e]) for n, e in zip(size, np.cumsum(size), strict=True)])
+    batches = list(J._emit(3)(iter([J.pa.RecordBatch.from_arrays([J.pa.array([i for i, _ in rows]), J.pa.array([t for _, t in rows]), J.pa.array(range(len(rows)))], ["id", "text", "hash"])])))
+    pairs = lambda: {(a, b) for x in J._bucket(iter(batches)) for k, a, b in zip(*(x.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True) if k == 2}
+    whole = pairs()
+    monkeypatch.setattr(J, "SORTED", 100)
+    assert pairs() == whole and len(whole) > 60 and {a for p in whole for a in p} <= set(node.tolist()) and len(sig) == len(at)

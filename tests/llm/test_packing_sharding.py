@@ -150,8 +150,27 @@ def test_shards_of_odd_rows(spark, monkeypatch):
     rows = [(1, None), (2, ""), (3, None)] + [(i, "hot") for i in range(4, 60)] + [(i, "x" * rng.randrange(1000)) for i in range(60, 300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit(1)).withColumn("entry", F.lit("x"))
     loads = check_shards(rows, sharding.shard(df, 5), 5)
-    assert max(loads) - min(loads) < 1000
-    monkeypatch.setattr(sharding, "FINE", 2)
-    check_shards(rows, sharding.shard(df, 5), 5)
+    groups = {}
+    for _, t in rows:
+        groups[t or ""] = groups.get(t or "", 0) + len((t or "").encode()) + 8
+    assert sorted(loads) == lpt(groups.values(), 5)
+    monkeypatch.setattr(sharding, "BULK", 0)
+    assert sorted(check_shards(rows, sharding.shard(df, 5), 5)) == lpt(groups.values(), 5)
     assert sharding.shard(df.limit(0), 5).count() == 0
     assert sharding.shard(spark.createDataFrame([(None, "a"), (None, "a")], "doc_id long, text string"), 24).count() == 2
+
+
+def test_schedule_is_that_of_the_heap_for_any_sizes(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(300):
+        sizes = {rng.randrange(1, 60): rng.choice([1, 2, rng.randrange(1, 200)]) for _ in range(rng.randrange(9))}
+        want = lpt([s for s, n in sizes.items() for _ in range(n)], 7)
+        for least in (0, 1, 16):
+            monkeypatch.setattr(sharding, "BULK", least)
+            plan, loads = sharding.schedule(list(sizes.items()), 7), [0] * 7
+            taken = {}
+            for size, low, high, shard in plan:
+                assert low == taken.get(size, 0) < high
+                taken[size] = high
+                loads[shard] += size * (high - low)
+            assert taken == sizes and sorted(loads) == want
