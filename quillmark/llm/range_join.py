@@ -3,17 +3,20 @@
 Unit vectors have a cosine of at least c exactly if they are at most r = sqrt(2 - 2c) apart. Pivots (a bounded
 sample) cut the space into cells by the nearest pivot. If y lies in the cell of pivot q and x in that of p, and both
 are at most r apart, then d(x, q) <= d(y, q) + r <= d(y, p) + r <= d(x, p) + 2r: so x is copied to each cell q after
-its own, in pivot order, with d(x, q) <= d(x, p) + 2r, and each pair is met in one cell. Cells with many vectors of
-their own are dealt in blocks of BLOCK, one task each; what is compared with a block streams past it.
+its own, in pivot order, with d(x, q) <= d(x, p) + 2r, and each pair is met in one cell. A cell's own vectors are
+dealt in blocks of about BLOCK by their distance to the pivot, one task each (by their hash where very many have one
+distance); x meets only blocks that hold distances within r of d(x, q), as |d(x, q) - d(y, q)| <= d(x, y). What is
+compared with a block streams past it. The number of pivots grows with the rows where more of them, as measured on
+the sample, leave out more pairs; where vectors lie about as far from each pivot, no number of them does.
 
 Equal vectors are joined as one, with a weight. A block's task makes no rows for pairs: it counts links by weight,
 and gives at most one edge for each vector that has a link (to the root, in the task, of what it links with), so its
 output is as large as its input whatever the number of links. Components are made of these edges.
 
-Cosines are computed in double precision; those within EDGE of the limit are computed again from the vectors as
-they came. Vectors that are null, empty, zero or have null or non-finite components link with nothing, nor do
-vectors of different lengths. Repeated and null ids are rows like any other (a null id counts as a link, but can't
-name a component).
+A product in single precision, whose error is bounded, leaves out what is far from the limit; the other cosines are
+computed in double precision, and those within EDGE of the limit again from the vectors as they came. Vectors that
+are null, empty, zero or have null or non-finite components link with nothing, nor do vectors of different lengths.
+Repeated and null ids are rows like any other (a null id counts as a link, but can't name a component).
 """
 
 from __future__ import annotations
@@ -28,10 +31,13 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import common
 
-#: Vectors for each pivot, and most pivots; vectors of a block; distance to the limit at which cosines are checked.
-PER_PIVOT, PIVOTS, BLOCK, EDGE = 8192, 256, 4096, 1e-9
-#: Slack for rounding in distances to pivots.
-SLACK = 1e-9
+#: Vectors for each pivot at least, fewest and most pivots; vectors of a block; distance to the limit at which cosines
+#: are checked.
+PER_PIVOT, LEAST_PIVOTS, PIVOTS, BLOCK, EDGE = 8192, 16, 1024, 4096, 1e-9
+#: Sampled vectors for each pivot; share of the pairs by which more pivots have to leave out more.
+SAMPLE, GAIN = 16, 0.02
+#: Slack for rounding in distances to pivots; width of the classes that distances are counted by.
+SLACK, STEP = 1e-9, 0.001
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
@@ -51,123 +57,174 @@ def pivots_of(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[chosen]
 
 
+def met_pairs(sample: np.ndarray, pivots: np.ndarray, radius: float) -> float:
+    """Share of all pairs of the sample's distribution that meet in a cell of these pivots, blocks left aside."""
+    d, own, reach = _reach(sample, pivots, radius)
+    home = np.bincount(own, minlength=len(pivots)) / len(sample)
+    return float((home * (reach.sum(0) / len(sample) - home / 2)).sum() * 2)
+
+
+def choose_pivots(sample: np.ndarray, most: int, radius: float) -> np.ndarray:
+    """Few pivots, or more as long as four times as many leave out at least GAIN of all pairs more. They come from one
+    half of the sample, the other half tells what they leave out."""
+    from_, to = sample[::2], sample[1::2] if len(sample) > 1 else sample
+    pivots = pivots_of(from_, min(most, LEAST_PIVOTS))
+    met = met_pairs(to, pivots, radius)
+    while len(pivots) < most:
+        more = pivots_of(from_, min(most, 4 * len(pivots)))
+        if len(more) == len(pivots) or (now := met_pairs(to, more, radius)) > met - GAIN:
+            break
+        pivots, met = more, now
+    return pivots
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)  # no overflow or underflow in squares
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _reach(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distances to the pivots, own cell, which cells a unit vector goes to)."""
+    d = np.sqrt(np.maximum(0, 2 - 2 * (x @ pivots.T)))
+    own, rows = d.argmin(1), np.arange(len(d))
+    reach = d <= d[rows, own][:, None] + 2 * radius + SLACK
+    reach &= np.arange(len(pivots)) > own[:, None]
+    reach[rows, own] = True
+    return d, own, reach
+
+
 def _assign(pivots: np.ndarray, radius: float):
-    """(node, weight, v) -> (cell, home, node, weight, v): its own cell, and the later ones within reach."""
+    """(node, weight, v) -> (cell, home, d, node, weight, v): its own cell, and the later ones within reach; d is the
+    distance to the cell's pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 rows = batch.slice(lo, 2000)
                 x = np.frombuffer(b"".join(rows.column("v").to_pylist()), "<f8").reshape(rows.num_rows, -1)
-                d = np.sqrt(np.maximum(0, 2 - 2 * (_unit(x) @ pivots.T)))
-                own = d.argmin(1)
-                reach = d <= d[np.arange(len(d)), own][:, None] + 2 * radius + SLACK
-                reach &= np.arange(len(pivots)) > own[:, None]
-                reach[np.arange(len(d)), own] = True
+                d, own, reach = _reach(_unit(x), pivots, radius)
                 i, cell = np.nonzero(reach)
                 for at in range(0, len(i), 5000):
-                    part = i[at : at + 5000]
+                    part, to = i[at : at + 5000], cell[at : at + 5000]
                     take = rows.take(pa.array(part))
-                    home = own[part] == cell[at : at + 5000]
-                    yield pa.RecordBatch.from_arrays([pa.array(cell[at : at + 5000].astype(np.int32)), pa.array(home), take.column("node"), take.column("weight"), take.column("v")], ["cell", "home", "node", "weight", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(own[part] == to), pa.array(d[part, to]), take.column("node"), take.column("weight"), take.column("v")], ["cell", "home", "d", "node", "weight", "v"])
 
     return run
 
 
+def rings(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, float, float]]:
+    """(cell, class of distance, rows) -> blocks (cell, block, low, high): runs of classes of about BLOCK rows; a class
+    of more rows makes several blocks with the same bounds."""
+    out: list[tuple[int, int, float, float]] = []
+    cell, block, low, held = None, 0, 0, 0
+    todo: list[tuple[int, int, int]] = [*sorted(counts), (-1, 0, 0)]
+    for (c, k, n), (after, k2, _) in zip(todo, todo[1:], strict=False):
+        if c != cell:
+            cell, block, low, held = c, 0, k, 0
+        held += n
+        if after != c or held >= BLOCK:
+            many = max(1, round(held / BLOCK))
+            # what lies between two classes that have rows belongs to none of them
+            out += [(c, block + i, low * STEP, (k + 1) * STEP) for i in range(many)]
+            block, low, held = block + many, k2, 0
+    return out
+
+
+class _Block:
+    """Vectors of a block, their links by weight, and the least place of what they are connected to."""
+
+    def __init__(self, rows: list, limit: float):
+        self.node, self.weight = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        self.raw = np.array([r[2] for r in rows])
+        self.unit, self.limit = _unit(self.raw), limit
+        self.single = np.ascontiguousarray(self.unit.astype(np.float32).T)
+        self.rough = limit - max(1e-5, 2.0**-22 * self.raw.shape[1])
+        self.links, self.label = np.zeros(len(rows), np.int64), np.arange(len(rows))
+        self.seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i in range(0, len(rows), 1024):
+            x = slice(i, i + 1024)
+            a, b = self._near(self.raw[x], self.unit[x])
+            other = a + i != b
+            a, b = a[other] + i, b[other]
+            self.links += np.bincount(a, self.weight[b], len(rows)).astype(np.int64)
+            self._connect(np.r_[a, np.unique(a)], np.r_[b, np.unique(a)])
+
+    def _near(self, raw: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row, place in the block) with a cosine of at least the limit, by rows."""
+        rough = (unit.astype(np.float32) @ self.single).ravel()
+        found = np.flatnonzero(rough >= self.rough)
+        keep = np.zeros(len(found), bool)
+        for x in range(0, len(found), 100_000):
+            i, j = np.divmod(found[x : x + 100_000], len(self.node))
+            cos = np.einsum("ij,ij->i", unit[i], self.unit[j])
+            ok = cos >= self.limit
+            for k in np.flatnonzero(np.abs(cos - self.limit) < EDGE):
+                ok[k] = exact_cosine(raw[i[k]], self.raw[j[k]]) >= self.limit
+            keep[x : x + 100_000] = ok
+        return np.divmod(found[keep], len(self.node))
+
+    def _connect(self, row: np.ndarray, place: np.ndarray) -> None:
+        """Places that share a row are connected."""
+        if not len(row):
+            return
+        order = np.argsort(row, kind="stable")
+        row, place = row[order], place[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        for x, y in zip(first, [*first[1:], len(row)], strict=True):
+            if y - x > 1:
+                labels = self.label[place[x:y]]
+                if (labels != labels[0]).any():
+                    self.label[np.isin(self.label, labels)] = labels.min()
+
+    def stream(self, rows: list) -> None:
+        raw = np.array([r[2] for r in rows])
+        node, weight = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        i, j = self._near(raw, _unit(raw))
+        self.links += np.bincount(j, weight[i], len(self.node)).astype(np.int64)
+        self._connect(i, j)
+        hit, first = np.unique(i, return_index=True)
+        self.seen.append((node[hit], np.bincount(i, self.weight[j], len(rows)).astype(np.int64)[hit], j[first]))
+
+    def out(self) -> pa.RecordBatch:
+        node, links, root = [self.node], [self.links], [self.node[self.label]]
+        for n, c, first in self.seen:
+            node.append(n)
+            links.append(c)
+            root.append(self.node[self.label[first]])
+        node, links, root = (np.concatenate(x).astype(np.int64) for x in (node, links, root))
+        keep = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (node, links, root)], ["node", "links", "root"])
+
+
 def _join(limit: float):
     """Rows by (cell, block), a block's own first -> (node, links, root): links by weight, and the node's root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, block = None, [], None
-
-        def find(up, i):
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        def start(rows):
-            raw = np.array([r[2] for r in rows])
-            return {"node": np.array([r[0] for r in rows]), "weight": np.array([r[1] for r in rows]), "raw": raw, "unit": _unit(raw), "links": np.zeros(len(rows), np.int64), "up": list(range(len(rows)))}
-
-        def near(x_raw, x_unit, b):
-            cos = x_unit @ b["unit"].T
-            mask = cos >= limit
-            for i, j in zip(*np.nonzero(np.abs(cos - limit) < EDGE), strict=True):
-                mask[i, j] = exact_cosine(x_raw[i], b["raw"][j]) >= limit
-            return mask
-
-        def join(b, mask, i0=None):
-            for i, row in enumerate(mask):
-                at = np.flatnonzero(row)
-                if i0 is not None:
-                    at = np.append(at, i0 + i)
-                if len(at) > 1:
-                    roots = {find(b["up"], int(k)) for k in at}
-                    least = min(roots)
-                    for k in roots:
-                        b["up"][k] = least
-
-        def begin(rows):
-            b = start(rows)
-            for i in range(0, len(rows), 1024):
-                mask = near(b["raw"][i : i + 1024], b["unit"][i : i + 1024], b)
-                mask[np.arange(len(mask)), np.arange(i, i + len(mask))] = False
-                b["links"][i : i + 1024] += mask @ b["weight"]
-                join(b, mask, i)
-            return b
-
-        def stream(b, rows):
-            raw = np.array([r[2] for r in rows])
-            node, weight = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            mask = near(raw, _unit(raw), b)
-            b["links"] += weight @ mask
-            links = mask @ b["weight"]
-            hit = np.flatnonzero(links)
-            join(b, mask[hit])
-            b.setdefault("seen", []).append((node[hit], links[hit], mask[hit].argmax(1)))
-
-        def out(b):
-            roots = np.array([find(b["up"], i) for i in range(len(b["up"]))], np.int64)
-            node, links, root = [b["node"]], [b["links"]], [b["node"][roots]]
-            for n, c, first in b.get("seen", ()):
-                node.append(n)
-                links.append(c)
-                root.append(b["node"][roots[first]])
-            node, links, root = (np.concatenate(x).astype(np.int64) for x in (node, links, root))
-            keep = links > 0
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (node, links, root)], ["node", "links", "root"])
-
-        waiting: list = []
+        key, own, waiting, block = None, [], [], None
+
+        def end() -> Iterator[pa.RecordBatch]:
+            made = block or (_Block(own, limit) if own else None)
+            if made is not None:
+                if waiting:
+                    made.stream(waiting)
+                yield made.out()
+
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("cell", "block", "mine", "node", "weight", "v")]
             for cell, blk, mine, *row in zip(*cols, strict=True):
                 if key != (cell, blk):
-                    if key is not None:
-                        block = block or begin(own)
-                        if waiting:
-                            stream(block, waiting)
-                        yield out(block)
-                    key, own, block, waiting = (cell, blk), [], None, []
+                    yield from end()
+                    key, own, waiting, block = (cell, blk), [], [], None
                 row[2] = np.frombuffer(row[2], "<f8")
                 if mine:
                     own.append(row)
-                    continue
-                block = block or begin(own)
-                waiting.append(row)
-                if len(waiting) >= 2048:
-                    stream(block, waiting)
-                    waiting = []
-        if key is not None:
-            block = block or begin(own)
-            if waiting:
-                stream(block, waiting)
-            yield out(block)
+                elif own:  # a block may have no rows of its own, by chance of the hash
+                    block = block or _Block(own, limit)
+                    waiting.append(row)
+                    if len(waiting) >= 1024:
+                        block.stream(waiting)
+                        waiting = []
+        yield from end()
 
     return run
 
@@ -205,13 +262,19 @@ def cosine_components(vectors: DataFrame, limit: float = 0.95, id_col: str = "ve
     for wide, n in [(r["w"], r["count"]) for r in own.groupBy(F.length("v").alias("w")).count().orderBy("w").collect()]:
         part = own.where(F.length("v") == wide).select("node", "weight", "v")
         want = max(1, min(PIVOTS, n // PER_PIVOT))
-        sample = part.where(F.pmod("node", F.lit(max(1, n // (16 * want)))) == 0).select("v").limit(32 * want).collect() or part.select("v").limit(1).collect()
-        pivots = pivots_of(_unit(np.array(sorted(np.frombuffer(r["v"], "<f8").tolist() for r in sample))), want)
-        dealt = common.stage(part.mapInArrow(_assign(pivots, radius), "cell int, home boolean, node long, weight long, v binary"), "range-dealt")
-        blocks = dealt.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("blocks"))
+        sample = part.where(F.pmod("node", F.lit(max(1, n // (SAMPLE * want)))) == 0).select("v").limit(2 * SAMPLE * want).collect() or part.select("v").limit(1).collect()
+        pivots = choose_pivots(_unit(np.array(sorted(np.frombuffer(r["v"], "<f8").tolist() for r in sample))), want, radius)
+        dealt = common.stage(part.mapInArrow(_assign(pivots, radius), "cell int, home boolean, d double, node long, weight long, v binary"), "range-dealt")
+        counts = dealt.where("home").groupBy("cell", F.floor(F.col("d") / STEP).cast("int").alias("k")).count().collect()  # at most PIVOTS * 2 / STEP
+        blocks = spark.createDataFrame([(c, b, low - SLACK, high + SLACK) for c, b, low, high in rings([tuple(r) for r in counts])], "cell int, block int, low double, high double")
+        blocks = blocks.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("block", "low", "high"))).alias("rings"))  # a row for each cell, an entry for BLOCK vectors
+        blocks = common.stage(blocks, "range-blocks")
+        placed = dealt.join(blocks, "cell")
         # a block's own vectors, and all that is compared with it: visitors, and its cell's vectors of earlier blocks
-        placed = dealt.join(F.broadcast(blocks.where("blocks > 0")), "cell").withColumn("at", F.when(F.col("home"), F.pmod(F.xxhash64("node"), "blocks").cast("int")).otherwise(-1))  # at most PIVOTS cells
-        spread = placed.withColumn("block", F.explode(F.sequence(F.greatest("at", F.lit(0)), F.col("blocks") - 1)))
+        home = F.filter("rings", lambda x: (x["low"] <= F.col("d")) & (F.col("d") <= x["high"]))
+        placed = placed.withColumn("at", F.when(F.col("home"), F.element_at(home["block"], F.pmod(F.xxhash64("node"), F.size(home)).cast("int") + 1)).otherwise(-1))
+        near = F.filter("rings", lambda x: (x["block"] >= F.col("at")) & (x["low"] <= F.col("d") + radius + SLACK) & (x["high"] >= F.col("d") - radius - SLACK))
+        spread = placed.withColumn("block", F.explode(near["block"]))
         tasks = spread.select("cell", "block", (F.col("at") == F.col("block")).alias("mine"), "node", "weight", "v").repartition("cell", "block").sortWithinPartitions("cell", "block", F.desc("mine"))
         got = tasks.mapInArrow(_join(limit), "node long, links long, root long")
         found = got if found is None else found.union(got)

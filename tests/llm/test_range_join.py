@@ -75,6 +75,19 @@ def test_random_clusters_equal_brute_force(spark, monkeypatch):
     assert got(df_out(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == brute(rows)
 
 
+def test_rings_and_pivots():
+    rng = np.random.default_rng(3)
+    blocks = range_join.rings([(0, 5, 3000), (0, 6, 3000), (0, 9, 10), (1, 2, 20_000), (1, 3, 1)])
+    assert [b[:2] for b in blocks] == [(0, 0), (0, 1), *((1, i) for i in range(5)), (1, 5)][: len(blocks)]
+    assert np.allclose([b[2:] for b in blocks[:2]], [(0.005, 0.007), (0.009, 0.01)]) and len({b[2:] for b in blocks[2:7]}) == 1
+    spread = range_join._unit(rng.normal(size=(2000, 64)))
+    near = range_join._unit(np.repeat(range_join._unit(rng.normal(size=(60, 64))), 40, axis=0) + rng.normal(size=(2400, 64)) * 0.01)
+    r = math.sqrt(0.1)
+    assert len(range_join.choose_pivots(spread, 125, r)) == 16 and len(range_join.choose_pivots(near, 125, r)) > 16
+    assert range_join.met_pairs(spread, range_join.choose_pivots(spread, 125, r), r) > 0.9
+    assert range_join.met_pairs(near, range_join.choose_pivots(near, 125, r), r) < 0.2
+
+
 def test_empty_null_and_repeated_ids(spark):
     assert got(df_out(spark.createDataFrame([], "vec_id long, embedding array<float>"))) == []
     rows = [(None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.01]), (9, [0.0, 1.0])]
