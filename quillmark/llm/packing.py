@@ -30,7 +30,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +39,7 @@ from quillmark.llm import common, word_bpe
 #: Pieces of a deme; islands of a deme; individuals of an island at the start.
 DEME, ISLANDS, POPULATION = 4096, 3, 4
 #: Generations of the first epoch, of the epoch after migration, and of the elites' meeting.
-GENERATIONS = (20, 15, 15)
+GENERATIONS = (14, 10, 10)
 #: A bin that lacks at most so many ids is left alone before the last round.
 SLACK = 4
 #: A deme that settles a smaller share of its pieces than this settles the fuller half of its bins.
@@ -85,7 +84,7 @@ def best_fit(lengths: list[int], items: list[int], capacity: int, bins: list[lis
 
 def fitness(room: list[int], capacity: int) -> float:
     """Fewer bins first, then fuller ones."""
-    return sum(((capacity - r) / capacity) ** 2 for r in room) / len(room) - len(room)
+    return float(((capacity - np.array(room)) ** 2).mean()) / capacity**2 - len(room)
 
 
 def crossover(lengths: list[int], into: Packing, other: Packing, capacity: int, rng: np.random.Generator) -> Packing:
@@ -95,7 +94,8 @@ def crossover(lengths: list[int], into: Packing, other: Packing, capacity: int,
     bins, room = other
     order = np.argsort(np.array(room) + rng.random(len(room)))[: max(1, int(rng.integers(len(room) // 8, len(room) // 2 + 1)))].tolist()
     taken = {i for b in order for i in bins[b]}
-    out_bins, out_room, displaced = [list(bins[b]) for b in order], [room[b] for b in order], []
+    # full bins are shared with the parents, nothing is put into them
+    out_bins, out_room, displaced = [list(bins[b]) if room[b] else bins[b] for b in order], [room[b] for b in order], []
     wild = rng.random() < 0.5
     dissolve = rng.random(len(into[0])) < (0 if wild else rng.random())
     for b, r, gone in zip(*into, dissolve.tolist(), strict=True):
@@ -104,7 +104,7 @@ def crossover(lengths: list[int], into: Packing, other: Packing, capacity: int,
         elif r or gone:
             displaced += b
         else:
-            out_bins.append(list(b))
+            out_bins.append(b)
             out_room.append(r)
     key = np.array([lengths[i] for i in displaced]) * (rng.uniform(1, 1 + PERTURBED * rng.random(), len(displaced)) if wild else 1)
     best_fit(lengths, [displaced[k] for k in np.argsort(-key, kind="stable")], capacity, out_bins, out_room)
@@ -134,48 +134,49 @@ def evolve(lengths: list[int], capacity: int, people: list[Packing], generations
     return ranked[0][1]
 
 
-_ROW = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_ELITE = f"{_ROW}, k long, deme long, origin int, bin int"
-_PACKED = f"{_ROW}, sequence_id long, offset long"
+def _island(capacity: int, number: int, step: int, last: bool):
+    """Rows (deme, island, lengths, elites), one for each island, or for each deme at the elites' meeting (step 2); an
+    elite is the bin of each item. Gives (deme, island, lengths, bins) with the best individual; at the meeting (deme,
+    sequences, offsets), sequence -1 for the items that go on."""
 
-
-def _epoch(capacity: int, number: int, step: int, last: bool = False):
-    """A task of one island, or, at the elites' meeting (step 2), of one deme. Rows: each item once for each elite that
-    came, with the bin it has there (null at the start). Gives the best individual; at the meeting what stays."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["origin", "length", "k"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
-        n = int((rows["origin"] == rows["origin"].iloc[0]).sum())
-        one = rows.iloc[:n]
-        lengths, people = one["length"].tolist(), []
-        for x in range(0, len(rows) if step else 0, n):
-            at = rows["bin"].to_numpy()[x : x + n]
-            bins: list[list[int]] = [[] for _ in range(int(at.max()) + 1)]
-            for i, b in enumerate(at.tolist()):
+    def best(deme: int, island: int, lengths: list[int], elites: list) -> Packing:
+        people = []
+        for at in elites:
+            bins: list[list[int]] = [[] for _ in range(max(at) + 1)]
+            for i, b in enumerate(at):
                 bins[b].append(i)
             people.append((bins, [capacity - sum(lengths[i] for i in b) for b in bins]))
-        seed = [number, step, *(int(k) for k in key)]
-        bins, room = evolve(lengths, capacity, people, GENERATIONS[step], np.random.default_rng(seed))
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        if step < 2:
-            where = np.empty(n, np.int32)
-            for b, items in enumerate(bins):
-                where[items] = b
-            return one[[*names, "k"]].assign(deme=int(key[0]), origin=int(key[1]), bin=where)
-        sequence, offset = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-        stay = {b for b, r in enumerate(room) if last or r <= SLACK}
-        if sum(len(bins[b]) for b in stay) < LEAST_DONE * n:
-            stay.update(sorted(range(len(room)), key=room.__getitem__)[: -(-len(room) // 2)])
-        for b in stay:
-            at = 0
-            for i in bins[b]:
-                sequence[i], offset[i] = (number << 56) | (int(key[0]) << 16) | b, at
-                at += lengths[i]
-        return one[names].assign(sequence_id=sequence, offset=offset)
+        return evolve(lengths, capacity, people, GENERATIONS[step], np.random.default_rng([number, step, deme, island]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in range(batch.num_rows):
+                deme, island, lengths, elites = (c[x].as_py() for c in batch.columns)
+                bins, room = best(deme, island, lengths, elites)
+                n = len(lengths)
+                if step < 2:
+                    where = np.empty(n, np.int32)
+                    for b, items in enumerate(bins):
+                        where[items] = b
+                    yield pa.RecordBatch.from_arrays([pa.array([deme]), pa.array([island], pa.int32()), pa.array([lengths], pa.list_(pa.int32())), pa.array([where])], ["deme", "island", "lengths", "bins"])
+                    continue
+                sequence, offset = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+                stay = {b for b, r in enumerate(room) if last or r <= SLACK}
+                if sum(len(bins[b]) for b in stay) < LEAST_DONE * n:
+                    stay.update(sorted(range(len(room)), key=room.__getitem__)[: -(-len(room) // 2)])
+                for b in stay:
+                    at = 0
+                    for i in bins[b]:
+                        sequence[i], offset[i] = (number << 56) | (deme << 16) | b, at
+                        at += lengths[i]
+                yield pa.RecordBatch.from_arrays([pa.array([deme]), pa.array([sequence]), pa.array([offset])], ["deme", "sequences", "offsets"])
 
     return run
 
 
+_ELITE, _DECIDED = "deme long, island int, lengths array<int>, bins array<int>", "deme long, sequences array<long>, offsets array<long>"
+
+
 def pieces(docs: DataFrame, vocabulary: str, end: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of all pieces of all rows."""
     common.ship(docs.sparkSession)
@@ -197,28 +198,41 @@ def pieces(docs: DataFrame, vocabulary: str, end: int, capacity: int, id_col: st
 
 
 def pack(rows: DataFrame, capacity: int) -> DataFrame:
-    """rows: (doc_id, piece, start, length, ids_crc32), each length from 1 to capacity; adds sequence_id and offset."""
-    common.ship(rows.sparkSession)
-    todo = common.stage(rows, "pack-pieces")
+    """rows: (doc_id, piece, start, length, ids_crc32), each length from 1 to capacity; adds sequence_id and offset.
+
+    A deme's pieces are one row, an array of about DEME small structs, and an individual is an array of bin numbers;
+    islands and migration move only lengths and individuals."""
+    spark = rows.sparkSession
+    common.ship(spark)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    todo = common.stage(rows.select(*names), "pack-pieces")
     done, number = [], 1
     while True:
         demes = max(1, -(-todo.count() // DEME))
-        # rows are known and dealt by their place in the staged table: no key can gather many of them
+        tasks = min(demes * ISLANDS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), demes * ISLANDS // 32))
+        # pieces are known and dealt by their place in the staged table: no key can gather many of them
         dealt = todo.withColumn("k", F.monotonically_increasing_id()).withColumn("deme", F.pmod(F.xxhash64("k"), F.lit(demes)))
-        dealt = common.stage(dealt.select(*rows.columns, "k", "deme"), "pack-dealt")
-        first = dealt.withColumn("origin", F.lit(0)).withColumn("bin", F.lit(None).cast("int"))
-        first = first.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
-        elites = common.stage(first.groupBy("deme", "island").applyInPandas(_epoch(capacity, number, 0), _ELITE), "pack-elites")
+        items = F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("n"), "k", *names)))
+        held = common.stage(dealt.groupBy("deme").agg(items.alias("items")), "pack-demes")
+        lengths = F.transform("items", lambda x: x["length"].cast("int")).alias("lengths")
+        none = F.array().cast("array<array<int>>").alias("elites")
+        islands = held.select("deme", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), lengths, none).repartition(tasks, "deme", "island")
+        first = common.stage(islands.mapInArrow(_island(capacity, number, 0, False), _ELITE), "pack-elites")
         # each elite stays at home and goes to the next island
-        moved = elites.withColumn("island", F.explode(F.array("origin", (F.col("origin") + 1) % ISLANDS)))
-        later = common.stage(moved.groupBy("deme", "island").applyInPandas(_epoch(capacity, number, 1), _ELITE), "pack-elites")
-        packed = common.stage(later.groupBy("deme").applyInPandas(_epoch(capacity, number, 2, demes == 1), _PACKED), "pack-round")
-        for old in (dealt, elites, later):
-            common.unstage(old)
+        moved = first.withColumn("to", F.explode(F.array("island", (F.col("island") + 1) % ISLANDS)))
+        moved = moved.groupBy("deme", "to").agg(F.first("lengths").alias("lengths"), F.sort_array(F.collect_list(F.struct("island", "bins")))["bins"].alias("elites"))
+        second = common.stage(moved.repartition(tasks, "deme", "to").mapInArrow(_island(capacity, number, 1, False), _ELITE), "pack-elites")
+        met = second.groupBy("deme").agg(F.first("lengths").alias("lengths"), F.sort_array(F.collect_list(F.struct("island", "bins")))["bins"].alias("elites"))
+        met = met.select("deme", F.lit(ISLANDS).alias("island"), "lengths", "elites").repartition(min(tasks, demes), "deme")
+        decided = met.mapInArrow(_island(capacity, number, 2, demes == 1), _DECIDED)
+        placed = held.join(decided, "deme").select(F.inline(F.transform("items", lambda x, i: F.struct(*[x[c].alias(c) for c in names], F.get("sequences", i).alias("sequence_id"), F.get("offsets", i).alias("offset")))))
+        packed = common.stage(placed, "pack-round")
+        for table in (held, first, second):
+            common.unstage(table)
         done.append(packed.where("sequence_id >= 0"))
         if demes == 1:
             break
-        todo = packed.where("sequence_id < 0").select(*rows.columns)
+        todo = packed.where("sequence_id < 0").select(*names)
         number += 1
     out = done[0]
     for d in done[1:]:
