@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterable
 from functools import cache
 from itertools import chain
+from struct import pack
 
 import numpy as np
 
@@ -43,16 +44,28 @@ class WordCoder:
         self._letters = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
         self._cache: dict[bytes, bytes] = {b"": b""}
         self._stops = {c: self._library([c])[0] for c in (".", ",")}
+        self._byte_stops = {ord(c): i for c, i in self._stops.items()}
 
     def _library(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(words, add_special_tokens=False)]
 
     def _plain(self, word: str) -> bytes:
-        return np.array([t.id for t in self._model(word.translate(self._letters))], "<u4").tobytes()
+        ids = [t.id for t in self._model(word if word.isascii() else word.translate(self._letters))]
+        return pack(f"<{len(ids)}I", *ids)
 
     def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
         out, rest = {}, []
+        plain, model, known, stops = self._plain, self._model, self._cache, self._byte_stops
         for w in words:
+            # ASCII letters need no second look
+            if len(w) <= CACHED_LENGTH and w.islower():
+                if w.isalpha():
+                    ids = [t.id for t in model(w.decode())]
+                    out[w] = pack(f"<{len(ids)}I", *ids)
+                    continue
+                if w[-1] in stops and (base := w[:-1]).isalpha():
+                    out[w] = (known.get(base) or out.get(base) or plain(base.decode())) + stops[w[-1]]
+                    continue
             s = w.decode("utf-8", "surrogatepass")
             if len(s) <= CACHED_LENGTH and _PLAIN(s):
                 out[w] = self._plain(s)
