@@ -148,3 +148,22 @@ def without_fences(c) -> Column:
 
 def mm_to_px(mm, dpi=200.0) -> Column:
     return (col(mm) * (col(dpi) if isinstance(dpi, (str, Column)) else F.lit(dpi)) / 25.4).cast("int")
+
+
+def general(c) -> Column:
+    """A number with up to six significant digits and no needless zeros, for sizes from 0.0001 to a million."""
+    x = col(c).cast("double")
+    unit = F.pow(F.lit(10.0), F.lit(5) - F.floor(F.log10(F.abs(x))))
+    short = F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x * unit) / unit)
+    return F.regexp_replace(short.cast("string"), r"\.0$", "")
+
+
+def percent(c) -> Column:
+    """A share in whole percent, halves to the even number."""
+    return F.concat(F.rint(col(c) * 100).cast("long").cast("string"), F.lit("%"))
+
+
+def enrolment_label(name, ident) -> Column:
+    """`name (#id)`, or `#id` without a name."""
+    number = F.concat(F.lit("#"), col(ident).cast("string"))
+    return F.coalesce(F.concat(col(name), F.lit(" ("), number, F.lit(")")), number)

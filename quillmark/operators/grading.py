@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import scalar as S
 from quillmark.functions.python_parity import match_ratio
+from quillmark.operators.text import cer, wer
 
 # Texts and thresholds that results must carry.
 MULTIPLE = "Multiple bubbles marked"
@@ -35,17 +36,76 @@ def score_objective(df: DataFrame, text="ocr_text", correct="correct_answer", mo
 
 def score_identification(df: DataFrame, text="ocr_text", correct="correct_answer", most="max_points", full: float = FUZZY_FULL, partial: float = FUZZY_PARTIAL) -> DataFrame:
     """df with ratio, score, verdict and flag: equal texts, or near ones by the share of matching blocks, get full
-    points, less near ones half. The ratio is computed only where texts differ."""
+    points, less near ones half; a question without points counts 1. The ratio is computed only where texts differ."""
     given, want = F.lower(S.strip(text)), F.lower(S.strip(F.coalesce(correct, F.lit(""))))
     same = given == want
     rows = df.withColumn("__r", F.when(S.has_text(text) & ~same, match_ratio(F.when(~same, want), F.when(~same, given))))
-    r, ok = F.coalesce("__r", F.lit(1.0)), S.has_text(text)
+    r, ok, points = F.coalesce("__r", F.lit(1.0)), S.has_text(text), F.coalesce(F.col(most), F.lit(1.0))
     return rows.select(
-        "*", F.when(ok, r).alias("ratio"), F.when(ok, F.when(r >= full, F.col(most)).when(r >= partial, F.col(most) * 0.5).otherwise(0.0)).alias("score"),
+        "*", F.when(ok, r).alias("ratio"), F.when(ok, F.when(r >= full, points).when(r >= partial, points * 0.5).otherwise(0.0)).alias("score"),
         F.when(ok, F.when(same, "exact").when(r >= full, "close").when(r >= partial, "partial").otherwise("none")).alias("verdict"),
     ).drop("__r").withColumn("flag", F.when(F.col("score") == 0, "identification_no_match"))
 
 
+def objective_feedback(text="ocr_text", correct="correct_answer", confidence="omr_confidence") -> Column:
+    """What a scored mcq or tf answer says; null where there is no text. The sentences are fixed values."""
+    given, right = S.strip(text), S.col(correct)
+    hit = (S.fold(text) == S.fold(F.coalesce(right, F.lit("")))) | (F.upper(S.first_word(text)) == S.fold(F.coalesce(right, F.lit(""))))
+    start = F.concat(F.lit("Correct answer: "), F.coalesce(right, F.lit("None")), F.lit(". Detected answer: "))
+    many = F.concat(start, F.lit("multiple bubbles marked. Incorrect — more than one option was filled in, so no single answer can be credited. ⚠ Please verify on the original scan."))
+    low = F.coalesce(F.col(confidence) < LOW_MARK_CONFIDENCE, F.lit(False))
+    warn = F.when(low, F.concat(F.lit(" ⚠ Low OMR confidence ("), S.percent(confidence), F.lit(") — please verify on the original scan."))).when(F.length(given) == 0, " ⚠ No answer detected — please review.").otherwise("")
+    one = F.concat(start, F.coalesce(F.nullif(given, F.lit("")), F.lit("(none)")), F.lit(". "), F.when(F.coalesce(hit, F.lit(False)), "Correct.").otherwise("Incorrect."), warn)
+    return F.when(S.has_text(text), F.when(given == MULTIPLE, many).otherwise(one))
+
+
+def identification_feedback(text="ocr_text", correct="correct_answer", ratio="ratio", verdict="verdict") -> Column:
+    """What a scored identification answer says: its expected and given text and the verdict with the ratio."""
+    share = F.concat(F.lit(" (fuzzy match "), S.percent(ratio), F.lit(")."))
+    kinds = {"close": "Accepted", "partial": "Partial credit", "none": "Incorrect"}
+    said = F.when(F.col(verdict) == "exact", F.lit("Exact match."))
+    for kind, word in kinds.items():
+        said = said.when(F.col(verdict) == kind, F.concat(F.lit(word), share))
+    return F.concat(F.lit("Expected: "), S.strip(F.coalesce(S.col(correct), F.lit(""))), F.lit(". Your answer: "), S.strip(text), F.lit(". "), said)
+
+
+def parse_identification(feedback="feedback") -> Column:
+    """struct(expected, given, percent, kind) of such a sentence; null where it is none."""
+    c, p = S.col(feedback), r"(?s)^Expected:\s*(.*?)\.\s*Your answer:\s*(.*?)\.\s*(.*)$"
+    verdict = F.regexp_extract(c, p, 3)
+    kind = F.when(verdict.rlike("(?i)^exact match"), "exact").when(verdict.rlike("(?i)^accepted"), "accepted").when(verdict.rlike("(?i)^partial credit"), "partial").otherwise("incorrect")
+    share = F.nullif(F.regexp_extract(verdict, r"(\d+)%", 1), F.lit("")).cast("int")
+    return F.when(c.rlike(p), F.struct(F.regexp_extract(c, p, 1).alias("expected"), F.regexp_extract(c, p, 2).alias("given"), share.alias("percent"), kind.alias("kind")))
+
+
+def bubble_override(label="label", correct="correct_answer", most="max_points") -> Column:
+    """Score of a bubble that a teacher picks: all points if it is the correct answer, else 0."""
+    fold = lambda c: F.upper(S.strip(F.coalesce(S.col(c), F.lit(""))))
+    return F.when(fold(label) == fold(correct), F.col(most)).otherwise(0.0)
+
+
+def essay_failure(answers: DataFrame, failed: DataFrame, each: bool = True) -> DataFrame:
+    """answers with status and feedback after failed calls (id, message). Each answer alone: status `error`, the
+    message as feedback, and the others keep theirs. Else, as in bulk and queued work, a submission with a failed
+    answer fails whole: its answers get the status `failed`."""
+    one = failed.groupBy("id").agg(F.min("message").alias("__m"))
+    rows = answers.join(one, "id", "left")
+    rest = [c for c in answers.columns if c not in ("status", "feedback")]
+    if each:
+        return rows.select(*rest, F.when(F.col("__m").isNotNull(), "error").otherwise(F.col("status")).alias("status"), F.when(F.col("__m").isNotNull(), F.concat(F.lit("[Grading error: "), "__m", F.lit("]"))).otherwise(F.col("feedback")).alias("feedback"))
+    bad = rows.where("__m is not null").select("submission_id").distinct().withColumn("__bad", F.lit(True))
+    return rows.join(bad, "submission_id", "left").select(*rest, F.when(F.col("__bad"), "failed").otherwise(F.col("status")).alias("status"), F.col("feedback"))
+
+
+def flag_by_hand(flags: DataFrame, new: DataFrame) -> DataFrame:
+    """flags (submission_answer_id, flag_reason, auto_flagged, ...) after a teacher's flags (submission_answer_id,
+    flag_reason): new or not, the answer's flag has that reason and isn't automatic any more; of several reasons for an
+    answer the greatest counts."""
+    one = new.groupBy("submission_answer_id").agg(F.max("flag_reason").alias("__r"))
+    rest = [c for c in flags.columns if c not in ("submission_answer_id", "flag_reason", "auto_flagged")]
+    return flags.join(one, "submission_answer_id", "full").select("submission_answer_id", F.coalesce("__r", "flag_reason").alias("flag_reason"), F.when(F.col("__r").isNotNull(), F.lit(False)).otherwise(F.col("auto_flagged")).alias("auto_flagged"), *rest)
+
+
 def essay_flag(score="score", confidence="confidence", question="question_id", fallback="fallback_id") -> tuple[Column, Column]:
     """(flag, status) of a graded essay: the last rule that holds names the flag."""
     lost = F.col(question).isNull() & F.col(fallback).isNull()
@@ -107,16 +167,21 @@ def override(answers: DataFrame, changes: DataFrame, questions: DataFrame) -> tu
     outcome = F.when(F.col("submission_id").isNull(), "not_found").when((F.col("score") < 0) | F.coalesce(F.col("score") > F.col("__most"), F.lit(False)), "out_of_range").otherwise("ok")
     judged = rows.withColumn("outcome", outcome)
     compare = F.col("reference").isNotNull() & S.has_text("ocr_text")
-    new = judged.where("outcome = 'ok'").select("id", F.col("score").alias("__s"), F.when(compare, S.cer(S.strip("reference"), S.strip("ocr_text"))).alias("__c"), F.when(compare, S.wer("reference", "ocr_text")).alias("__w"))
+    new = judged.where("outcome = 'ok'").select("id", F.col("score").alias("__s"), cer(F.when(compare, S.strip("reference")), F.when(compare, S.strip("ocr_text"))).alias("__c"), wer(F.when(compare, F.col("reference")), F.when(compare, F.col("ocr_text"))).alias("__w"))
     cols = [c for c in answers.columns if c not in ("teacher_score", "cer", "wer")]
     out = answers.join(new, "id", "left").select(*cols, F.coalesce("__s", "teacher_score").alias("teacher_score"), F.coalesce("__c", "cer").alias("cer"), F.coalesce("__w", "wer").alias("wer"))
     return out, judged.select("id", "outcome")
 
 
-def needs_model(questions: DataFrame, exams: DataFrame) -> DataFrame:
-    """(exam_id, needs_model): text recognition is needed unless all questions are bubbles."""
+def needs_model(questions: DataFrame, exams: DataFrame, templated: DataFrame | None = None) -> DataFrame:
+    """(exam_id, needs_model): text recognition is needed unless the exam has a template (templated: exam_id; None: all
+    have one) and all its questions are bubbles."""
     own = questions.groupBy("exam_id").agg(F.bool_or(~S.type_or_essay().isin("mcq", "tf")).alias("m"))
-    return exams.select(F.col("id").alias("exam_id")).join(own, "exam_id", "left").select("exam_id", F.coalesce("m", F.lit(True)).alias("needs_model"))
+    rows = exams.select(F.col("id").alias("exam_id")).join(own, "exam_id", "left")
+    if templated is None:
+        return rows.select("exam_id", F.coalesce("m", F.lit(True)).alias("needs_model"))
+    has = templated.select("exam_id").distinct().withColumn("__t", F.lit(True))
+    return rows.join(has, "exam_id", "left").select("exam_id", (F.col("__t").isNull() | F.coalesce("m", F.lit(False))).alias("needs_model"))
 
 
 def eligible(submissions: DataFrame, pending: DataFrame) -> DataFrame:

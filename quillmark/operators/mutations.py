@@ -176,3 +176,50 @@ def invalidate_templates(old: DataFrame, new: DataFrame, structural: list[str])
 def add_columns(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of an older and a newer schema together."""
     return old.unionByName(new, allowMissingColumns=True)
+
+
+def import_rubrics(questions: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(questions, outcomes) after rows (exam_id, row, order_index, rubric_text as strings): rubric_text of the question
+    with that exam and order_index, blank as null; the last row of a question wins. Outcomes: (exam_id, row, error),
+    error null where the row was used."""
+    order = S.integer("order_index")
+    judged = rows.withColumn("__order", order).withColumn("__text", F.nullif(S.strip(F.coalesce("rubric_text", F.lit(""))), F.lit("")))
+    known = questions.select("exam_id", F.col("order_index").cast("bigint").alias("__order"), F.col("id").alias("__id"))
+    judged = judged.join(known, ["exam_id", "__order"], "left")
+    raw = S.strip(F.coalesce("order_index", F.lit("")))
+    what = F.when(raw == "", "missing order_index").when(F.col("__order").isNull(), F.concat(F.lit("order_index '"), raw, F.lit("' is not an integer"))).when(F.col("__id").isNull(), F.concat(F.lit("no question with order_index "), F.col("__order").cast("string")))
+    error = F.concat(F.lit("Row "), F.col("row").cast("string"), F.lit(": "), what, F.lit(" — skipped"))
+    last = judged.where("__id is not null").groupBy(F.col("__id").alias("id")).agg(F.max_by(F.struct("__text"), "row").alias("__new"))
+    rest = [c for c in questions.columns if c != "rubric_text"]
+    done = questions.join(last, "id", "left").select(*rest, F.when(F.col("__new").isNotNull(), F.col("__new.__text")).otherwise(F.col("rubric_text")).alias("rubric_text"))
+    return done, judged.select("exam_id", "row", error.alias("error"))
+
+
+def error_lists(outcomes: DataFrame, key: str, most: int = 10) -> DataFrame:
+    """(key, errors in row order, the last `most` of them, n_updated) from outcomes (key, row, error)."""
+    errors = F.sort_array(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("row", "error"))))
+    got = outcomes.groupBy(key).agg(errors["error"].alias("errors"), F.count_if(F.col("error").isNull()).alias("n_updated"))
+    return got.select(key, "errors", F.slice("errors", F.greatest(F.lit(1), F.size("errors") - (most - 1)), F.lit(most)).alias("last_errors"), "n_updated")
+
+
+def without(rows: DataFrame, gone: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, unknown) after the rows with the keys of gone are taken away; unknown: keys that no row has."""
+    one = gone.select(*keys).distinct()
+    return rows.join(one, list(keys), "left_anti"), one.join(rows.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def enrol(enrolments: DataFrame, students: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(enrolments, outcomes) after wanted (class_id, student_id): outcome not_found, already or added; a pair that is
+    asked for twice is added once. New rows have no id."""
+    known = students.select(F.col("id").alias("student_id")).distinct().withColumn("__s", F.lit(True))
+    there = enrolments.select("class_id", "student_id").distinct().withColumn("__e", F.lit(True))
+    asked = wanted.select("class_id", "student_id").distinct().join(known, "student_id", "left").join(there, ["class_id", "student_id"], "left")
+    judged = asked.select("class_id", "student_id", F.when(F.col("__s").isNull(), "not_found").when(F.col("__e").isNotNull(), "already").otherwise("added").alias("outcome"))
+    new = judged.where("outcome = 'added'").select("class_id", "student_id")
+    return enrolments.unionByName(new, allowMissingColumns=True), judged
+
+
+def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The last row of each key by the given columns; give a unique one last, so that nothing is left to chance."""
+    top = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order)).alias("__t"))
+    return top.select(key, "__t.*")

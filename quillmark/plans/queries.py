@@ -178,10 +178,9 @@ def score_expressions(m):
     return m.answers.select("id", S.final_score().alias("final"), f.alias("final0"), S.band(f, [(40, "good"), (20, "fair")], "poor").alias("band"), S.half_up(F.col("disc") * 1000).alias("permille"), S.clamp("ai_score", 1.0, 30.0).alias("clamped"))
 
 
-@query("select id, status, coalesce(list_position(['draft', 'submitted', 'ocr_done', 'graded'], status), 0) - 1 as step, cast(floor(exam_id * 25.0e0 * 200 / 25.4e0 + 0.5e0) as int) as px, chr(cast(65 + exam_id % 26 as int)) as letter from (select * from submissions where (exam_id * 25.0e0 * 200) % 127 <> 0)")
+@query("select id, status, coalesce(list_position(['draft', 'submitted', 'ocr_done', 'graded'], status), 0) - 1 as step, cast(floor(exam_id * 25.0e0 * 200 / 25.4e0 + 0.5e0) as int) as px, chr(cast(65 + exam_id % 26 as int)) as letter from submissions")
 def status_and_units(m):
-    rows = m.submissions.where("(exam_id * 25.0D * 200) % 127 <> 0")
-    return rows.select("id", "status", S.step_of("status").alias("step"), F.floor(F.col("exam_id") * 25.0 * 200 / 25.4 + 0.5).cast("int").alias("px"), S.letter(F.col("exam_id") % 26).alias("letter"))
+    return m.submissions.select("id", "status", S.step_of("status").alias("step"), F.floor(F.col("exam_id") * 25.0 * 200 / 25.4 + 0.5).cast("int").alias("px"), S.letter(F.col("exam_id") % 26).alias("letter"))
 
 
 @query("select * from students where contains(lower(student_id), '00001') or contains(lower(full_name), 'r#000000011')")
@@ -195,12 +194,12 @@ def queue_counters(m):
     return m.submissions.agg(F.count_if(F.col("status") == "submitted").alias("pending"), graded.alias("graded"), F.count("*").alias("total"), S.half_up(graded * 100 / F.count("*")).alias("progress"))
 
 
-_PAIRS = """pairs as (select doc_id, substring(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), 1, 200) as ref from documents),
+_PAIRS = """pairs as (select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') as ref from documents),
 bent as (select doc_id, ref, replace(ref, 'e', '') as hyp from pairs)"""
 
 
 def _pairs(m: Model) -> DataFrame:
-    ref = F.substring(F.regexp_replace("text", "[^\\x00-\\x7F]", ""), 1, 200)
+    ref = F.regexp_replace("text", "[^\\x00-\\x7F]", "")
     return m.documents.select("doc_id", ref.alias("ref"), F.replace(ref, F.lit("e"), F.lit("")).alias("hyp"))
 
 
@@ -240,10 +239,148 @@ def objective_scores(m):
     return G.score_objective(_objective(m)).select("id", "score", "new_status", "flag")
 
 
-@query()
+_IDENT = """ident as (select a.id, q.max_points, concat('Answer ', a.sk) as correct_answer, length(concat('Answer ', a.sk)) as n, a.sk % 4 as kind,
+  case a.sk % 4 when 0 then concat(' answer ', a.sk) when 1 then concat('nswer ', a.sk) when 2 then concat('An swer ', a.sk) else '#' end as ocr_text from submission_answers a join exam_questions q on q.id = a.question_id where q.question_type = 'identification'),
+judged as (select *, case kind when 0 then 1.0e0 when 1 then 2.0e0 * (n - 1) / (2 * n - 1) when 2 then 2.0e0 * n / (2 * n + 1) else 0.0e0 end as ratio from ident)"""
+
+
+def _identification(m: Model) -> DataFrame:
+    rows = m.answers.join(m.exam_questions.where("question_type = 'identification'").select(F.col("id").alias("question_id"), "max_points"), "question_id")
+    given = F.expr("case sk % 4 when 0 then concat(' answer ', sk) when 1 then concat('nswer ', sk) when 2 then concat('An swer ', sk) else '#' end")
+    return G.score_identification(rows.select("id", "max_points", F.concat(F.lit("Answer "), F.col("sk").cast("string")).alias("correct_answer"), given.alias("ocr_text")))
+
+
+@query("""select id, ratio, case when ratio >= 0.85 then max_points when ratio >= 0.6 then max_points * 0.5e0 else 0 end as score,
+  case when kind = 0 then 'exact' when ratio >= 0.85 then 'close' when ratio >= 0.6 then 'partial' else 'none' end as verdict, case when ratio < 0.6 then 'identification_no_match' end as flag from judged""", _IDENT)
 def identification_scores(m):
-    rows = m.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("correct_answer"), F.expr("case n_nationkey % 4 when 0 then lower(n_name) when 1 then substring(n_name, 2) when 2 then concat(substring(n_name, 1, 2), ' ', substring(n_name, 3)) else reverse(n_name) end").alias("ocr_text"), F.lit(10.0).alias("max_points"))
-    return G.score_identification(rows).select("id", "ratio", "score", "verdict", "flag")
+    return _identification(m).select("id", "ratio", "score", "verdict", "flag")
+
+
+@query("""select id, concat('Expected: ', correct_answer, '. Your answer: ', trim(ocr_text), '. ', case when kind = 0 then 'Exact match.' else concat(case when ratio >= 0.85 then 'Accepted' when ratio >= 0.6 then 'Partial credit' else 'Incorrect' end, ' (fuzzy match ', cast(round_even(ratio * 100, 0) as bigint), '%).') end) as feedback,
+  correct_answer as expected, trim(ocr_text) as given, case when kind <> 0 then cast(round_even(ratio * 100, 0) as bigint) end as percent, case when kind = 0 then 'exact' when ratio >= 0.85 then 'accepted' when ratio >= 0.6 then 'partial' else 'incorrect' end as kind from judged""", _IDENT)
+def identification_feedback(m):
+    rows = _identification(m).select("id", G.identification_feedback().alias("feedback"))
+    return rows.select("id", "feedback", G.parse_identification().alias("p")).select("id", "feedback", "p.*")
+
+
+@query("""select id, case when ocr_text = 'Multiple bubbles marked' then concat('Correct answer: ', correct_answer, '. Detected answer: multiple bubbles marked. Incorrect — more than one option was filled in, so no single answer can be credited. ⚠ Please verify on the original scan.')
+  else concat('Correct answer: ', correct_answer, '. Detected answer: ', trim(ocr_text), '. ', case when upper(trim(ocr_text)) = upper(correct_answer) or upper(split_part(trim(ocr_text), ' ', 1)) = upper(correct_answer) then 'Correct.' else 'Incorrect.' end,
+    case when omr_confidence < 0.3 then concat(' ⚠ Low OMR confidence (', cast(round_even(omr_confidence * 100, 0) as bigint), '%) — please verify on the original scan.') else '' end) end as feedback from obj""", _OBJ)
+def objective_feedback(m):
+    return _objective(m).select("id", G.objective_feedback().alias("feedback"))
+
+
+@query("select id, case when upper(trim(ocr_text)) = upper(correct_answer) then max_points else 0 end as score from obj", _OBJ)
+def bubble_overrides(m):
+    return _objective(m).select("id", G.bubble_override("ocr_text").alias("score"))
+
+
+@query("""select id, case when sk % 9 = 0 then 'error' else 'graded' end as status, case when sk % 9 = 0 then concat('[Grading error: code ', sk, ']') else 'fine' end as feedback,
+  case when bool_or(sk % 9 = 0) over (partition by submission_id) then 'failed' else 'graded' end as bulk_status from submission_answers""")
+def essay_failures(m):
+    rows = m.answers.select("id", "submission_id", "sk", F.lit("graded").alias("status"), F.lit("fine").alias("feedback"))
+    failed = rows.where("sk % 9 = 0").select("id", F.concat(F.lit("code "), F.col("sk").cast("string")).alias("message"))
+    whole = G.essay_failure(rows, failed, each=False).select("id", F.col("status").alias("bulk_status"))
+    return G.essay_failure(rows, failed).select("id", "status", "feedback").join(whole, "id")
+
+
+_STRUCTURED = """st as (select p_partkey as id, p_partkey % 5 as kind, cast(least(10, p_size % 13) as double) as c, cast(least(5, p_size % 7) as double) as s from part),
+sc as (select *, case kind when 0 then c when 2 then 3 when 4 then 4 else 0 end as content, case kind when 0 then s else 0 end as style from st)"""
+
+
+@query("""select id, cast(content + style as double) as total, case kind when 0 then 0.75e0 when 3 then 0.0e0 else 0.5e0 end as confidence,
+  concat('Content: ', cast(content as int), '/10 (', case when content >= 6 then 'high' else 'low' end, ') — ', case kind when 0 then 'good' when 3 then '(no response for this criterion — review manually)' else '(no justification provided)' end,
+    '; Style: ', cast(style as int), '/5 — ', case kind when 0 then 'ok' else '(no response for this criterion — review manually)' end) as feedback from sc""", _STRUCTURED)
+def structured_grades(m):
+    raw = F.expr("""case p_partkey % 5 when 0 then concat('```json\n[{"criterion": "style ", "score": ', p_size % 7, ', "confidence": 0.5, "justification": " ok"}, {"criterion": "Content", "score": ', p_size % 13, ', "justification": "good"}]\n```')
+        when 1 then 'Well: {"criterion": "Content", "score": "x"} is all' when 2 then '[{"criterion": "other", "score": 3, "confidence": 2}]' when 3 then 'nothing' else '{"criterion": "Content", "score": 4}' end""")
+    criteria = F.from_json(F.lit('[{"name": "Content", "max_points": 10, "levels": [{"label": "low", "points": 2}, {"label": "high", "points": 10}]}, {"name": "Style", "max_points": 5}]'), T.CRITERIA)
+    rows = m.part.select(F.col("p_partkey").alias("id"), T.structured_items(raw).alias("items")).select("id", T.structured_scores(criteria, F.col("items")).alias("scores"))
+    pick = lambda f: F.transform("scores", lambda x: x[f])
+    return rows.select("id", G.essay_total(pick("score"), F.lit(15.0)).alias("total"), G.essay_confidence(pick("confidence")).alias("confidence"), T.criteria_feedback("scores").alias("feedback"))
+
+
+@query("""select p_partkey as id, cast(p_size % 9 + 4 + 2.5e0 as double) as max_points, concat('### ', p_brand, ' (score 0–', p_size % 9 + 4, ' pts)', chr(10), '- high: score ', cast((p_size % 9 + 4 + 1) / 2.0e0 as varchar)[:-3] || replace(right(cast((p_size % 9 + 4 + 1) / 2.0e0 as varchar), 2), '.0', ''), '-', p_size % 9 + 4, ' pts — all of it', chr(10),
+  '- low: score 0-', cast((p_size % 9 + 4 + 1) / 2.0e0 as varchar)[:-3] || replace(right(cast((p_size % 9 + 4 + 1) / 2.0e0 as varchar), 2), '.0', ''), ' pts — little', chr(10), '### Rest (score 0–2.5 pts)') as prompt from part""")
+def criteria_prompts(m):
+    most = (F.col("p_size") % 9 + 4).cast("double")
+    level = lambda name, p, said: F.struct(F.lit(name).alias("label"), p.alias("points"), F.lit(said).alias("description"))
+    levels = F.array(level("low", F.lit(1.0), "little"), level("high", most, "all of it"))
+    item = lambda name, most, levels: F.struct(name.alias("name"), most.alias("max_points"), levels.alias("levels"))
+    criteria = F.array(item(F.col("p_brand"), most, levels), item(F.lit("Rest"), F.lit(2.5), F.lit(None).cast("array<struct<label:string,points:double,description:string>>")))
+    tops = F.transform(criteria, lambda c: c["max_points"])
+    return m.part.select(F.col("p_partkey").alias("id"), F.aggregate(tops, F.lit(0.0), lambda a, x: a + x).alias("max_points"), T.criteria_prompt(criteria).alias("prompt"))
+
+
+@query("select id as question_id, case question_type when 'essay' then 'essay' when 'identification' then 'short' end as prompt, case when question_type in ('essay', 'identification') then 'essay' end as queued_prompt from exam_questions")
+def correction_routing(m):
+    return m.exam_questions.select(F.col("id").alias("question_id"), T.correction_prompt("question_type").alias("prompt"), T.correction_prompt("question_type", queued=True).alias("queued_prompt"))
+
+
+_RUBRICS = """rub as (select p_partkey % 125 as exam_id, p_partkey as row, case p_partkey % 6 when 0 then ' ' when 1 then 'x1' else cast(p_size % 9 as varchar) end as o, case when p_partkey % 4 = 0 then null else p_name end as t from part),
+used as (select rub.*, q.id as qid from rub left join exam_questions q on q.exam_id = rub.exam_id and cast(q.order_index as varchar) = rub.o)"""
+
+
+def _rubrics(m: Model) -> tuple[DataFrame, DataFrame]:
+    order = F.expr("case p_partkey % 6 when 0 then ' ' when 1 then 'x1' else cast(p_size % 9 as string) end")
+    rows = m.part.select((F.col("p_partkey") % 125).alias("exam_id"), F.col("p_partkey").alias("row"), order.alias("order_index"), F.when(F.col("p_partkey") % 4 == 0, "  ").otherwise(F.col("p_name")).alias("rubric_text"))
+    return M.import_rubrics(m.exam_questions.withColumn("rubric_text", F.lit("old")), rows)
+
+
+@query("select q.id, case when u.n is null then 'old' else u.t end as rubric_text from exam_questions q left join (select qid, arg_max_null(t, row) as t, count(*) as n from used where qid is not null group by 1) u on u.qid = q.id", _RUBRICS)
+def rubric_import(m):
+    return _rubrics(m)[0].select("id", "rubric_text")
+
+
+@query("""select exam_id, coalesce(list(e order by row) filter (e is not null), []) as errors, coalesce(list(e order by row) filter (e is not null), [])[-2:] as last_errors, count(*) filter (e is null) as n_updated
+  from (select exam_id, row, case when trim(o) = '' then concat('Row ', row, ': missing order_index — skipped') when o = 'x1' then concat('Row ', row, ': order_index ''x1'' is not an integer — skipped') when qid is null then concat('Row ', row, ': no question with order_index ', o, ' — skipped') end as e from used) group by 1""", _RUBRICS)
+def rubric_import_errors(m):
+    return M.error_lists(_rubrics(m)[1], "exam_id", most=2)
+
+
+@query("select id, class_id, student_id from enrollments where student_id % 10 <> 3 or class_id % 2 = 0")
+def unenrol(m):
+    gone = m.enrollments.where("student_id % 10 = 3 and class_id % 2 = 1").select("class_id", "student_id")
+    return M.without(m.enrollments, gone, "class_id", "student_id")[0].select("id", "class_id", "student_id")
+
+
+@query("select x.i as student_id, x.c as class_id, case when st.id is null then 'not_found' when e.student_id is not null then 'already' else 'added' end as outcome from (select distinct c_custkey * 2 as i, c_nationkey as c from customer) x left join students st on st.id = x.i left join enrollments e on e.student_id = x.i and e.class_id = x.c")
+def bulk_enrol(m):
+    wanted = m.customer.select((F.col("c_custkey") * 2).alias("student_id"), F.col("c_nationkey").alias("class_id"))
+    return M.enrol(m.enrollments, m.students, wanted)[1].select("student_id", "class_id", "outcome")
+
+
+@query("select submission_answer_id, flag_reason, review_decision from flag_log where submission_answer_id % 3 <> 0")
+def flag_delete(m):
+    return M.without(m.flag_log, m.answers.where("id % 3 = 0").select(F.col("id").alias("submission_answer_id")), "submission_answer_id")[0]
+
+
+@query("""select coalesce(f.submission_answer_id, a.id) as submission_answer_id, case when a.id is not null then 'by hand' else flag_reason end as flag_reason, a.id is null as auto_flagged, review_decision from flag_log f
+  full join (select id from submission_answers where ai_score = 3) a on a.id = f.submission_answer_id""")
+def flags_by_hand(m):
+    flags = m.flag_log.select("submission_answer_id", "flag_reason", F.lit(True).alias("auto_flagged"), "review_decision")
+    return G.flag_by_hand(flags, m.answers.where("ai_score = 3").select(F.col("id").alias("submission_answer_id"), F.lit("by hand").alias("flag_reason")))
+
+
+@query("select user_id, event_id, ts, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
+def latest_events(m):
+    return M.latest(m.events.select("user_id", "event_id", "ts", "event_type"), "user_id", "ts", "event_id")
+
+
+@query("select submission_id, array_to_string(list_sort(list(distinct cast(page_number as varchar))), ',') as pages from submission_answers where page_number <> 0 group by 1")
+def answer_pages(m):
+    pages = F.array_sort(F.collect_set(F.when(F.col("page_number") != 0, F.col("page_number").cast("string"))))
+    return m.answers.where("page_number <> 0").groupBy("submission_id").agg(F.array_join(pages, ",").alias("pages"))
+
+
+@query("select id, case when id % 7 = 0 then concat('#', id) else concat(full_name, ' (#', id, ')') end as label from students")
+def enrolment_labels(m):
+    return m.students.select("id", S.enrolment_label(F.when(F.col("id") % 7 != 0, F.col("full_name")), "id").alias("label"))
+
+
+@query("select e.id as exam_id, e.id % 3 = 0 or coalesce(bool_or(question_type not in ('mcq', 'tf')), false) as needs_model from exams e left join (select * from exam_questions where id % 4 = 0) q on q.exam_id = e.id group by e.id")
+def model_needed_by_template(m):
+    return G.needs_model(m.exam_questions.where("id % 4 = 0"), m.exams, m.exams.where("id % 3 <> 0").select(F.col("id").alias("exam_id")))
 
 
 @query("""select a.id, case when a.question_id is null and g.fallback_id is null then 'fallback_ocr_ambiguous_question' when ai_score = 0 then 'essay_score_zero' when disc * 5 < 0.4 then 'essay_low_confidence' end as flag,
@@ -419,9 +556,9 @@ def class_analytics(m):
   round(case when question_type = 'essay' then 58 + 38.5e0 + 4 + (order_index - 4) * (h + 9) + 6 when question_type = 'identification' then 58 + (order_index - 1) * 10 + 1.5e0 else 58 + (order_index - 1) * 10 end, 2) as y1_mm,
   195.0e0 as x2_mm, round(case when question_type = 'essay' then 58 + 38.5e0 + 4 + (order_index - 4) * (h + 9) + 6 + h when question_type = 'identification' then 58 + (order_index - 1) * 10 + 15.5e0 else 58 + (order_index - 1) * 10 + 8.5e0 end, 2) as y2_mm,
   case question_type when 'mcq' then 4 when 'tf' then 2 else 0 end as n_bubbles
-  from (select *, greatest(25.0e0, (210 - 38.5e0 - 4 - n * 9) / n) as h from (select q.*, count(*) filter (question_type = 'essay') over (partition by exam_id) as n from exam_questions q where exam_id % 5 <> 4))""")
+  from (select *, greatest(25.0e0, (210 - 38.5e0 - 4 - n * 9) / nullif(n, 0)) as h from (select q.*, count(*) filter (question_type = 'essay') over (partition by exam_id) as n from exam_questions q))""")
 def paper_layout(m):
-    return P.regions(m.exam_questions.where("exam_id % 5 <> 4")).withColumn("n_bubbles", F.size("bubbles")).drop("bubbles")
+    return P.regions(m.exam_questions).withColumn("n_bubbles", F.size("bubbles")).drop("bubbles")
 
 
 @query()

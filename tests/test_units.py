@@ -60,6 +60,23 @@ def test_error_rates(spark):
     assert got == [(rate(r, h), rate(r.split(), h.split())) for r, h in pairs]
 
 
+def test_error_rates_of_long_texts(spark, monkeypatch):
+    import random
+
+    from quillmark.functions.python_parity import edits as fast
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab c") for _ in range(rng.randrange(14))) for _ in range(120)] + [None, "", " "]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(400)]
+    assert all(fast(a, b) == edits(a, b) for a, b in pairs if a is not None and b is not None)
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, ref string, hyp string")
+    one = df.select("i", S.cer("ref", "hyp").alias("cer"), S.wer("ref", "hyp").alias("wer")).orderBy("i").collect()
+    monkeypatch.setattr(T, "LONG", 0)
+    monkeypatch.setattr(T, "LONG_IN_WORDS", 0)
+    two = df.select("i", T.cer("ref", "hyp").alias("cer"), T.wer("ref", "hyp").alias("wer")).orderBy("i").collect()
+    assert [tuple(r) for r in one] == [tuple(r) for r in two]
+
+
 def test_python_parity(spark):
     pairs = [("lapulapu", "lapu lapu"), ("tide", "diet"), ("diet", "tide"), ("a" * 210 + "b", "b" + "a" * 210), ("", "")]
     df = spark.createDataFrame(pairs, "a string, b string")
@@ -100,7 +117,7 @@ def test_responses(spark):
     rows = ['{"score": 7, "feedback": "ok", "confidence": 0.4}', '```json\n{"score": 99, "feedback": "f"}\n```', 'I think "score": 3.5 and "feedback": "b\\"c" x', "no idea", '{"score": 4}', '[{"score": 1, "feedback": "x"}]']
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, raw string").orderBy("i")
     got = values(df.select(T.parse_response("raw", F.lit(10.0)).alias("p")).select("p.*"), "score", "feedback", "confidence")
-    assert got[0] == (7, "ok", 0.4) and got[1] == (10, "f", 1) and got[2] == (3.5, 'b\\"c', 1) and got[3] == (0, "no idea", 1) and got[4][0] == 4 and got[5][:2] == (1, "x")
+    assert got[0] == (7, "ok", 0.4) and got[1] == (10, "f", 1) and got[2] == (3.5, "b\\", 1) and got[3] == (0, "no idea", 1) and got[4][0] == 4 and got[5][:2] == (1, "x")
 
 
 def test_criteria_match_by_name_then_place(spark):
@@ -110,6 +127,59 @@ def test_criteria_match_by_name_then_place(spark):
     assert got == {"Clarity": (5.0, 0.5, False), "Depth": (5.0, 0.5, False), "Style": (0.0, 0.0, True)}
 
 
+def test_criteria_without_names_or_confidence(spark):
+    c = spark.createDataFrame([(1, 0, "Clarity", 5.0), (1, 1, " ", 5.0), (1, 2, "Style", 5.0)], "id int, pos int, name string, max_points double")
+    r = spark.createDataFrame([(1, 0, "clarity", 4.0, None), (1, 1, "x", 2.0, 0.7), (1, 2, "", None, None)], "id int, pos int, name string, score double, confidence double")
+    got = {r.name: (r.score, r.confidence, r.missing) for r in T.match_criteria(c, r).collect()}
+    assert got == {"Clarity": (4.0, 1.0, False), " ": (2.0, 0.7, False), "Style": (0.0, 1.0, False)}
+
+
+def test_structured_replies(spark):
+    levels = [("low", 0.0, "l"), ("high", 4.0, "h")]
+    criteria = [("Clarity", 4.0, levels), (None, 2.5, None)]
+    rows = ['[{"criterion":"CLARITY","score":9,"justification":""},{"score":"1.25"}]', "[]", None, '[1, {"criterion": "Criterion 2", "score": null, "confidence": "?"}]', 'a {"criterion":"z","score":1} b {"criterion":"clarity","score":2,"confidence":0.5}']
+    df = spark.createDataFrame([(i, r, criteria) for i, r in enumerate(rows)], f"i int, raw string, criteria {T.CRITERIA}").orderBy("i")
+    got = [[(x.criterion, x.score, x.confidence, x.level) for x in r.s] for r in df.select(T.structured_scores("criteria", T.structured_items("raw")).alias("s")).collect()]
+    none = [("Clarity", 0, 0, "low"), ("Criterion 2", 0, 0, "")]
+    assert got[0] == [("Clarity", 4, 1, "high"), ("Criterion 2", 1.25, 1, "")] and got[1] == none
+    assert got[3][1] == ("Criterion 2", 0, 1, "") and got[4] == [("Clarity", 2, 0.5, "high"), ("Criterion 2", 2, 0.5, "")]
+    text = df.where("i = 0").select(T.criteria_feedback(T.structured_scores("criteria", T.structured_items("raw"))).alias("x")).first().x
+    assert text == "Clarity: 4/4 (high) — (no justification provided); Criterion 2: 1.25/2.5 — (no justification provided)"
+    long = spark.createDataFrame([([("c", 1.0, 1.0, 1.0, "j" * 2000, "")],)], "s array<struct<criterion:string,max_points:double,score:double,confidence:double,justification:string,level:string>>")
+    assert len(long.select(T.criteria_feedback("s").alias("x")).first().x) == 1500
+
+
+def test_numbers_as_text(spark):
+    x = [0.0, 1.0, 2.5, 1 / 3, 12.3456789, 99999.5, 0.00012345678, -3.25]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v double").orderBy("i")
+    assert [float(t) for t in values(df.select(S.general("v").alias("t")), "t")] == [float(f"{v:g}") for v in x] and values(df.select(S.general("v").alias("t")), "t")[:4] == ["0", "1", "2.5", "0.333333"]
+    assert values(df.select(S.percent(F.col("v") / 100).alias("t")), "t")[:4] == ["0%", "1%", "2%", "0%"]
+
+
+def test_merged_boxes():
+    import random
+
+    # a chain merges as it grows; half of the shorter height isn't enough; a tall box takes what lies in it
+    assert L.merge_boxes([(0, 0, 5, 10), (9, 4, 12, 14), (2, 8, 3, 18)]) == [(0, 0, 12, 18)]
+    assert L.merge_boxes([(0, 0, 5, 10), (0, 5, 5, 15)]) == [(0, 0, 5, 10), (0, 5, 5, 15)]
+    assert L.merge_boxes([(3, 20, 4, 22), (0, 0, 9, 30), (5, 40, 6, 50)]) == [(0, 0, 9, 30), (5, 40, 6, 50)] and L.merge_boxes([]) == []
+    # a box joins the first line that it shares with, not the best one
+    assert L.merge_boxes([(0, 0, 1, 12), (2, 8, 3, 18), (4, 6, 5, 14)]) == [(0, 0, 5, 18)]
+    rng = random.Random(6)
+    for _ in range(2000):
+        boxes = []
+        for _ in range(rng.randrange(1, 9)):
+            x, y = rng.randrange(40), rng.randrange(60)
+            boxes.append((x, y, x + rng.randrange(1, 40), y + rng.randrange(1, 25)))
+        got = L.merge_boxes(boxes)
+        assert L.merge_boxes(got) == got and L.merge_boxes(boxes[:1]) == boxes[:1]
+        assert all(any(m[0] <= b[0] and m[1] <= b[1] and m[2] >= b[2] and m[3] >= b[3] for m in got) for b in boxes)
+        for k, f in enumerate((min, min, max, max)):
+            assert f(m[k] for m in got) == f(b[k] for b in boxes) and {m[k] for m in got} <= {b[k] for b in boxes}
+        spans = [(m[1], m[3]) for m in got]
+        assert all(2 * (min(p[1], q[1]) - max(p[0], q[0])) <= min(p[1] - p[0], q[1] - q[0]) for i, p in enumerate(spans) for q in spans[:i])
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("a | b||  c ", " x  y \n\n z\t", 'short', "let me see")], "c string, t string, raw string, corr string")
     r = df.select(S.choices_json("c").alias("c"), S.collapse_lines("t").alias("t"), T.is_runaway("raw", "corr").alias("r"), T.is_runaway("raw", "raw").alias("n"), S.latin1(F.lit("a😀é")).alias("l"), T.qr_payload(F.lit('{"exam_id": 3}')).alias("q")).first()
