@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,8 +30,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names, or a local one where it names none."""
+    """The shared folder that the cluster names. Only a local master, whose executors are the driver, may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return (root or LOCAL_STAGE).rstrip("/")
 
 

@@ -49,7 +49,7 @@ BLOCK = 512
 #: Buckets of more nodes are large.
 SMALL = 32
 #: Partners that a node's set is compared with in one go.
-PARTNERS = 1024
+PARTNERS = 256
 #: Bytes of text for each part of the signatures; signatures of a part that are sorted at once.
 PART, SORTED = 64 << 20, 1_000_000
 #: Times as many classes of a sketch where nodes of one bucket are compared.
@@ -688,3 +688,15 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     comp = jaccard_components(docs, id_col, text_col)
     gone = common.stage(comp.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone")).distinct(), "join-gone")
     return rows.join(gone, rows[key] == gone["gone"], "left_anti").toDF(*names)
+
+
+#: DuckDB SQL with the rows of jaccard_components over the view documents; pairs come from shared shingles.
+SQL = r"""
+with recursive w as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select r, doc_id, case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as g from w),
+n as (select r, doc_id, cast(len(g) as bigint) as n_shingles from s),
+f as (select r, md5(unnest(g)) as h from s where doc_id is not null),
+p as (select a, b from (select x.r as a, y.r as b, count(*) as c from f x join f y on x.h = y.h and x.r < y.r group by all) join n na on na.r = a join n nb on nb.r = b where 100 * c >= 75 * (na.n_shingles + nb.n_shingles - c)),
+e as (select a, b from p union all select b, a from p),
+c(a, m) as (select r, doc_id from n where doc_id is not null union select e.a, c.m from c join e on e.b = c.a)
+select doc_id, n_shingles, component_id from n left join (select a, min(m) as component_id from c group by a) on a = r"""

@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_host_quality_rules": quality.SQL}
+    return {"op2_ngram_jaccard_join": ngram_join.SQL, "op8_host_quality_rules": quality.SQL, "op10_embedding_near_dedup": range_join.SQL}

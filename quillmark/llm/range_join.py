@@ -291,3 +291,13 @@ def cosine_components(vectors: DataFrame, limit: float = 0.95, id_col: str = "ve
     out = rows.drop("v").join(result, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+#: DuckDB SQL with the rows of cosine_components over the view embeddings: all pairs, so for small tables.
+SQL = """
+with recursive v as (select row_number() over () as r, cast(vec_id as bigint) as vec_id, cast(embedding as double[]) as e from embeddings),
+ok as (select * from v where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+p as (select a.r as a, b.r as b from ok a join ok b on a.r <> b.r and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95),
+c(a, m) as (select r, vec_id from ok union select p.a, c.m from c join p on p.b = c.a)
+select vec_id, coalesce(n, 0) as n_links, coalesce(m, vec_id) as component_id, coalesce(vec_id = coalesce(m, vec_id), true) as kept
+from v left join (select a, min(m) as m from c group by a) x on x.a = r left join (select a, count(*) as n from p group by a) y on y.a = r"""
