@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,18 @@ from pyspark.sql import functions as F
 LOCAL_STAGE = "file:///tmp/checkpoints"
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def only(name: str, clear: Callable[[], None] | None = None) -> None:
+    """Called where a task begins: a Python worker that goes from one operator's tasks to another's lets go of what the
+    others keep between tasks, so that it holds the caches of one operator, not of all that it has served."""
+    for other in [k for k in _kept if k != name]:
+        _kept.pop(other)()
+    if clear is not None:
+        _kept[name] = clear
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application."""
     sc = spark.sparkContext

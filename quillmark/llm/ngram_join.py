@@ -272,6 +272,7 @@ def _emit(parts: int):
             yield _rows(0, n=counts[x : x + 1000], blob=blobs[x : x + 1000], part=to[cut[x : x + 1000]].astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("ngram_join", _tables.clear)
         seen: set[int] = set()
         held: tuple[list, ...] = ([], [], [], [], [], [])
         weight = 0
@@ -305,6 +306,7 @@ def _emit(parts: int):
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed signatures of whole parts -> what _buckets makes of them; other kinds pass through. A part is held
     packed and sorted a slice at a time, about SORTED signatures, chosen by bits of the signature."""
+    common.only("ngram_join", _tables.clear)
     held: dict[int, list[tuple[int, bytes]]] = {}
     for batch in batches:
         kind = batch.column("kind").to_numpy()

@@ -149,6 +149,7 @@ def _island(capacity: int, number: int, step: int, last: bool):
         return evolve(lengths, capacity, people, GENERATIONS[step], np.random.default_rng([number, step, deme, island]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("packing")
         for batch in batches:
             for x in range(batch.num_rows):
                 deme, island, lengths, elites = (c[x].as_py() for c in batch.columns)
@@ -182,6 +183,7 @@ def pieces(docs: DataFrame, vocabulary: str, end: int, capacity: int, id_col: st
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("word_bpe", word_bpe.word_coder.cache_clear)
         for batch in batches:
             key = batch.column(0).to_pylist()
             out: tuple[list, ...] = ([], [], [], [], [])

@@ -196,6 +196,7 @@ def is_held_out(id_col) -> F.Column:
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.only("toxicity")
     counts: tuple[Counter, Counter] = (Counter(), Counter())
 
     def flush():
@@ -270,6 +271,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     words, stems, rest = model.lexicon.words, model.lexicon.stems, (model.mean, model.scale, model.weights, model.none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("toxicity")
         own = Model(Lexicon(words, stems), *rest)
         for batch in batches:
             for x in range(0, batch.num_rows, 500):
@@ -294,6 +296,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     words, stems, rest = model.lexicon.words, model.lexicon.stems, (model.mean, model.scale, model.weights, model.none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("toxicity")
         own = Model(Lexicon(words, stems), *rest)
         for batch in batches:
             for x in range(0, batch.num_rows, 500):

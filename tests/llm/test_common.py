@@ -27,3 +27,15 @@ def test_components(spark):
     got = common.components(spark.createDataFrame(edges + [(9, 9)], "a long, b long"))
     assert sorted(tuple(r) for r in got.collect()) == plain(edges)
     assert common.components(spark.createDataFrame([(None, 1)], "a long, b long")).count() == 0
+
+
+def test_a_worker_keeps_the_caches_of_one_operator(monkeypatch):
+    monkeypatch.setattr(common, "_kept", {})
+    gone = []
+    common.only("a", lambda: gone.append("a"))
+    common.only("a", lambda: gone.append("a"))
+    assert gone == []
+    common.only("b", lambda: gone.append("b"))
+    common.only("c")
+    common.only("c")
+    assert gone == ["a", "b"]
