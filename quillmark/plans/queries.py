@@ -16,6 +16,7 @@ from quillmark.operators import mutations as M
 from quillmark.operators import paper as P
 from quillmark.operators import text as T
 from quillmark.plans.views import Model, with_views
+from quillmark.streaming import queue as W
 
 _QUERIES: dict[str, Callable[[Model], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -332,10 +333,11 @@ def rubric_import(m):
     return _rubrics(m)[0].select("id", "rubric_text")
 
 
-@query("""select exam_id, coalesce(list(e order by row) filter (e is not null), []) as errors, coalesce(list(e order by row) filter (e is not null), [])[-2:] as last_errors, count(*) filter (e is null) as n_updated
+@query("""select exam_id, array_to_string(coalesce(list(e order by row) filter (e is not null), []), chr(10)) as errors, array_to_string(coalesce(list(e order by row) filter (e is not null), [])[-2:], chr(10)) as last_errors, count(*) filter (e is null) as n_updated
   from (select exam_id, row, case when trim(o) = '' then concat('Row ', row, ': missing order_index — skipped') when o = 'x1' then concat('Row ', row, ': order_index ''x1'' is not an integer — skipped') when qid is null then concat('Row ', row, ': no question with order_index ', o, ' — skipped') end as e from used) group by 1""", _RUBRICS)
 def rubric_import_errors(m):
-    return M.error_lists(_rubrics(m)[1], "exam_id", most=2)
+    got = M.error_lists(_rubrics(m)[1], "exam_id", most=2)
+    return got.withColumns({c: F.array_join(c, "\n") for c in ("errors", "last_errors")})
 
 
 @query("select id, class_id, student_id from enrollments where student_id % 10 <> 3 or class_id % 2 = 0")
@@ -483,14 +485,15 @@ def get_or_create(m):
     return M.get_or_create_submissions(m.submissions, wanted, m.exams, m.enrollments)
 
 
-@query("""select pos, filename, f.student_id, case when pos % 4 = 0 then 'no_qr' when pos % 4 = 1 then 'wrong_exam' when s.sid is null then 'error' when b.id is null and e.student_id is null then 'error' else 'ok' end as outcome
+@query("""select pos, filename, f.student_id, case when pos % 4 = 0 then 'no_qr' when pos % 4 = 1 then 'wrong_exam' when s.sid is null then 'error' when b.id is null and e.student_id is null then 'error' else 'ok' end as outcome,
+  case when outcome = 'ok' then 1 + case when b.id % 2 = 0 then 1 else 0 end end as page_number
   from (select c_custkey as pos, concat('f', c_custkey) as filename, case when c_custkey % 4 = 0 then null when c_custkey % 4 = 3 and c_custkey % 3 = 0 then 'nobody' else c_name end as student_id from customer) f
   left join (select id as sid, student_id as code from students) s on s.code = f.student_id left join submissions b on b.student_id = s.sid and b.exam_id = 15
   left join (select student_id from enrollments where class_id = 3) e on e.student_id = s.sid""")
 def scan_ingest(m):
     rows = m.customer.select(F.col("c_custkey").alias("pos"), F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("filename"), F.expr("case when c_custkey % 4 = 0 then 'not json' else concat('{\"exam_id\": ', if(c_custkey % 4 = 1, 16, 15), ', \"student_id\": \"', if(c_custkey % 4 = 3 and c_custkey % 3 = 0, 'nobody', c_name), '\"}') end").alias("payload"))
-    files = m.submissions.where("id < 0").select(F.col("id").alias("submission_id"))
-    return M.ingest_scans(rows, 15, m.students, m.submissions, m.exams, m.enrollments, files).select("pos", "filename", "student_id", "outcome")
+    files = m.submissions.where("id % 2 = 0").select(F.col("id").alias("submission_id"))
+    return M.ingest_scans(rows, 15, m.students, m.submissions, m.exams, m.enrollments, files).select("pos", "filename", "student_id", "outcome", "page_number")
 
 
 @query("select code, concat(code, '_copy2') as clone from course_classes where id < 5 union all select code, concat(code, '_copy') from course_classes where id >= 5")
@@ -544,7 +547,8 @@ def answer_similarity(m):
 
 @query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n from events group by 1, 2")
 def event_windows(m):
-    return m.events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    got = W.windowed(m.events.withColumn("ts", F.col("ts").cast("timestamp")))
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query()
