@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import byte_bpe, html_extract, ngram_join, packing, quality, range_join, sharding, token_counts, token_files, toxicity
+from quillmark.llm import byte_bpe, html_extract, language_id, ngram_join, packing, periodic_runs, quality, range_join, sharding, token_alignment, token_counts, token_files, toxicity
 from quillmark.llm.common import table
 
 
@@ -58,9 +58,21 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join.cosine_components(table(spark, sf_dir, "embeddings"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": ngram_join.SQL, "op8_host_quality_rules": quality.SQL, "op10_embedding_near_dedup": range_join.SQL}
+    return {"op2_ngram_jaccard_join": ngram_join.SQL, "op8_host_quality_rules": quality.SQL, "op10_embedding_near_dedup": range_join.SQL, "op13_periodic_runs": periodic_runs.SQL}

@@ -26,7 +26,7 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
-def _visible() -> dict[int, str]:
+def visible_bytes() -> dict[int, str]:
     """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for code points from 256 on."""
     same = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
     spare = iter(range(256, 512))
@@ -40,7 +40,7 @@ class WordCoder:
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
         self._model = self._tokenizer.model.tokenize
-        alphabet = _visible()
+        alphabet = visible_bytes()
         self._letters = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
         self._cache: dict[bytes, bytes] = {b"": b""}
         self._stops = {c: self._library([c])[0] for c in (".", ",")}
