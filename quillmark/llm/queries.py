@@ -43,7 +43,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), vocabulary=vocabulary("word_bpe_49k.json"))
 
 
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,32 @@
 """Toxicity scores from a lexicon, with Levenshtein automata for misspelled terms and context windows for quotation.
 
-The lexicon is learned: whole words and word beginnings that are far more frequent in toxic training documents than
-in others. Whole words of the lexicon form a trie; a word of a text that isn't in it runs through the trie together
-with the automaton of all strings one edit away, so misspelled terms are caught (a cheap necessary test comes first).
+The lexicon is learned: words that are far more frequent in toxic training documents than in others, and stems, the
+beginnings that toxic words of different endings share. Words of the lexicon form a trie; any other word of a text runs
+through the trie together with the automaton of all strings one edit away, so misspelled terms are caught (a cheap
+necessary test comes first). An ordinary word is no misspelling, however near it is: one that clean training texts hold
+too, or that a vocabulary file has as a whole word (but not a term and one letter more). A word that isn't misspelled may still have a stem.
 Each hit is weighed in its window of words: between quotation marks it counts as quotation, else as abuse, and hits
-that stand together count as density. A logistic model over these figures gives the score.
-
-Fit: about FIT_ROWS labelled rows, a share of them by the hash of their id; only the ids and labels of that many
-are held, term counts are aggregated on the executors, and the driver gets at most LEXICON terms and FIT_ROWS rows of
-a few numbers. Scoring reads whole texts of all rows, in time linear in their words. Null text counts as empty; null
-and repeated ids are rows like any other; without both kinds of label, scores are 0; an empty table gives no rows.
-Texts without a hit, empty ones too, get one score: the rate of toxic texts among such texts in training.
+that stand together count as density; stems and misspellings are figures of their own too. A logistic model over these
+figures gives the score.
+
+A stem has STEM_WORDS different toxic words behind it, and they branch there: a beginning whose words nearly all go on
+with the same letter says no more than that letter's, so no single word makes its own beginnings stems.
+
+Fit: about FIT_ROWS labelled rows, a share of them by the hash of their id; only the ids and labels of that many are
+held, term counts are aggregated on the executors, and the driver gets the terms that LEAST_DOCS toxic rows of the
+sample or more have, the ordinary words next to them, and FIT_ROWS rows of a few numbers. Scoring reads whole texts of
+all rows, in time linear in their words. Null text counts as empty; null and repeated ids are rows like any other;
+without both kinds of label, scores are 0; an empty table gives no rows; other columns are ignored. Texts without a hit,
+empty ones too, get one score: the rate of toxic texts among such texts in training.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,9 +36,12 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import common
 
-#: Bounds of the fit; lengths of word beginnings; different toxic documents that a term needs; odds against other
-#: documents.
-FIT_ROWS, LEXICON, STEMS, LEAST_DOCS, LEAST_ODDS = 20_000, 4_000, (4, 5, 6), 4, 12.0
+#: Bound of the fit; toxic documents that a term needs, and its odds against other documents.
+FIT_ROWS, LEAST_DOCS, LEAST_ODDS = 20_000, 4, 12.0
+#: Lengths of stems, different toxic words that one needs, and the share of them that may go on with the same letter.
+STEMS, STEM_WORDS, BRANCH = range(4, 11), 5, 0.8
+#: Clean documents in which a word next to a term is taken for an ordinary one.
+LEAST_CLEAN = 2
 #: Words to each side of a hit; shortest word with a misspelling; score from which a document counts as toxic.
 CONTEXT, LEAST_FUZZY, THRESHOLD = 8, 5, 0.3
 #: Entries of a worker's word cache; a full one takes no more.
@@ -87,10 +98,11 @@ def bare(token: str) -> str:
 
 
 class Lexicon:
-    """Terms: {term: weight} of whole words and of word beginnings."""
+    """Terms: {term: weight} of whole words and of stems; ordinary: words that are no misspellings."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.words, self.stems = words, stems
+    def __init__(self, words: dict[str, float], stems: dict[str, float], ordinary: Iterable[str] = ()):
+        self.words, self.stems, self.ordinary = words, stems, frozenset(ordinary)
+        self._lengths = sorted({len(t) for t in stems}, reverse=True)
         fuzzy = [w for w in words if len(w) >= LEAST_FUZZY]
         self.trie = LevenshteinTrie(fuzzy)
         # one edit apart means that the words, or what is left of them without one letter, are equal
@@ -105,17 +117,17 @@ class Lexicon:
         return self.trie.search(w, 1)
 
     def look(self, token: str) -> tuple | None:
-        """(term, weight, kind) of a token: kind 0 is the word itself, 1 a beginning, 2 a misspelling."""
+        """(term, weight, kind) of a token: kind 0 is the word itself, 1 a stem, 2 a misspelling."""
         w = bare(token)
         if w in self.words:
             return w, self.words[w], 0
-        for n in STEMS:
-            if len(w) > n and w[:n] in self.stems:
-                return w[:n], self.stems[w[:n]], 1
-        near = self.misspelled(w) if len(w) >= LEAST_FUZZY - 1 else None
+        near = self.misspelled(w) if len(w) >= LEAST_FUZZY - 1 and w not in self.ordinary else None
         if near:
             best = max(near, key=lambda t: (self.words[t], t))
             return best, self.words[best], 2
+        for n in self._lengths:
+            if len(w) >= n and w[:n] in self.stems:
+                return w[:n], self.stems[w[:n]], 1
         return None
 
     def hits(self, texts: list[list[str]]) -> list[list[tuple[int, tuple]]]:
@@ -203,13 +215,11 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = list(set(counts[0]) | set(counts[1]))
         for x in range(0, len(terms), 50_000):
             y = terms[x : x + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in y]), pa.array([t[1] for t in y]), *(pa.array([c[t] for t in y], pa.int64()) for c in counts)], ["stem", "term", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(y), *(pa.array([c[t] for t in y], pa.int64()) for c in counts)], ["term", "clean", "toxic"])
 
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = {bare(t) for t in set((text or "").split())} - {""}
-            own = {(False, w) for w in words if len(w) > 2} | {(True, w[:n]) for n in STEMS for w in words if len(w) > n}
-            counts[toxic].update(own)
+            counts[toxic].update({w for w in map(bare, set((text or "").split())) if len(w) > 2})
         if len(counts[0]) + len(counts[1]) > 500_000:
             yield from flush()
             for c in counts:
@@ -217,21 +227,29 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def choose(terms: list[tuple[bool, str, int, int]], clean: int, toxic: int) -> Lexicon:
-    """A lexicon of (is a stem, term, clean documents, toxic documents): a beginning goes where a shorter one of it is
-    in and about as telling. Whole words all stay, as misspellings are sought among them; look() gives a token one term
-    only, so none is weighed twice."""
-    weight = {(s, t): math.log((p + 0.5) / (toxic + 1) / ((c + 0.5) / (clean + 1))) for s, t, c, p in terms}
-    words: dict[str, float] = {}
-    stems: dict[str, float] = {}
-    for (stem, term), w in sorted(weight.items(), key=lambda x: (not x[0][0], len(x[0][1]), x[0][1])):
-        if not stem or not any(len(term) > n and term[:n] in stems and stems[term[:n]] >= w - 1.5 for n in STEMS):
-            (stems if stem else words)[term] = w
-    return Lexicon(words, stems)
+def _weight(clean: int, toxic: int, n_clean: int, n_toxic: int) -> float:
+    return math.log((toxic + 0.5) / (n_toxic + 1) / ((clean + 0.5) / (n_clean + 1)))
+
+
+def stems_of(words: DataFrame, odds) -> DataFrame:
+    """(stem, clean, toxic) of the words (term, clean, toxic): beginnings that different toxic words share."""
+    begin = words.select(F.explode(F.expr(f"transform(filter(sequence({STEMS[0]}, {STEMS[-1] + 1}), n -> n <= length(term)), n -> left(term, n))")).alias("stem"), "clean", "toxic")
+    counted = begin.groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count_if(F.col("toxic") > 0).alias("words"))
+    longest = counted.groupBy(F.expr("left(stem, length(stem) - 1)").alias("stem")).agg(F.max("words").alias("most"))
+    good = counted.where((F.length("stem") <= STEMS[-1]) & (F.col("words") >= STEM_WORDS) & (F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS))
+    return good.join(longest, "stem", "left").where(F.coalesce("most", F.lit(0)) <= BRANCH * F.col("words")).select("stem", "clean", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """A model from the rows of docs that labels has a label for, held-out rows left aside; None without both kinds."""
+def whole_words(vocabulary: str) -> set[str]:
+    """The whole words of a tokenizers file with word ends or with marks for spaces."""
+    with open(vocabulary, encoding="utf-8") as f:
+        tokens = json.load(f)["model"]["vocab"]
+    return {w for t in tokens for w in (t.removesuffix("</w>") if t.endswith("</w>") else t[1:] if t[:1] in "Ġ▁" else "",) if w.isalpha()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", vocabulary: str | None = None) -> Model | None:
+    """A model from the rows of docs that labels has a label for, held-out rows left aside; None without both kinds.
+    vocabulary: a tokenizers file, read on the driver, whose whole words aren't misspellings of others."""
     spark = docs.sparkSession
     common.ship(spark)
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~is_held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("toxic"))
@@ -244,10 +262,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     of = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(of) < 2:
         return None
-    counted = rows.mapInArrow(_count_terms, "stem boolean, term string, clean long, toxic long").groupBy("stem", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = common.stage(rows.mapInArrow(_count_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-terms")
     odds = (F.col("toxic") + 0.5) / (of[1] + 1) / ((F.col("clean") + 0.5) / (of[0] + 1))
-    terms = counted.where((F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).orderBy((odds * F.col("toxic")).desc(), "stem", "term").limit(LEXICON).collect()
-    lexicon = choose([(r["stem"], r["term"], r["clean"], r["toxic"]) for r in terms], of[0], of[1])
+    words, stems = (
+        {r[0]: _weight(r["clean"], r["toxic"], of[0], of[1]) for r in x.collect()} for x in (counted.where((F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS)), stems_of(counted, odds))
+    )
+    first = Lexicon(words, stems)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if w not in words and first.misspelled(w)], pa.string())], ["term"])
+
+    # words of clean texts one edit from a term, no more than the sample has
+    ordinary = {r["term"] for r in counted.where((F.col("clean") >= LEAST_CLEAN) & (odds < LEAST_ODDS)).select("term").mapInArrow(near, "term string").collect()}
+    if vocabulary is not None:
+        # a term with a letter behind it (`morons`) is a form of it, not another word
+        ordinary |= {w for w in whole_words(vocabulary) if w not in words and any(not w.startswith(t) for t in first.misspelled(w))}
+    lexicon = Lexicon(words, stems, ordinary)
     blank = Model(lexicon, np.zeros(N_FIGURES), np.ones(N_FIGURES), np.zeros(N_FIGURES + 1))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,6 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     seen = rows.mapInArrow(describe, "x array<double>, y int").collect()
     x, y = np.array([r["x"] for r in seen]), np.array([r["y"] for r in seen], float)
+    common.unstage(counted)
     order = np.lexsort((*x.T, y))  # the same model whatever order the rows come in
     without = y[~x.any(1)]
     return Model(lexicon, *fit_logistic(x[order], y[order]), (without.sum() + y.mean()) / (len(without) + 1))
@@ -268,11 +300,11 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     if model is None:
         return rows.select(id_col, F.lit(0.0).alias("score"))
 
-    words, stems, rest = model.lexicon.words, model.lexicon.stems, (model.mean, model.scale, model.weights, model.none)
+    terms, rest = (model.lexicon.words, model.lexicon.stems, model.lexicon.ordinary), (model.mean, model.scale, model.weights, model.none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.only("toxicity")
-        own = Model(Lexicon(words, stems), *rest)
+        own = Model(Lexicon(*terms), *rest)
         for batch in batches:
             for x in range(0, batch.num_rows, 500):
                 part = batch.slice(x, 500)
@@ -281,23 +313,23 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return rows.mapInArrow(run, f"`{id_col}` long, score double")
 
 
-def rate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def rate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, vocabulary: str | None = None) -> DataFrame:
     """(id, held_out, score, predicted) of every row of docs."""
-    scored = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
+    scored = score(docs, fit(docs, labels, id_col, text_col, vocabulary=vocabulary), id_col, text_col)
     return scored.select(id_col, is_held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, vocabulary: str | None = None) -> DataFrame:
     """The rows of docs, with all their columns, that score under the threshold; equal texts are judged alike. Null
     texts count as empty, rows with any null stay rows, an empty table gives no rows; other columns pass through."""
-    model = fit(docs, labels, id_col, text_col)
+    model = fit(docs, labels, id_col, text_col, vocabulary=vocabulary)
     if model is None:
         return docs
-    words, stems, rest = model.lexicon.words, model.lexicon.stems, (model.mean, model.scale, model.weights, model.none)
+    terms, rest = (model.lexicon.words, model.lexicon.stems, model.lexicon.ordinary), (model.mean, model.scale, model.weights, model.none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.only("toxicity")
-        own = Model(Lexicon(words, stems), *rest)
+        own = Model(Lexicon(*terms), *rest)
         for batch in batches:
             for x in range(0, batch.num_rows, 500):
                 part = batch.slice(x, 500)

@@ -20,12 +20,9 @@ def plain_grams(text):
 
 def test_features_are_n_grams_within_words():
     rng = random.Random(1)
-    bucket_of = {}
     for _ in range(1500):
         text = "".join(rng.choice("aAbßÉñ 日\n.,-1²'’́İ") for _ in range(rng.randrange(16)))
         want, got = plain_grams(text), Counter(li.buckets(text).tolist())
-        for g in want:  # a single n-gram's bucket, from its own word
-            bucket_of.setdefault(g, None)
         assert sum(want.values()) == sum(got.values()), text
         assert sorted(want.values()) == sorted(got.values()) or len(want) > len(got), text  # two may share a bucket
     assert li.buckets("").size == li.buckets("12 .").size == 0

@@ -1,7 +1,12 @@
+import json
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from quillmark.llm import queries, toxicity
@@ -64,7 +69,7 @@ def test_held_out_accuracy(spark):
     out = queries.op7_toxicity(spark, "/root/testdata/sf0.1").cache()
     assert out.count() == spark.read.parquet("/root/testdata/sf0.1/documents.parquet").count()
     found, false = held_out_rates(spark, out, labels)
-    assert found > 0.85 and false < 0.02
+    assert found >= 111 / 120 and false <= 2 / 870
 
 
 def test_held_out_labels_are_not_used(spark):
@@ -98,7 +103,7 @@ def test_fitted_model_knows_misspelled_first_letters(spark):
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(240)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(df, labels)
     assert set(terms) <= set(model.lexicon.words)
-    assert all(model.lexicon.look(w)[2] == 2 for w in wrong) and model.lexicon.look("idiots")[2] == 1
+    assert all(model.lexicon.look(w)[2] == 2 for w in wrong) and model.lexicon.look("idiots")[2] == 2 and not model.lexicon.stems
     got = {r.doc_id: r.predicted for r in toxicity.rate(df, labels).collect()}
     assert all(got[1000 + i] == 1 for i in range(len(wrong))) and not any(got[2000 + i] for i in range(20))
 
@@ -121,3 +126,117 @@ def test_logistic_fit():
     y = (rng.random(4000) < 1 / (1 + np.exp(-(1.5 * x[:, 0] - 0.5)))).astype(float)
     mean, scale, w = toxicity.fit_logistic(x, y)
     assert abs(w[1] / scale[0] - 1.5) < 0.2 and abs(w[2]) < 0.15
+
+
+HARMLESS = [
+    "A pathologist from Morocco wrote about the disease.", "He went in disguise to Morocco.", "closer", "crash", "Worten", "Er sprach mit wortreichen Worten darüber.",
+    "A closer look at the crash of a lower crown.", "Stupor, axiom and a motion", "pathos", "wort", "",
+]
+
+
+def test_harmless_words_near_terms_stay_low(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, vocabulary=public_tokenizers.path("word_bpe_49k.json"))
+    assert max(model.score(HARMLESS)) < 0.05
+    wrong = ["you stup1d thing", "you stupd thing", "what an idi0t", "w0rthless", "patheitc pathetik", "you morons", "losers"]
+    assert min(model.score(wrong)) > 0.5
+    look = model.lexicon.look
+    assert look("stup1d")[::2] == ("stupid", 2) and look("stupd")[::2] == ("stupid", 2) and look("closer") is None and look("moro") is None
+    # every stem has different words behind it, that don't all go on with one letter
+    assert not any(w.startswith(s) for s in model.lexicon.stems for w in ("moron", "pathetic", "disgusting", "worthless", "stupid"))
+    assert any(h[2] == 1 for h in map(look, ["réeuxzzzz", "achlichzzzz", "bomentezzzz"]) if h)
+
+
+def test_stems_branch(spark):
+    toxic = ["grumbling", "grumbles", "grumbo", "grumbaz", "grumbit", "moron", "moronic", "morons"]
+    rows = [(w, 0, 6) for w in toxic] + [("grumpy", 9, 0), ("morocco", 5, 0)]
+    words = spark.createDataFrame(rows, "term string, clean long, toxic long")
+    odds = (F.col("toxic") + 0.5) / 50 / ((F.col("clean") + 0.5) / 500)
+    assert {tuple(r) for r in toxicity.stems_of(words, odds).collect()} == {("grumb", 0, 30)}
+    many = spark.createDataFrame([(f"moron{c}", 0, 2) for c in "abcdef"] + [("moron", 1, 9)], words.schema)
+    assert {r.stem for r in toxicity.stems_of(many, odds).collect()} == {"moron"}
+
+
+def test_whole_words_of_vocabularies():
+    words = [toxicity.whole_words(public_tokenizers.path(f)) for f in ("word_bpe_49k.json", "byte_bpe_50k.json")]
+    assert all({"closer", "crash"} <= w and "xdiot" not in w and "" not in w for w in words)
+
+
+def plain_lexicon(rows, ordinary):
+    """(words, stems, ordinary words) of (text, toxic) rows, by counting everything."""
+    n, counts = [sum(1 - y for _, y in rows), sum(y for _, y in rows)], [Counter(), Counter()]
+    for text, y in rows:
+        counts[y].update({w for w in map(toxicity.bare, text.split()) if len(w) > 2})
+    odds = lambda c, p: (p + 0.5) / (n[1] + 1) / ((c + 0.5) / (n[0] + 1))
+    every = set(counts[0]) | set(counts[1])
+    words = {w: math.log(odds(counts[0][w], counts[1][w])) for w in every if counts[1][w] >= 4 and odds(counts[0][w], counts[1][w]) >= 12}
+    behind = defaultdict(set)
+    for w in every:
+        for k in range(4, min(len(w), 11) + 1):
+            behind[w[:k]].add(w)
+    stems = {}
+    for s, ws in behind.items():
+        c, p, kinds = sum(counts[0][w] for w in ws), sum(counts[1][w] for w in ws), [w for w in ws if counts[1][w]]
+        on = Counter(w[len(s)] for w in kinds if len(w) > len(s))
+        if len(s) <= 10 and len(kinds) >= 5 and p >= 4 and odds(c, p) >= 12 and max(on.values(), default=0) <= 0.8 * len(kinds):
+            stems[s] = math.log(odds(c, p))
+    near = lambda w: any(abs(len(w) - len(t)) < 2 and distance(w, t) == 1 for t in words if len(t) >= 5)
+    seen = {w for w in every if counts[0][w] >= 2 and odds(counts[0][w], counts[1][w]) < 12}
+    return words, stems, {w for w in seen if w not in words and near(w)} | {w for w in ordinary if w not in words and near(w) and not any(w.startswith(t) for t in words)}
+
+
+def plain_figures(text, words, stems, ordinary):
+    tokens, plain, cited = text.split(), [], []
+    for i, t in enumerate(tokens):
+        w = toxicity.bare(t)
+        near = [t for t in words if len(t) >= 5 and abs(len(w) - len(t)) < 2 and distance(w, t) == 1] if len(w) >= 4 and w not in ordinary else []
+        stem = next((w[:k] for k in range(10, 3, -1) if w[:k] in stems and len(w) >= k), None)
+        hit = (w, words[w], 0) if w in words else (*max((words[t], t) for t in near)[::-1], 2) if near else (stem, stems[stem], 1) if stem else None
+        if hit:
+            (cited if toxicity.quoted(tokens, i) else plain).append((i, *hit))
+    if not plain and not cited:
+        return [0.0] * 8
+    add = lambda xs: math.log1p(sum(x[2] for x in xs))
+    dense = max((sum(abs(x[0] - y[0]) <= 8 for y in plain) for x in plain), default=0)
+    return [
+        max((x[2] for x in plain), default=0.0), add(plain), add(cited), math.log1p(len({x[1] for x in plain})), math.log1p(dense),
+        add([x for x in plain if x[3] == 1]), add([x for x in plain if x[3] == 2]), sum(x[2] for x in plain) / (len(tokens) + 20),
+    ]
+
+
+def test_whole_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    terms, ends = ["idiot", "moron", "worthless"], ["ing", "ed", "abo", "ir", "ul", "ost"]
+    say = lambda n: " ".join("".join(rng.choice("bcdfgaeu") for _ in range(6)) for _ in range(n))
+    rows = []
+    for i in range(260):
+        own = [rng.choice(terms) for _ in range(rng.randrange(1, 4))] if rng.random() < 0.6 else [f"grumb{rng.choice(ends)}"]
+        own = [w if rng.random() < 0.9 else w[:2] + "0" + w[3:] for w in own]
+        mark = '"' if rng.random() < 0.15 else ""
+        rows.append((i, f"{say(rng.randrange(5, 15))} {mark}{' '.join(own)}{mark} {say(rng.randrange(0, 15))}" if i % 2 else f"{say(14)} {rng.choice(['noron', 'closer', 'word', 'fine'])} {say(3)}"))
+    rows += [(1000 + i, t) for i, t in enumerate([*HARMLESS, "x1diot y", "noron", "morons", "grumbx", None, "moron " * 40, rows[1][1]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(260)], "doc_id long, quality int, toxic int")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    learned = sorted({(t, i % 2) for i, t in rows if i < 260 and not held(i)})
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        whole = {t[:-4] for t in json.load(f)["model"]["vocab"] if t.endswith("</w>") and len(t) < 16}
+    near = {w for w in whole if any(abs(len(w) - len(t)) < 2 and len(set(w) ^ set(t)) < 4 for t in terms)}  # all others are too far from any
+    lexicon = plain_lexicon(learned, near)
+    model = toxicity.fit(docs, labels, vocabulary=public_tokenizers.path("word_bpe_49k.json"))
+    assert (model.lexicon.words.keys(), model.lexicon.stems.keys()) == (lexicon[0].keys(), lexicon[1].keys()) and {"grumb", "idiot"} <= lexicon[0].keys() | lexicon[1].keys()
+    assert model.lexicon.ordinary == lexicon[2] and "noron" in lexicon[2] and "closer" not in lexicon[2]
+    x, y = np.array([plain_figures(t, *lexicon) for t, _ in learned]), np.array([y for _, y in learned], float)
+    order = np.lexsort((*x.T, y))
+    mean, scale, w = toxicity.fit_logistic(x[order], y[order])
+    z = np.c_[np.ones(len(x)), (x - mean) / scale]  # at the optimum the penalised gradient is zero
+    assert np.abs(z.T @ (1 / (1 + np.exp(-z @ w)) - y) + np.r_[1e-6, np.full(8, 1e-2)] * len(x) ** 0.5 * w).max() < 1e-5
+    none = (y[~x.any(1)].sum() + y.mean()) / ((~x.any(1)).sum() + 1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op7_toxicity(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        f = np.array(plain_figures(t or "", *lexicon))
+        want = 1 / (1 + math.exp(-(w[0] + (f - mean) / scale @ w[1:]))) if f.any() else none
+        assert got[i].score == pytest.approx(want, abs=1e-6) and got[i].predicted == int(want >= 0.3) and got[i].held_out == held(i), t
