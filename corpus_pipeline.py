@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under the threshold; learned from the labels of those that came here."""
-    return toxicity.keep_clean(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, common.table(spark, sf_dir, "labels"), vocabulary=vocabulary("word_bpe_49k.json"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
