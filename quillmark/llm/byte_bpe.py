@@ -102,10 +102,13 @@ def byte_coder(rank_file: str, pattern: str) -> ByteBPE:
 
 def encode_decode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256, round_trip) of every row, and ids (array) if wanted. Encodes,
-    then decodes the ids; round_trip tells whether the bytes came back. Repeated and null ids are kept."""
+    then decodes the ids; round_trip tells whether the bytes came back. Null texts
+    count as empty; repeated and null ids are kept; texts of any length are taken whole, in time linear in their pieces;
+    an empty table gives no rows; other columns are ignored."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("byte_bpe", byte_coder.cache_clear)
         coder = byte_coder(rank_file, pattern)
         for batch in batches:
             for x in range(0, batch.num_rows, 500):

@@ -41,7 +41,7 @@ NAMES = {
     "menu": "nav menu navbar breadcrumb breadcrumbs toc pagination pager tabs topbar links skip",
     "side": "sidebar side widget related recommended popular trending more rail tags social share sharing author bio",
     "advert": "ad ads advert adverts advertisement sponsor sponsored promo promotion banner commercial adsense partner",
-    "notice": "cookie cookies consent notice alert popup modal overlay newsletter subscribe signup gdpr privacy toast warning message info",
+    "notice": "cookie cookies consent notice alert popup modal overlay newsletter subscribe signup gdpr privacy toast",
     "comment": "comment comments reply replies discussion discuss respond disqus reader feedback",
     "head": "header head masthead top logo brand site",
     "foot": "footer foot bottom copyright legal credits",
@@ -60,7 +60,7 @@ _OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
 _QUOTE = re.compile("[\"']")
 _END = {n: re.compile(rf"</{n}(?=[\s/>])" + (rf"|<{n}(?=[\s/>])" if n in ("button", "select") else ""), re.I) for n in RAW | PLAIN}
 _ATTRIBUTE = re.compile(r"(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_TOKEN = re.compile(r"[a-z]+")
+_TOKEN, _TARGET = re.compile(r"[a-z]+"), re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 
 
 class Node:
@@ -226,7 +226,7 @@ def parse(page: str) -> list[Node]:
                     leaf()
                     close(place)
                 inline.cut(0)
-            elif (place := inline.last(name)) >= 0:
+            elif (place := inline.last(name, "#" + name)) >= 0:
                 inline.cut(place)
             continue
         if name in RAW or name == "title":
@@ -238,8 +238,8 @@ def parse(page: str) -> list[Node]:
         if name in VOID and name != "hr":
             continue
         if name not in BLOCK:
-            if not raw.endswith("/"):
-                inline.push(name)
+            # a slash ends void elements only; an anchor without a target is no link
+            inline.push(name if name != "a" or _TARGET.search(raw) else "#a")
             continue
         leaf()
         inline.cut(0)
@@ -269,7 +269,10 @@ def parse(page: str) -> list[Node]:
 
 
 N_TAGS, N_NAMES = len(GROUPS), len(NAMES)
-N_FEATURES = N_TAGS + 2 * N_NAMES + N_TAGS + 17
+#: Bits of tags and names that speak against main text, and for it.
+_BESIDE = sum(1 << _GROUP_OF[t] for t in ("nav", "header", "footer", "aside", "form")) | sum(1 << N_TAGS + i for i, n in enumerate(NAMES) if n != "content")
+_WITHIN = 1 << _GROUP_OF["article"] | 1 << N_TAGS + list(NAMES).index("content")
+N_FEATURES = N_TAGS + 2 * N_NAMES + N_TAGS + 23
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -310,6 +313,12 @@ def features(nodes: list[Node]) -> np.ndarray:
     x[:, lo + 8] = np.log1p(ps)
     x[:, lo + 9] = np.log1p(size)
     x[:, lo + 15] = [v.hidden for v in nodes]
+    for k, marks in ((21, _BESIDE), (22, _WITHIN)):  # how much in a node's own path speaks for each side
+        x[:, lo + k] = [((a | b) & marks).bit_count() for a, b in zip(own, above, strict=True)]
+    above = np.maximum(0, up)  # what a node stands in: link share and text of its parent and of the parent's parent
+    for k in (17, 19):
+        x[:, lo + k], x[:, lo + k + 1] = x[above, lo + 1], x[above, lo]
+        above = np.maximum(0, np.array(up))[above]
     inner = [i for i, v in enumerate(nodes) if v.tag != "#text" and v.depth > 1]
     x[:, lo + 16] = total / max(1.0, total[inner].max(initial=1 if not inner else 0))
     child = np.array([c for v in nodes for c in v.children], np.int64)
@@ -460,6 +469,14 @@ def training_pages(count: int, seed: int) -> list[str]:
             text = rng.choice(["<b>{}", "<b>{}</b>", "<em>{}</em>", '<a href="/x">{}</a>', "<span>{}</span>"]).format(text[: rng.randint(1, len(text))]) + rng.choice(["", "<br>"]) + _MARK + text
         return text
 
+    def anchor() -> str:
+        return f'<a href="/{word()}">{_MARK}{phrase(1, 7)}{rng.choice(["", "", "."])}</a>'
+
+    def box(chance: float) -> str:
+        """A class or id of a box of the article, or none."""
+        names = ["info", "message", "warning", "note", "box", "tip", "highlight", "summary", "lead", "quote", "sources", "references", "key-points", word(), word()]
+        return f' {rng.choice(["class", "class", "id"])}="{rng.choice(names)}"' if rng.random() < chance else ""
+
     def content() -> list[str]:
         out = []
         if rng.random() < 0.75:
@@ -481,8 +498,22 @@ def training_pages(count: int, seed: int) -> list[str]:
                 out.append("<table>" + "".join(f"<tr><td>{_MARK}{phrase(1, 4)}</td><td>{_MARK}{phrase(1, 4)}</td></tr>" for _ in range(rng.randint(2, 5))) + "</table>")
             elif kind < 0.94:
                 out.append(f"<div>{_MARK}{prose(1, 5)}</div>")
-            else:
+            elif kind < 0.96:
                 out.append(f"<pre>{_MARK}{phrase(4, 20)}</pre>")
+            else:
+                out.append(f"<figure><img src=x><figcaption>{_MARK}{phrase(3, 12)}</figcaption></figure>")
+            kind = rng.random()  # what stands in articles too: links by themselves, lists of sources, boxes
+            if kind < 0.06:
+                out.append(f"<p>{anchor()}</p>")
+            elif kind < 0.12:
+                tag = rng.choice(["ul", "ul", "ol"])
+                out.append(rng.choice(["", f"<h3>{_MARK}{phrase(1, 3)}</h3>"]) + f"<{tag}{box(0.2)}>" + "".join(f"<li>{anchor()}{rng.choice(['', '', ' ' + phrase(1, 6)])}</li>" for _ in range(rng.randint(1, 8))) + f"</{tag}>")
+            elif kind < 0.2:
+                tag = rng.choice(["div", "div", "p", "section"])
+                inner = _MARK + rng.choice([phrase(3, 12), prose(1, 3), prose(1, 2)])
+                out.append(f"<{tag}{box(0.85)}>{inner if tag == 'p' or rng.random() < 0.4 else f'<p>{inner}</p>'}</{tag}>")
+            elif kind < 0.23:
+                out.append(f"<section{box(0.3)}><h2>{_MARK}{phrase(1, 6)}</h2>" + "".join(f"<p>{_MARK}{prose(1, 5)}</p>" for _ in range(rng.randint(1, 3))) + "</section>")
         for extra, chance in ((advert, 0.2), (side, 0.12), (notice, 0.08), (form, 0.05), (comments, 0.12)):
             if rng.random() < chance:
                 out.insert(rng.randint(0, len(out)) if extra is not comments else len(out), extra())
@@ -512,8 +543,8 @@ def training_pages(count: int, seed: int) -> list[str]:
     return pages
 
 
-#: Training pages, their seed, rounds of boosting; nodes of pages that are judged at once, about.
-PAGES, SEED, ROUNDS, NODES = 600, 20, 60, 20_000
+#: Training pages, their seed, rounds of boosting and depth of its trees; nodes of pages that are judged at once, about.
+PAGES, SEED, ROUNDS, DEPTH, NODES = 600, 20, 60, 4, 20_000
 
 
 def labelled(page: str) -> tuple[list[Node], np.ndarray]:
@@ -532,7 +563,7 @@ def labelled(page: str) -> tuple[list[Node], np.ndarray]:
 @cache
 def trained(pages: int = PAGES, seed: int = SEED) -> Boosted:
     got = [labelled(p) for p in training_pages(pages, seed)]
-    return Boosted(ROUNDS).fit(np.concatenate([features(n) for n, _ in got]), np.concatenate([y for _, y in got]))
+    return Boosted(ROUNDS, DEPTH).fit(np.concatenate([features(n) for n, _ in got]), np.concatenate([y for _, y in got]))
 
 
 def main_texts(pages: list, model: Boosted) -> list[str]:
@@ -567,6 +598,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     state = (model.base, model.depth, model.trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("html_extract")
         own = Boosted(depth=state[1])
         own.base, own.trees = state[0], state[2]
         for batch in batches:

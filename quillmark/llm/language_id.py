@@ -36,9 +36,9 @@ from quillmark.llm.toxicity import is_held_out
 FIT_ROWS, VOCABULARY, LEAST_DOCS, LONGEST, BITS = 2_000, 40_000, 3, 4, 20
 #: Learning rate and its damping, L1 and L2 penalties, passes over the sample, parts of it that learn side by side,
 #: one of so many rows kept for the temperature.
-ALPHA, BETA, L1, L2, EPOCHS, PARTS, CALIBRATION = 4.0, 1.0, 0.01, 0.02, 3, 8, 8
+ALPHA, BETA, L1, L2, EPOCHS, PARTS, CALIBRATION = 4.0, 1.0, 0.01, 0.02, 5, 4, 8
 #: Code points of a text that are worked on at once; fewest texts of a part that learns on its own.
-SLICE, PART_ROWS = 1_000_000, 400
+SLICE, PART_ROWS = 1_000_000, 1_000
 
 UNDETERMINED = "und"
 
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     best = counted.where(F.col("docs") >= (LEAST_DOCS if n_rows >= 100 else 1)).orderBy(F.col("docs").desc(), "bucket").limit(VOCABULARY).collect()
     chosen, idf = np.array([r["bucket"] for r in best], np.int64), np.log((1 + n_rows) / (1 + np.array([r["docs"] for r in best], float))) + 1
     shape, z, n = (len(chosen) + 1, len(languages)), None, None
-    part = learned.withColumn("part", F.pmod(F.floor(F.col("place") / CALIBRATION), F.lit(max(1, min(PARTS, n_rows // PART_ROWS)))).cast("int"))
+    part = learned.withColumn("part", F.pmod(F.expr(f"place div {CALIBRATION}"), F.lit(max(1, min(PARTS, n_rows // PART_ROWS)))).cast("int"))
     for epoch in range(EPOCHS):
         held = spark.sparkContext.broadcast((chosen, idf, z, n))
         # as many rows as there are parts, of the size of the model

@@ -171,10 +171,12 @@ def counter(model_file: str) -> PrefixCounts:
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", prefixes: bool = False) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit, limit_chars) of every row, limit_chars being the code points of the
     longest prefix within the limit (null: the whole text is), read off the prefix counts; with prefixes, also
-    prefix_counts, the counts of all prefixes. Repeated and null ids are kept; other columns are ignored."""
+    prefix_counts, the counts of all prefixes. Null texts count as empty; repeated and null ids are kept; texts of any
+    length are taken whole, in time linear in their words; an empty table gives no rows; other columns are ignored."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("token_counts", counter.cache_clear)
         c = counter(model_file)
         for batch in batches:
             for x in range(0, batch.num_rows, 1000):

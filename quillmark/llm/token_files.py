@@ -157,6 +157,7 @@ def _compress(vocabulary: str, end: int, dictionary: bytes, cuts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as z
 
+        common.only("word_bpe", word_bpe.word_coder.cache_clear)
         zip_ = z.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary, LEVEL)).compress
         for batch in batches:
             for x in range(0, batch.num_rows, 1000):
@@ -260,6 +261,8 @@ def read_shards(manifest: DataFrame, folder: str, ids: bool = False) -> DataFram
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
-    """Write docs as shards in the shared folder and read them back: (doc_id, start, n_tokens, ids_crc32)."""
+    """Write docs as shards in the shared folder and read them back: (doc_id, start, n_tokens, ids_crc32). Null texts
+    count as empty and have the end id only; null ids stand first; equal ids stand together, by the hash of their texts;
+    texts are encoded whole; an empty table gives no rows, other columns are ignored."""
     folder = common.stage_path(docs.sparkSession, "tokens")
     return read_shards(write_shards(docs, vocabulary, end, folder), folder)

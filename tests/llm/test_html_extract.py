@@ -109,3 +109,31 @@ def test_main_text_of_pages_with_and_without_telling_names():
     for open_, shut in (("<article>", "</article>"), ('<div class="post">', "</div>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<section>", "</section>")):
         page = f'<html><body><nav><a href="/">Home</a> <a href="/b">About us</a></nav>{open_}<h1>A title of it</h1>' + f"<p>{prose}</p>" * 6 + f'{shut}<div class="comments"><p>I like it. Thanks.</p></div><footer>&copy; 2020 Us</footer></body></html>'
         assert X.main_texts([page], X.trained()) == ["\n\n".join(["A title of it", *[prose] * 6])], open_
+
+
+PROSE = "This is a sentence of the article that goes on for a while. It has a second one, and ends here."
+
+
+def article(inner, open_="<article>", shut="</article>"):
+    return f'<html><body><nav><a href=/>Home</a> <a href="/b">About us</a></nav>{open_}<h1>A title of it</h1><p>{PROSE}</p>{inner}<p>{PROSE}</p>{shut}<footer>&copy; 2020 Us</footer></body></html>'
+
+
+def test_nothing_of_an_article_is_lost():
+    kept = {
+        '<p><a href="/y">Download the report</a></p>': ["Download the report"],
+        '<ul><li><a href="/1">First source</a></li><li><a href="/2">Second source</a></li><li><a href="/3">Third one</a></li></ul>': ["First source", "Second source", "Third one"],
+        '<ol><li><a href="/1">First source</a>, 2020</li><li><a href="/2">Second</a></li></ol>': ["First source, 2020", "Second"],
+        '<h3>Sources</h3><ul class="sources"><li><a href="/1">One of them</a></li></ul>': ["Sources", "One of them"],
+        '<div class="info">Some information here.</div>': ["Some information here."], '<div class="info"><p>Some information here.</p></div>': ["Some information here."],
+        '<p class="message">A message to all.</p>': ["A message to all."], '<div id="warning"><p>Mind the gap.</p></div>': ["Mind the gap."],
+        "<figure><img src=x><figcaption>A picture of it</figcaption></figure>": ["A picture of it"], "<section><h2>Next part</h2><p>More to say. And more.</p></section>": ["Next part", "More to say. And more."],
+        '<div class="ad">Buy now.</div>': [], '<aside class="sidebar"><h3>Popular</h3><ul><li><a href="/x">One</a></li></ul></aside>': [], '<div class="newsletter"><p>Subscribe to our letter.</p></div>': [],
+    }
+    for inner, want in kept.items():
+        for open_, shut in (("<article>", "</article>"), ("<main>", "</main>")):
+            assert X.main_texts([article(inner, open_, shut)], X.trained()) == ["\n\n".join(["A title of it", PROSE, *want, PROSE])], inner
+
+
+def test_slashes_end_void_elements_only():
+    nodes = X.parse("<div><a href=/>Home</a> x</div><p><a name=top/>text</p><p><b/>bold<br/>y")
+    assert [(v.text, v.link) for v in nodes if v.text] == [("Home x", 4), ("text", 0), ("bold y", 0)]
