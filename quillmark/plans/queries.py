@@ -568,3 +568,6 @@ def paper_layout(m):
 @query()
 def paper_templates(m):
     return P.template_specs(m.exam_questions)
+
+
+from quillmark.plans import report_queries  # noqa: E402, F401  (registers its queries)

@@ -32,6 +32,12 @@ VIEWS = {
         case when sk % 7 = 6 then 'verified' when question_id is null then 'fallback_ocr_ambiguous_question' else 'essay_low_confidence' end as flag_reason,
         case sk % 4 when 0 then 'confirmed_error' when 1 then 'false_positive' when 2 then 'verified' end as review_decision
         from submission_answers where disc >= 0.07e0""",
+    "exam_details": """select id as exam_id, concat('Exam ', exam_code, ' of class ', cast(class_id as varchar(8))) as title, case when id % 4 = 0 then null else concat('About ', exam_code) end as description,
+        (id * 37) % 11 as created_at from exams""",
+    "question_details": "select id as question_id, concat('Prompt ', cast(id as varchar(12)), repeat(' of many words', cast(id % 13 as int))) as prompt from exam_questions",
+    "submission_details": "select id as submission_id, (id * 31) % 97 as created_at from submissions",
+    "answer_details": """select id, case when sk % 5 = 0 then 'needs_review' when ai_score is null then 'pending' else 'graded' end as status, case when sk % 3 <> 0 then disc * 5 end as groq_confidence,
+        case when sk % 4 = 0 then disc * 3 end as omr_confidence, case when teacher_score is not null and sk % 2 = 0 then disc / 4 end as cer, case when teacher_score is not null and sk % 2 = 0 then disc / 2 end as wer from submission_answers""",
 }
 TABLES = ("nation", "customer", "orders", "lineitem", "events", "documents", "conversations", "part", "supplier", "region")
 
@@ -67,6 +73,11 @@ class Model:
     def answers(self) -> DataFrame:
         return self.submission_answers
 
+    def full(self, name: str) -> DataFrame:
+        """Exams, questions, submissions or answers with the columns of their details."""
+        rows, details, key = {"exams": ("exams", "exam_details", "exam_id"), "questions": ("exam_questions", "question_details", "question_id"), "submissions": ("submissions", "submission_details", "submission_id"), "answers": ("submission_answers", "answer_details", "id")}[name]
+        return getattr(self, rows).join(getattr(self, details).withColumnRenamed(key, "id"), "id")
+
 
 def _uses(sql: str, name: str) -> bool:
     import re
