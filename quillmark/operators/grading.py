@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import scalar as S
+from quillmark.functions.rounding import with_rounded
 from quillmark.functions.python_parity import match_ratio
 from quillmark.operators.text import cer, wer
 
@@ -159,15 +160,22 @@ def review_flags(flags: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataF
     return out, reviews.where(~F.coalesce(known, F.lit(False)))
 
 
-def override(answers: DataFrame, changes: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(answers, outcomes) after teachers' scores (id, score, reference): under 0, or over the points of a linked
-    question, is refused; with a reference text and recognised text, cer and wer follow."""
+def override(answers: DataFrame, changes: DataFrame, questions: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(answers, outcomes) after teachers' scores (id, score, reference): under 0, NaN, or over the points of a linked
+    question, is refused; with a reference text and recognised text, cer and wer follow, to four digits. Of several
+    changes of an answer the last by the order column counts, without one the greatest; the last with a reference gives
+    the rates. Outcomes has a row for each change."""
     q = questions.select(F.col("id").alias("question_id"), F.col("max_points").alias("__most"))
-    rows = changes.join(answers.drop("teacher_score", "cer", "wer"), "id", "left").join(q, "question_id", "left")
-    outcome = F.when(F.col("submission_id").isNull(), "not_found").when((F.col("score") < 0) | F.coalesce(F.col("score") > F.col("__most"), F.lit(False)), "out_of_range").otherwise("ok")
-    judged = rows.withColumn("outcome", outcome)
+    rows = changes.join(answers.select("id", "submission_id", "question_id", "ocr_text"), "id", "left").join(q, "question_id", "left")
+    bad = (F.col("score") < 0) | F.isnan("score") | F.coalesce(F.col("score") > F.col("__most"), F.lit(False))
+    judged = rows.withColumn("outcome", F.when(F.col("submission_id").isNull(), "not_found").when(bad, "out_of_range").otherwise("ok"))
     compare = F.col("reference").isNotNull() & S.has_text("ocr_text")
-    new = judged.where("outcome = 'ok'").select("id", F.col("score").alias("__s"), cer(F.when(compare, S.strip("reference")), F.when(compare, S.strip("ocr_text"))).alias("__c"), wer(F.when(compare, F.col("reference")), F.when(compare, F.col("ocr_text"))).alias("__w"))
+    place = F.struct(*([order] if order else []), "score", "reference")
+    last = judged.where("outcome = 'ok'").groupBy("id").agg(
+        F.max_by("score", place).alias("__s"), F.max_by(F.when(compare, F.struct(S.strip("reference").alias("r"), S.strip("ocr_text").alias("o"))), F.when(compare, place)).alias("__t")
+    )
+    new = last.select("id", "__s", cer("__t.r", "__t.o").alias("__c"), wer("__t.r", "__t.o").alias("__w"))
+    new = with_rounded(new, {"__c": 4, "__w": 4})
     cols = [c for c in answers.columns if c not in ("teacher_score", "cer", "wer")]
     out = answers.join(new, "id", "left").select(*cols, F.coalesce("__s", "teacher_score").alias("teacher_score"), F.coalesce("__c", "cer").alias("cer"), F.coalesce("__w", "wer").alias("wer"))
     return out, judged.select("id", "outcome")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import scalar as S
+from quillmark.operators.numbering import numbered
 
 
 def insert_unique(old: DataFrame, new: DataFrame, key: list[str], order: str) -> tuple[DataFrame, DataFrame]:
@@ -26,32 +27,115 @@ def import_students(old: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFra
     return out, outcomes.unionByName(errors)
 
 
-def import_questions(rows: DataFrame, existing: int = 0) -> DataFrame:
-    """rows (row, prompt, question_type, rubric_text, max_points, choices, correct_answer) with outcome and, for
-    accepted ones, order_index counting on and the default prompt."""
+# Kinds of questions in the order in which messages name them, those with a correct answer, and the points
+# of a question that states none.
+QUESTION_TYPES, ANSWERED_TYPES, DEFAULT_POINTS = ("essay", "mcq", "tf", "identification"), ("mcq", "tf", "identification"), 10.0
+
+
+def _text(c: str) -> Column:
+    """A cell without white space at its ends, '' for null."""
+    return S.strip(F.coalesce(c, F.lit("")))
+
+
+def _skipped(row: str, what: Column) -> Column:
+    return F.concat(F.lit("Row "), F.col(row).cast("string"), F.lit(": "), what, F.lit(" — skipped"))
+
+
+def import_questions(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """rows (exam_id, row, prompt, question_type, rubric_text, max_points, choices, correct_answer as text) of any exams,
+    judged: (exam_id, row, error, order_index, prompt, question_type, rubric_text, max_points, choices_json,
+    correct_answer), error null for accepted rows. Their order_index counts on from the exam's number of questions in row
+    order, without gaps. Points that are no number, NaN too, are the default; only mcq has choices, only essays a
+    rubric."""
     kind = F.lower(S.strip(F.coalesce(F.nullif("question_type", F.lit("")), F.lit("essay"))))
-    points = F.when(F.coalesce(F.length(S.strip("max_points")), F.lit(0)) == 0, 10.0).otherwise(S.number("max_points"))
-    blank = lambda c: F.coalesce(F.length(S.strip(c)), F.lit(0)) == 0
-    error = (
-        F.when(~kind.isin("essay", "identification", "mcq", "tf"), "question_type").when(points.isNull(), "max_points")
-        .when((kind == "essay") & blank("rubric_text"), "rubric_text").when((kind != "essay") & blank("correct_answer"), "correct_answer")
+    r = rows.select(
+        "exam_id", "row", _text("prompt").alias("prompt"), kind.alias("question_type"), _text("rubric_text").alias("rubric_text"),
+        F.coalesce(S.number("max_points"), F.lit(DEFAULT_POINTS)).alias("max_points"), S.choices_json(F.coalesce("choices", F.lit(""))).alias("choices_json"), _text("correct_answer").alias("correct_answer"),
     )
-    r = rows.select("row", "prompt", kind.alias("question_type"), points.alias("max_points"), S.choices_json("choices").alias("choices_json"), "rubric_text", "correct_answer", error.alias("error"))
-    number = existing + F.sum(F.col("error").isNull().cast("int")).over(Window.orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
-    out = r.withColumn("order_index", F.when(F.col("error").isNull(), number))
-    return out.withColumn("prompt", F.when(F.coalesce(F.length(S.strip("prompt")), F.lit(0)) > 0, S.strip("prompt")).otherwise(F.concat(F.lit("Question "), F.col("order_index").cast("string"))))
-
-
-def rubric_criteria(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(criteria, errors) of rows (row, criterion_name, level_label, level_points, level_description): grouped without
-    regard to case, in first-seen order and spelling, levels in row order; a row with a bad number is an error but its
-    criterion stays."""
-    r = rows.select("row", S.strip("criterion_name").alias("name"), S.strip("level_label").alias("label"), S.number("level_points").alias("points"), F.col("level_points").alias("__raw"), S.strip("level_description").alias("description"))
-    good = F.col("points").isNotNull()
-    level = F.struct("row", "label", "points", "description")
-    c = r.groupBy(F.lower("name").alias("key")).agg(F.min("row").alias("first_row"), F.min_by("name", "row").alias("name"), F.sort_array(F.collect_list(F.when(good, level))).alias("__l"), F.coalesce(F.max("points"), F.lit(0.0)).alias("max_points"))
+    kind = F.col("question_type")
+    what = (
+        F.when(~kind.isin(*QUESTION_TYPES), F.concat(F.lit("invalid question_type '"), kind, F.lit(f"' — must be one of {', '.join(QUESTION_TYPES)}")))
+        .when((kind == "essay") & (F.col("rubric_text") == ""), "missing rubric_text for essay question")
+        .when((kind != "essay") & (F.col("correct_answer") == ""), F.concat(F.lit("missing correct_answer for "), kind, F.lit(" question")))
+    )
+    r = r.withColumn("error", _skipped("row", what))
+    there = questions.groupBy("exam_id").agg(F.count("*").alias("__there"))
+    good = numbered(r.where("error is null"), ["row"], ["exam_id"], "__n").join(there, "exam_id", "left")
+    good = good.withColumn("order_index", F.col("__n") + F.coalesce("__there", F.lit(0)))
+    every = good.drop("__n", "__there").unionByName(r.where("error is not null"), allowMissingColumns=True)
+    used = F.col("error").isNull()
+    return every.select(
+        "exam_id", "row", "error", "order_index", F.when(used & (F.col("prompt") == ""), F.concat(F.lit("Question "), F.col("order_index").cast("string"))).otherwise(F.col("prompt")).alias("prompt"),
+        "question_type", F.when(kind == "essay", F.nullif("rubric_text", F.lit(""))).alias("rubric_text"), "max_points", F.when(kind == "mcq", F.col("choices_json")).alias("choices_json"), F.nullif("correct_answer", F.lit("")).alias("correct_answer"),
+    )
+
+
+def rubric_criteria(rows: DataFrame, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(criteria, errors) of rows (keys, row, criterion_name, level_label, level_points, level_description as text), for
+    each combination of keys. Blank rows don't count, the others are numbered from 2 in row order.
+
+    Criteria (keys, place, name, max_points, levels) are told apart without regard to case, in first-seen order and
+    spelling; a level needs a label and points; the highest of its levels' points, at least 0, is a criterion's maximum.
+    Errors (keys, row, error): a row without a criterion, which is left out, and points that are no number (NaN too),
+    which leave out the level only."""
+    cells = ("criterion_name", "level_label", "level_points", "level_description")
+    r = rows.select(*keys, F.col("row").alias("__row"), *[_text(c).alias(c) for c in cells])
+    r = numbered(r.where(F.greatest(*[F.length(c) for c in cells]) > 0), ["__row"], list(keys), "row", 2)
+    points = S.number("level_points")
+    named = F.col("criterion_name") != ""
+    error = F.when(~named, _skipped("row", F.lit("missing criterion_name"))).when(
+        (F.col("level_points") != "") & points.isNull(), F.concat(F.lit("Row "), F.col("row").cast("string"), F.lit(": level_points '"), F.col("level_points"), F.lit("' is not a number — level skipped"))
+    )
+    level = F.when((F.col("level_label") != "") & points.isNotNull(), F.struct("row", F.col("level_label").alias("label"), points.alias("points"), F.col("level_description").alias("description")))
+    c = r.where(named).groupBy(*keys, F.lower("criterion_name").alias("__key")).agg(F.min("row").alias("__first"), F.min_by("criterion_name", "row").alias("name"), F.sort_array(F.collect_list(level)).alias("__l"))
     levels = F.transform("__l", lambda x: F.struct(x["label"].alias("label"), x["points"].alias("points"), x["description"].alias("description")))
-    return c.select("first_row", "name", "max_points", levels.alias("levels")), r.where(~good).select("row", "name", F.col("__raw").alias("level_points"))
+    c = numbered(c, ["__first"], list(keys), "place")
+    top = F.greatest(F.lit(0.0), F.coalesce(F.array_max(F.transform("__l", lambda x: x["points"])), F.lit(0.0)))
+    return c.select(*keys, "place", "name", top.alias("max_points"), levels.alias("levels")), r.withColumn("error", error).where("error is not null").select(*keys, "row", "error")
+
+
+#: What clients send and what is stored of a rubric.
+_CRITERIA = "array<struct<name:string,levels:array<struct<label:string,points:double,description:string>>>>"
+
+
+def update_questions(questions: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(questions, outcomes) after partial changes (id, prompt, question_type, rubric_text, rubric_criteria_json,
+    max_points, choices_json, correct_answer, order_index; null: not given), one for each id, else the greatest counts.
+
+    A new rubric states the maximum: each criterion's is that of its levels, the question's their sum, and a maximum in
+    the same change is ignored; '' takes the rubric away. Changes of kind, rubric, maximum or choices are structural: the
+    question loses its region. Outcomes (id, exam_id, outcome, structural): not_found, bad_criteria for JSON that is no
+    list of criteria, no_answer where a kind with a correct answer ends without one, else ok; only ok ones take effect."""
+    given = ("prompt", "question_type", "rubric_text", "rubric_criteria_json", "max_points", "choices_json", "correct_answer", "order_index")
+    new = changes.groupBy("id").agg(F.max(F.struct(*given)).alias("__c"))
+    j = questions.join(new, "id", "right")
+    g = {c: F.col(f"__c.{c}") for c in given}
+    criteria = F.from_json(g["rubric_criteria_json"], _CRITERIA, {"mode": "PERMISSIVE"})
+    ruled = g["rubric_criteria_json"].isNotNull() & ~g["rubric_criteria_json"].eqNullSafe(F.col("rubric_criteria_json"))
+    bad = ruled & (g["rubric_criteria_json"] != "") & (criteria.isNull() | F.exists(criteria, lambda c: c.isNull()))
+    tops = F.transform(criteria, lambda c: F.struct(c["name"].alias("name"), F.coalesce(F.array_max(F.transform(c["levels"], lambda v: F.coalesce(v["points"], F.lit(0.0)))), F.lit(0.0)).alias("max_points"), c["levels"].alias("levels")))
+    total = F.aggregate(F.transform(tops, lambda c: c["max_points"]), F.lit(0.0), lambda a, x: a + x)
+    text = F.when(ruled, F.when(g["rubric_criteria_json"] != "", F.to_json(tops))).otherwise(F.col("rubric_criteria_json"))
+    kind = S.strip(g["question_type"])
+    derived = g["rubric_criteria_json"].isNotNull() & F.coalesce(F.length(text) > 0, F.lit(False))
+    pointed = g["max_points"].isNotNull() & ~g["max_points"].eqNullSafe(F.col("max_points")) & ~derived
+    chosen = g["choices_json"].isNotNull() & ~g["choices_json"].eqNullSafe(F.col("choices_json"))
+    kinded = g["question_type"].isNotNull() & (kind != S.type_or_essay("question_type"))
+    j = j.select(
+        "*", text.alias("__text"), F.when(ruled & (g["rubric_criteria_json"] != ""), total).when(pointed, g["max_points"]).otherwise(F.col("max_points")).alias("__max"), bad.alias("__bad"),
+        (ruled | pointed | chosen | kinded).alias("structural"), F.when(kinded, kind).otherwise(F.col("question_type")).alias("__kind"),
+        F.when(g["correct_answer"].isNotNull(), F.nullif(S.strip(g["correct_answer"]), F.lit(""))).otherwise(F.col("correct_answer")).alias("__answer"),
+    )
+    lacks = S.strip(S.type_or_essay("__kind")).isin(*ANSWERED_TYPES) & (_text("__answer") == "")
+    outcome = F.when(F.col("exam_id").isNull(), "not_found").when(F.col("__bad"), "bad_criteria").when(lacks, "no_answer").otherwise("ok")
+    j = j.withColumn("outcome", outcome)
+    made = {
+        "prompt": F.coalesce(S.strip(g["prompt"]), "prompt"), "question_type": F.col("__kind"), "rubric_text": F.when(g["rubric_text"].isNotNull(), F.nullif(S.strip(g["rubric_text"]), F.lit(""))).otherwise(F.col("rubric_text")),
+        "rubric_criteria_json": F.col("__text"), "max_points": F.col("__max"), "choices_json": F.coalesce(g["choices_json"], "choices_json"), "correct_answer": F.col("__answer"), "order_index": F.coalesce(g["order_index"], "order_index"),
+        "region_json": F.when(~F.col("structural"), F.col("region_json")),
+    }
+    done = j.where("outcome = 'ok'").select(*[made[c].alias(c) if c in made else F.col(c) for c in questions.columns])
+    return questions.join(done.select("id"), "id", "left_anti").select(*questions.columns).unionByName(done), j.select("id", "exam_id", "outcome", (F.col("structural") & (F.col("outcome") == "ok")).alias("structural"))
 
 
 def update_where(df: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -154,13 +238,16 @@ def clone_codes(codes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def duplicate_exams(exams: DataFrame, questions: DataFrame, clones: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """clones (code, clone): copies of exams with their questions, ids counting on from the highest."""
+    """clones (code, clone): copies of exams, named so in their titles too, with their questions in order; ids count on
+    from the highest. Nothing that a template made is copied."""
     top_e, top_q = exams.agg(F.max("id")).first()[0] or 0, questions.agg(F.max("id")).first()[0] or 0
-    hit = exams.join(clones.select(F.col("code").alias("exam_code"), "clone"), "exam_code")
-    new = hit.select(F.col("id").alias("__old"), (F.row_number().over(Window.orderBy("id")) + top_e).cast("long").alias("id"), "class_id", F.col("clone").alias("exam_code"))
-    q = questions.join(new.select(F.col("__old").alias("exam_id"), F.col("id").alias("__e")), "exam_id")
-    q = q.withColumn("exam_id", F.col("__e")).withColumn("id", (F.row_number().over(Window.orderBy("id")) + top_q).cast("long")).select(*questions.columns)
-    return exams.unionByName(new.drop("__old"), allowMissingColumns=True), questions.unionByName(q)
+    hit = numbered(exams.join(clones.select(F.col("code").alias("exam_code"), "clone"), "exam_code"), ["id"], (), "__new", top_e + 1)
+    own = {"id": F.col("__new"), "exam_code": F.col("clone"), "title": F.concat("title", F.lit(" (copy)")), "template_spec_json": F.lit(None).cast("string")}
+    new = hit.select(*[own[c].alias(c) if c in own else F.col(c) for c in exams.columns])
+    q = questions.join(hit.select(F.col("id").alias("exam_id"), F.col("__new").alias("__e")), "exam_id")
+    q = numbered(q, ["__e", "order_index", "id"], (), "__new", top_q + 1)
+    made = {"id": F.col("__new"), "exam_id": F.col("__e"), "region_json": F.lit(None).cast("string")}
+    return exams.unionByName(new), questions.unionByName(q.select(*[made[c].alias(c) if c in made else F.col(c) for c in questions.columns]))
 
 
 def invalidate_templates(old: DataFrame, new: DataFrame, structural: list[str]) -> DataFrame:
@@ -180,15 +267,16 @@ def add_columns(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def import_rubrics(questions: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(questions, outcomes) after rows (exam_id, row, order_index, rubric_text as strings): rubric_text of the question
-    with that exam and order_index, blank as null; the last row of a question wins. Outcomes: (exam_id, row, error),
+    with that exam and order_index (the last of several), blank as null; the last row of a question wins. Outcomes: (exam_id, row, error),
     error null where the row was used."""
     order = S.integer("order_index")
     judged = rows.withColumn("__order", order).withColumn("__text", F.nullif(S.strip(F.coalesce("rubric_text", F.lit(""))), F.lit("")))
-    known = questions.select("exam_id", F.col("order_index").cast("bigint").alias("__order"), F.col("id").alias("__id"))
+    # of questions with one order_index the last is meant
+    known = questions.groupBy("exam_id", F.col("order_index").cast("bigint").alias("__order")).agg(F.max("id").alias("__id"))
     judged = judged.join(known, ["exam_id", "__order"], "left")
     raw = S.strip(F.coalesce("order_index", F.lit("")))
     what = F.when(raw == "", "missing order_index").when(F.col("__order").isNull(), F.concat(F.lit("order_index '"), raw, F.lit("' is not an integer"))).when(F.col("__id").isNull(), F.concat(F.lit("no question with order_index "), F.col("__order").cast("string")))
-    error = F.concat(F.lit("Row "), F.col("row").cast("string"), F.lit(": "), what, F.lit(" — skipped"))
+    error = _skipped("row", what)
     last = judged.where("__id is not null").groupBy(F.col("__id").alias("id")).agg(F.max_by(F.struct("__text"), "row").alias("__new"))
     rest = [c for c in questions.columns if c != "rubric_text"]
     done = questions.join(last, "id", "left").select(*rest, F.when(F.col("__new").isNotNull(), F.col("__new.__text")).otherwise(F.col("rubric_text")).alias("rubric_text"))

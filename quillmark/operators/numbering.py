@@ -29,21 +29,21 @@ def numbered(df: DataFrame, order: Sequence[str | Column], keys: Sequence[str] =
     keys = list(keys)
     last = [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in order]
     ranged = df.repartitionByRange(*keys, *last).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys], *last)
-    rows = kept(ranged.withColumn("__at", F.monotonically_increasing_id()))
-    part = F.shiftright("__at", 33)
-    counts = rows.groupBy(*keys, part.alias("__part")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    rows = kept(ranged.withColumn("__num_at", F.monotonically_increasing_id()))
+    part = F.shiftright("__num_at", 33)
+    counts = rows.groupBy(*keys, part.alias("__num_part")).agg(F.min("__num_at").alias("__num_first"), F.count("*").alias("__num_n"))
     # a key's partitions, as many as it has rows for at most
-    lists = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__part", "__first", "__n"))).alias("__p"))
+    lists = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__num_part", "__num_first", "__num_n"))).alias("__num_p"))
     running = F.aggregate(
-        "__p", F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("before")),
-        lambda a, x: F.struct((a["sum"] + x["__n"]).alias("sum"), F.concat(a["before"], F.array(a["sum"])).alias("before")),
+        "__num_p", F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("before")),
+        lambda a, x: F.struct((a["sum"] + x["__num_n"]).alias("sum"), F.concat(a["before"], F.array(a["sum"])).alias("before")),
     )
-    offsets = lists.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.explode(F.arrays_zip("__p", running["before"].alias("before"))).alias("__z"))
-    offsets = offsets.select(*[f"__k{i}" for i in range(len(keys))], F.col("__z.__p.__part").alias("__part"), F.col("__z.__p.__first").alias("__first"), F.col("__z.before").alias("__before"))
-    on = part == offsets["__part"]
+    offsets = lists.select(*[F.col(k).alias(f"__num_k{i}") for i, k in enumerate(keys)], F.explode(F.arrays_zip("__num_p", running["before"].alias("before"))).alias("__num_z"))
+    offsets = offsets.select(*[f"__num_k{i}" for i in range(len(keys))], F.col("__num_z.__num_p.__num_part").alias("__num_part"), F.col("__num_z.__num_p.__num_first").alias("__num_first"), F.col("__num_z.before").alias("__num_before"))
+    on = part == offsets["__num_part"]
     for i, k in enumerate(keys):
-        on = on & rows[k].eqNullSafe(offsets[f"__k{i}"])
-    return rows.join(offsets, on).select(*df.columns, (F.col("__at") - F.col("__first") + F.col("__before") + start).alias(name))
+        on = on & rows[k].eqNullSafe(offsets[f"__num_k{i}"])
+    return rows.join(offsets, on).select(*df.columns, (F.col("__num_at") - F.col("__num_first") + F.col("__num_before") + start).alias(name))
 
 
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -570,4 +570,4 @@ def paper_templates(m):
     return P.template_specs(m.exam_questions)
 
 
-from quillmark.plans import report_queries  # noqa: E402, F401  (registers its queries)
+from quillmark.plans import change_queries, report_queries  # noqa: E402, F401  (they register their queries)

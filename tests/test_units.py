@@ -197,16 +197,30 @@ def test_flag_statistics_example(spark):
 
 
 def test_imports(spark):
-    rows = spark.createDataFrame([(2, None, "mcq", None, "5", "a|b", "a"), (3, "P", "essay", None, None, None, None), (4, " Q ", "", "r", "x", None, None), (5, "", "TF", None, "", None, "t")], "row int, prompt string, question_type string, rubric_text string, max_points string, choices string, correct_answer string")
-    got = values(M.import_questions(rows, 7).orderBy("row"), "error", "order_index", "prompt", "max_points")
-    assert got == [(None, 8, "Question 8", 5.0), ("rubric_text", None, "P", 10.0), ("max_points", None, "Q", None), (None, 9, "Question 9", 10.0)]
+    shape = "exam_id int, row int, prompt string, question_type string, rubric_text string, max_points string, choices string, correct_answer string"
+    raw = [
+        (1, 2, None, "mcq", "r", "5", "a|b", " a "), (1, 3, "P", "essay", None, None, None, None), (1, 4, " Q ", "", " r ", "abc", "x|y", None), (1, 5, "", "TF", None, "", "t|f", "t"),
+        (2, 2, None, "  ", None, "nan", None, None), (2, 3, " ", None, "r", "1e1", None, None),
+    ]
+    got = values(M.import_questions(spark.createDataFrame(raw, shape), spark.createDataFrame([(1, 1)] * 7, "exam_id int, id int")).orderBy("exam_id", "row"), "error", "order_index", "prompt", "rubric_text", "max_points", "choices_json", "correct_answer")
+    assert got == [
+        (None, 8, "Question 8", None, 5.0, '["a","b"]', "a"), ("Row 3: missing rubric_text for essay question — skipped", None, "P", None, 10.0, None, None),
+        (None, 9, "Q", "r", 10.0, None, None), (None, 10, "Question 10", None, 10.0, None, "t"),
+        ("Row 2: invalid question_type '' — must be one of essay, mcq, tf, identification — skipped", None, "", None, 10.0, None, None), (None, 1, "Question 1", "r", 10.0, None, None),
+    ]
     old = spark.createDataFrame([("s1", "A", None)], "student_id string, full_name string, email string")
     new = spark.createDataFrame([(2, " s1 ", "B", ""), (3, "s2", "C", ""), (4, "s2", "D", ""), (5, "", "E", "")], "row int, student_id string, full_name string, email string")
     out, outcomes = M.import_students(old, new)
     assert sorted(values(out, "student_id", "full_name")) == [("s1", "A"), ("s2", "C")] and sorted(values(outcomes, "row", "outcome")) == [(2, "skipped"), (3, "created"), (4, "skipped"), (5, "error")]
-    crit = spark.createDataFrame([(2, "Depth", "hi", "5", "d"), (3, "depth", "lo", "2", "d"), (4, "Form", "x", "bad", "d")], "row int, criterion_name string, level_label string, level_points string, level_description string")
+    crit = [("Depth", "hi", "5", "d"), (None, " ", "", " "), ("depth", "lo", "2", "d"), ("Form", "x", "bad", "d"), (" ", "x", "9", ""), ("Form", "", "99", "no label"), ("Form", "y", "", ""), ("Last", "z", "-1", None)]
+    crit = spark.createDataFrame([(i, *c) for i, c in enumerate(crit, 2)], "row int, criterion_name string, level_label string, level_points string, level_description string")
     good, bad = M.rubric_criteria(crit)
-    assert sorted(values(good, "name", "max_points")) == [("Depth", 5.0), ("Form", 0.0)] and values(bad, "row") == [4]
+    assert [(r.place, r.name, r.max_points, [tuple(x) for x in r.levels]) for r in good.orderBy("place").collect()] == [
+        (1, "Depth", 5.0, [("hi", 5.0, "d"), ("lo", 2.0, "d")]), (2, "Form", 0.0, []), (3, "Last", 0.0, [("z", -1.0, "")])
+    ]
+    # blank rows are left out before rows are numbered
+    assert values(bad.orderBy("row"), "row", "error") == [(4, "Row 4: level_points 'bad' is not a number — level skipped"), (5, "Row 5: missing criterion_name — skipped")]
+    assert M.rubric_criteria(crit.limit(0))[0].count() == 0
 
 
 def test_answers_survive_recognition_again(spark):
