@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import scalar as S
+from quillmark.sources.tabular import table_rows
 
 
 class HeaderError(ValueError):
@@ -13,19 +14,18 @@ class HeaderError(ValueError):
 
 
 def read_csv(spark: SparkSession, path: str, required: tuple[str, ...] = (), normalise: bool = True) -> DataFrame:
-    """All columns as strings, and `row`, the number of the row in its file (the header is row 1). UTF-8 with or
-    without a byte order mark, else Latin-1; headers are stripped and lower-cased unless they are to be kept."""
-    content = spark.read.format("binaryFile").load(path).select("content")
-    utf8 = content.where(~F.is_valid_utf8(F.col("content").cast("string"))).isEmpty()
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8" if utf8 else "ISO-8859-1").csv(path)
-    names = [c.strip().lstrip("﻿") for c in df.columns]
-    names = [c.lower() for c in names] if normalise else names
-    lack = [c for c in required if c not in names]
-    if lack:
-        raise HeaderError(f"missing columns: {', '.join(lack)}")
-    df = df.toDF(*names).withColumn("__at", F.monotonically_increasing_id())
-    # a file of the application is small and read by one task; its own order numbers the rows
-    return df.withColumn("row", (F.row_number().over(Window.orderBy("__at")) + 1).cast("int")).drop("__at")
+    """All columns of the CSV or XLSX files of a path as strings, and `row`, the number of the row in its file (the header
+    is row 1). Files may be in UTF-8 or Latin-1, each for itself. Files without the required columns are left out, and
+    refused if no other is there; `table_rows` tells what is wrong with each."""
+    rows = table_rows(spark, path, required, normalise)
+    # names of headers: as many as the files have columns
+    names = [r[0] for r in rows.select(F.explode(F.map_keys("cells"))).distinct().collect()]
+    if not names:
+        wrong = rows.where("error is not null").select("error").first()
+        if wrong is not None:
+            raise HeaderError(wrong[0])
+    order = [*[c for c in required if c in names], *sorted(set(names) - set(required))]
+    return rows.where("error is null").select("row", *[F.col("cells").getItem(c).alias(c) for c in order])
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
