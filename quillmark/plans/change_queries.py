@@ -149,3 +149,4 @@ def schema_addition(m):
 def recognition_status(m):
     label = F.when((F.col("sk") % 6 != 0) & F.col("question_id").isNotNull(), "A")
     return m.answers.select("id", G.mark_status(label, F.when(label.isNotNull(), F.col("disc") * 5)).alias("status"))
+

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import scalar as S
@@ -45,20 +45,36 @@ def read_scans(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "content")
 
 
+#: The byte order mark that stands once in each file, before the first column's name.
+MARK = "\ufeff"
+# The columns of the exported sheet.
 GRADE_SHEET = ("student_id", "student_name", "question_order", "question_prompt", "question_type", "max_points", "ai_score", "teacher_score", "final_score", "groq_confidence", "omr_confidence", "cer", "wer", "status")
 
 
 def grade_sheet_columns(df: DataFrame) -> DataFrame:
     """The columns of the exported sheet, as text, null as blank."""
-    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in GRADE_SHEET])
+    return df.select(*grade_sheet_cells(df))
+
+
+def grade_sheet_cells(df: DataFrame) -> list[Column]:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in GRADE_SHEET]
 
 
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """One folder of CSV files with headers; the first column's name carries the byte order mark."""
     out = df.orderBy(*order) if order else df
-    out.withColumnRenamed(df.columns[0], "﻿" + df.columns[0]).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    out.withColumnRenamed(df.columns[0], MARK + df.columns[0]).write.option("header", True).option("escape", '"').option("emptyValue", "").options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def write_sheets(sheet: DataFrame, path: str) -> None:
+    """The sheets of all exams as CSV files, a folder for each exam; exam_id is told by the folder and by a last column.
+    Folders are replaced, so a sheet that is written again is there once; rows stand by student and question."""
+    out = grade_sheet_columns(sheet).columns
+    cells = sheet.select(F.col("exam_id").alias("exam"), *grade_sheet_cells(sheet), F.col("exam_id").cast("string").alias("exam_id"))
+    cells = cells.repartitionByRange("exam", "student_id").sortWithinPartitions("exam", "student_id", F.col("question_order").cast("int"))
+    cells.withColumnRenamed(out[0], MARK + out[0]).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).option("partitionOverwriteMode", "dynamic").partitionBy("exam").csv(path)
 
 
-def csv_cell(c) -> F.Column:
+def csv_cell(c) -> Column:
     """A quoted cell of a template file."""
     return F.concat(F.lit('"'), F.replace(F.coalesce(S.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
