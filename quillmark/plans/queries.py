@@ -570,4 +570,4 @@ def paper_templates(m):
     return P.template_specs(m.exam_questions)
 
 
-from quillmark.plans import change_queries, report_queries, stream_queries  # noqa: E402, F401  (they register their queries)
+from quillmark.plans import change_queries, model_queries, report_queries, stream_queries  # noqa: E402, F401  (they register their queries)
