@@ -145,9 +145,10 @@ def qr_payload(raw: Column | str) -> Column:
     return F.from_json(S.col(raw), "exam_id bigint, student_id string")
 
 
-#: Sizes of two texts, multiplied, from which edit distances in characters, and in words, are counted in long integers:
-#: built-in expressions make the whole table, and look each word up in a list.
-LONG, LONG_IN_WORDS = 1_000_000, 40_000
+#: Sizes of two texts, multiplied, from which edit distances in characters, and in words, are counted in batches outside
+#: the built-in expressions: those make the whole table, with a limit on the distance too, and look each word up in a
+#: list.
+LONG, LONG_IN_WORDS = 40_000, 40_000
 
 
 def _is_long(reference: Column, given: Column, limit: int) -> Column:
