@@ -34,6 +34,8 @@ from quillmark.llm import common
 #: Vectors for each pivot at least, fewest and most pivots; vectors of a block; distance to the limit at which cosines
 #: are checked.
 PER_PIVOT, LEAST_PIVOTS, PIVOTS, BLOCK, EDGE = 8192, 16, 1024, 4096, 1e-9
+#: Blocks of a cell from which on they grow, and rows of the largest.
+MANY, MOST_BLOCK = 64, 32_768
 #: Sampled vectors for each pivot; share of the pairs by which more pivots have to leave out more.
 SAMPLE, GAIN = 16, 0.02
 #: Slack for rounding in distances to pivots; width of the classes that distances are counted by.
@@ -114,7 +116,12 @@ def _assign(pivots: np.ndarray, radius: float):
 
 def rings(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, float, float]]:
     """(cell, class of distance, rows) -> blocks (cell, block, low, high): runs of classes of about BLOCK rows; a class
-    of more rows makes several blocks with the same bounds."""
+    of more rows makes several blocks with the same bounds. In cells of more than MANY blocks these grow with the square
+    root of the cell, up to MOST_BLOCK rows, so that a vector is copied to no more blocks than that root's share."""
+    of: dict[int, int] = {}
+    for c, _, n in counts:
+        of[c] = of.get(c, 0) + n
+    size = {c: round(min(MOST_BLOCK, BLOCK * max(1.0, math.sqrt(n / (MANY * BLOCK))))) for c, n in of.items()}
     out: list[tuple[int, int, float, float]] = []
     cell, block, low, held = None, 0, 0, 0
     todo: list[tuple[int, int, int]] = [*sorted(counts), (-1, 0, 0)]
@@ -122,8 +129,8 @@ def rings(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, float, flo
         if c != cell:
             cell, block, low, held = c, 0, k, 0
         held += n
-        if after != c or held >= BLOCK:
-            many = max(1, round(held / BLOCK))
+        if after != c or held >= size[c]:
+            many = max(1, round(held / size[c]))
             # what lies between two classes that have rows belongs to none of them
             out += [(c, block + i, low * STEP, (k + 1) * STEP) for i in range(many)]
             block, low, held = block + many, k2, 0
@@ -286,7 +293,8 @@ def cosine_components(vectors: DataFrame, limit: float = 0.95, id_col: str = "ve
     named = own.select("node", "weight", "least").join(links, "node", "left").join(comps, "node", "left")
     named = named.select("node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "least", F.coalesce("component", "node").alias("c"))
     named = common.stage(named, "range-named")
-    least = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    # staged, so that the join deals both sides by c and a component with very many rows can be split
+    least = common.stage(named.groupBy("c").agg(F.min("least").alias("component_id")), "range-least")
     result = named.join(least, "c").select("node", "n_links", "component_id")
     out = rows.drop("v").join(result, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

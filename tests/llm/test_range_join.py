@@ -93,3 +93,22 @@ def test_empty_null_and_repeated_ids(spark):
     rows = [(None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.01]), (9, [0.0, 1.0])]
     out = df_out(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted((r.vec_id or -1, r.n_links, r.component_id or -1) for r in out) == [(-1, 2, -1), (4, 2, 4), (4, 2, 4), (9, 0, 9)]
+
+
+def test_blocks_grow_with_the_root_of_a_cell():
+    def copies(n):
+        blocks = range_join.rings([(0, k, n // 100) for k in range(100)])
+        return len(blocks)
+
+    few, many, most = copies(50 * range_join.BLOCK), copies(1024 * range_join.BLOCK), copies(4096 * range_join.BLOCK)
+    assert 40 <= few <= 60 and 200 <= many <= 320 and 400 <= most <= 640  # 1,024 and 4,096 without growth
+    small = range_join.rings([(1, 3, 10), (1, 9, range_join.BLOCK * 3), (2, 0, 1)])
+    assert [(c, b) for c, b, _, _ in small] == [(1, 0), (1, 1), (1, 2), (2, 0)] and all(low < high for _, _, low, high in small)
+
+
+def test_one_very_large_component(spark):
+    rng = np.random.default_rng(9)
+    base = np.ones(16)
+    rows = [(i, (base + rng.normal(0, 0.02, 16)).tolist()) for i in range(3000)] + [(5000 + i, rng.normal(size=16).tolist()) for i in range(20)]
+    out = {r.vec_id: r for r in range_join.cosine_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(out[i].component_id == 0 and out[i].n_links == 2999 for i in range(3000)) and sum(r.kept for r in out.values()) == 1 + sum(out[5000 + i].kept for i in range(20))
