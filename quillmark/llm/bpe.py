@@ -114,6 +114,23 @@ class PrefixBPE:
             last.append(t)
         return last
 
+    def last_tokens_again(self, data, start: int, behind: int, old: Sequence) -> list:
+        """The prefixes' last tokens after data[start:behind] was put in place of something; old: those from before.
+
+        A prefix's last token follows from as many characters, and last tokens, before it as the longest token has. So
+        where that many in a row, all behind the edit, are those of the old text again, all others are too."""
+        shift, step = len(data) - len(old), max(self._longest.values(), default=1)
+        last = self.last_tokens(data[:behind], old[:start])
+        while len(last) < len(data):
+            n = len(last)
+            upto = min(len(data), n + step)
+            last = self.last_tokens(data[:upto], last)
+            # near its beginning a text has tokens that nothing stands before
+            if upto - n >= step <= min(n, n - shift) and last[n:upto] == old[n - shift : upto - shift]:
+                return last + list(old[upto - shift :])
+            step = max(step, n // 8)  # so that tables are copied a few times only
+        return last
+
     def tables(self, words: Iterable) -> Iterator[tuple]:
         """(word, number of prefixes shared with the word before, its last tokens) of words, in sorted order: each
         table starts from the prefixes it shares with the one before."""
@@ -153,9 +170,9 @@ class PrefixEncoding:
         return self
 
     def replace(self, start: int, end: int, new) -> PrefixEncoding:
-        """Put new in place of data[start:end]; only what follows start is encoded again."""
+        """Put new in place of data[start:end]; from there on it is encoded again until it meets the old encoding."""
         self.data = self.data[:start] + new + self.data[end:]
-        self.last = self.bpe.last_tokens(self.data, self.last[:start])
+        self.last = self.bpe.last_tokens_again(self.data, start, start + len(new), self.last)
         return self
 
     def tokens(self, end: int | None = None) -> list:

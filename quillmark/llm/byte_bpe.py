@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -26,7 +27,8 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.ranks, self.bpe, self._find = ranks, PrefixBPE(ranks), regex.compile(pattern).findall
+        self.ranks, self.bpe, self._pattern = ranks, PrefixBPE(ranks), regex.compile(pattern)
+        self._find = self._pattern.findall
         self._bytes = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
             self._bytes[i] = t
@@ -35,6 +37,10 @@ class ByteBPE:
     def pieces(self, text: str) -> list[str]:
         return self._find(text)
 
+    def split(self, text: str, start: int = 0) -> Iterator:
+        """Matches of the pieces from a place on where one begins."""
+        return self._pattern.finditer(text, start)
+
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of new pieces, from tables that share their prefixes."""
         ranks, walk = self.ranks, self.bpe.walk
@@ -60,11 +66,16 @@ class ByteBPE:
 
 
 class TextEncoding:
-    """A text's encoding that grows and is edited: pieces before the change, and those that come out the same
-    behind it, keep their prefix tables."""
+    """A text's encoding that grows and is edited. Pieces before the edit and behind it are kept as they are; between, the
+    text is split and encoded again, from two pieces before the edit (the pattern looks ahead, never back) until a piece
+    begins where one began before."""
 
     def __init__(self, coder: ByteBPE, text: str = ""):
-        self.coder, self.text, self._done = coder, "", []
+        self.coder, self.text = coder, ""
+        self._pieces: list[PrefixEncoding] = []
+        self._starts: list[int] = []
+        #: Pieces split anew by the last change, for those who want to know what it cost.
+        self.renewed = 0
         self.replace(0, 0, text)
 
     def append(self, more: str) -> TextEncoding:
@@ -72,26 +83,42 @@ class TextEncoding:
 
     def replace(self, start: int, end: int, new: str) -> TextEncoding:
         """Put new in place of text[start:end]."""
+        shift = len(new) - (end - start)
         self.text = self.text[:start] + new + self.text[end:]
-        pool: dict[bytes, PrefixEncoding] = {x.data: x for x in self._done}
-        out = []
-        for piece in self.coder.pieces(self.text):
-            data = piece.encode("utf-8", "surrogatepass")
-            if data not in pool:
-                near = next((x for x in self._done if len(x.data) < len(data) and data.startswith(x.data)), None)
-                grown = PrefixEncoding(self.coder.bpe)
-                if near is not None:
-                    grown.data, grown.last = near.data, list(near.last)
-                    grown.append(data[len(near.data) :])
-                else:
-                    grown.append(data)
-                pool[data] = grown
-            out.append(pool[data])
-        self._done = out
+        first = max(0, bisect_left(self._starts, start) - 2)
+        at = self._starts[first] if first < len(self._starts) else 0
+        old, starts, pieces = first, [], []
+        rest = len(self._starts)
+        for m in self.coder.split(self.text, at):
+            # the old piece that begins here, behind the edit
+            if m.start() >= start + len(new):
+                old = bisect_left(self._starts, max(end, m.start() - shift), old)
+                if old < len(self._starts) and self._starts[old] == m.start() - shift:
+                    rest = old
+                    break
+            starts.append(m.start())
+            pieces.append(self._encoded(m[0].encode("utf-8", "surrogatepass"), first + len(pieces)))
+        self.renewed = len(pieces)
+        self._starts[first:] = starts + [x + shift for x in self._starts[rest:]]
+        self._pieces[first:] = pieces + self._pieces[rest:]
         return self
 
+    def _encoded(self, data: bytes, place: int) -> PrefixEncoding:
+        """A piece from the one that stood in its place, which it begins and ends like as far as it does."""
+        if place >= len(self._pieces):
+            return PrefixEncoding(self.coder.bpe, data)
+        before = self._pieces[place]
+        n = min(len(data), len(before.data))
+        lo = next((i for i in range(n) if data[i] != before.data[i]), n)
+        hi = next((i for i in range(n - lo) if data[-1 - i] != before.data[-1 - i]), n - lo)
+        if lo == len(data) == len(before.data):
+            return before
+        out = PrefixEncoding(self.coder.bpe)
+        out.data, out.last = before.data, before.last
+        return out.replace(lo, len(before.data) - hi, data[lo : len(data) - hi])
+
     def ids(self) -> list[int]:
-        return [self.coder.ranks[t] for t in chain.from_iterable(x.tokens() for x in self._done)]
+        return [self.coder.ranks[t] for t in chain.from_iterable(x.tokens() for x in self._pieces)]
 
 
 @cache

@@ -171,3 +171,44 @@ def test_limits_without_encoding_again(sp, texts):
         for limit in (0, 1, 2, 5, 17, 40):
             want = None if counts[-1] <= limit else max(i for i, n in enumerate(counts) if n <= limit)
             assert c.totals([t], limit)[0] == (counts[-1], want), (t, limit)
+
+
+def test_edits_are_encoded_near_the_edit_only(tik):
+    import public_tokenizers
+
+    coder = byte_bpe.byte_coder(P.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    parts = ["the ", "cat's ", "  ", "\n\n", "12", "é", "漢字", "running", "!!", " a", "\t", "'ll", "x"]
+    for _ in range(250):
+        t = byte_bpe.TextEncoding(coder, "".join(rng.choice(parts) for _ in range(rng.randrange(30))))
+        for _ in range(4):
+            i = rng.randrange(len(t.text) + 1)
+            j = rng.randrange(i, min(len(t.text), i + 6) + 1)
+            t.replace(i, j, "".join(rng.choice(parts) for _ in range(rng.randrange(3))))
+            assert t.ids() == tik.encode_ordinary(t.text), t.text
+        assert t.append("ing it's").ids() == tik.encode_ordinary(t.text)
+    text = "The quick brown fox jumps over it. " * 3000
+    t = byte_bpe.TextEncoding(coder, text)
+    t.replace(50_000, 50_003, "slow grey")
+    assert t.renewed < 12 and t.ids() == tik.encode_ordinary(t.text)
+
+
+def test_one_long_piece_meets_its_old_encoding_again(monkeypatch):
+    import public_tokenizers
+
+    coder = byte_bpe.byte_coder(P.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdeinorst") for _ in range(n)).encode()
+    for _ in range(30):
+        e = bpe.PrefixEncoding(coder.bpe, word(rng.randrange(1, 900)))
+        for _ in range(3):
+            i = rng.randrange(len(e.data) + 1)
+            j = rng.randrange(i, min(len(e.data), i + 5) + 1)
+            e.replace(i, j, word(rng.randrange(4)))
+            assert e.last == coder.bpe.last_tokens(e.data)
+    e, seen = bpe.PrefixEncoding(coder.bpe, word(60_000)), []
+    real = bpe.PrefixBPE.last_tokens
+    monkeypatch.setattr(bpe.PrefixBPE, "last_tokens", lambda self, data, known=(): seen.append(len(data) - len(known)) or real(self, data, known))
+    e.replace(1000, 1001, b"xyz")
+    monkeypatch.undo()
+    assert sum(seen) < 3000 and e.last == coder.bpe.last_tokens(e.data)
