@@ -48,35 +48,46 @@ def score_identification(df: DataFrame, text="ocr_text", correct="correct_answer
     ).drop("__r").withColumn("flag", F.when(F.col("score") == 0, "identification_no_match"))
 
 
-def objective_feedback(text="ocr_text", correct="correct_answer", confidence="omr_confidence") -> Column:
-    """What a scored mcq or tf answer says; null where there is no text. The sentences are fixed values."""
+# The sentences of feedback, first as a single answer gets them, then as bulk and queued work writes them.
+EXPECTED, GIVEN, EXACT = "Expected: ", ". Your answer: ", "Exact match."
+VERDICTS = {"close": ("Accepted", "accepted"), "partial": ("Partial credit", "partial"), "none": ("Incorrect", "incorrect")}
+SHARE = (" (fuzzy match ", " (fuzzy ")
+RIGHT_ANSWER, DETECTED = "Correct answer: ", (". Detected answer: ", ". Detected: ")
+MANY = "multiple bubbles marked. Incorrect — more than one option was filled in, so no single answer can be credited. ⚠ Please verify on the original scan."
+UNSURE = (") — please verify on the original scan.", ").")
+
+
+def objective_feedback(text="ocr_text", correct="correct_answer", confidence="omr_confidence", bulk: bool = False) -> Column:
+    """What a scored mcq or tf answer says; null where there is no text. Bulk work has shorter sentences, and none for an
+    answer that wasn't detected."""
     given, right = S.strip(text), S.col(correct)
     hit = (S.fold(text) == S.fold(F.coalesce(right, F.lit("")))) | (F.upper(S.first_word(text)) == S.fold(F.coalesce(right, F.lit(""))))
-    start = F.concat(F.lit("Correct answer: "), F.coalesce(right, F.lit("None")), F.lit(". Detected answer: "))
-    many = F.concat(start, F.lit("multiple bubbles marked. Incorrect — more than one option was filled in, so no single answer can be credited. ⚠ Please verify on the original scan."))
+    start = F.concat(F.lit(RIGHT_ANSWER), F.coalesce(right, F.lit("None")), F.lit(DETECTED[bulk]))
     low = F.coalesce(F.col(confidence) < LOW_MARK_CONFIDENCE, F.lit(False))
-    warn = F.when(low, F.concat(F.lit(" ⚠ Low OMR confidence ("), S.percent(confidence), F.lit(") — please verify on the original scan."))).when(F.length(given) == 0, " ⚠ No answer detected — please review.").otherwise("")
+    warn = F.when(low, F.concat(F.lit(" ⚠ Low OMR confidence ("), S.percent(confidence), F.lit(UNSURE[bulk]))).when((F.length(given) == 0) & F.lit(not bulk), " ⚠ No answer detected — please review.").otherwise("")
     one = F.concat(start, F.coalesce(F.nullif(given, F.lit("")), F.lit("(none)")), F.lit(". "), F.when(F.coalesce(hit, F.lit(False)), "Correct.").otherwise("Incorrect."), warn)
-    return F.when(S.has_text(text), F.when(given == MULTIPLE, many).otherwise(one))
+    return F.when(S.has_text(text), F.when(given == MULTIPLE, F.concat(start, F.lit(MANY))).otherwise(one))
 
 
-def identification_feedback(text="ocr_text", correct="correct_answer", ratio="ratio", verdict="verdict") -> Column:
+def identification_feedback(text="ocr_text", correct="correct_answer", ratio="ratio", verdict="verdict", bulk: bool = False) -> Column:
     """What a scored identification answer says: its expected and given text and the verdict with the ratio."""
-    share = F.concat(F.lit(" (fuzzy match "), S.percent(ratio), F.lit(")."))
-    kinds = {"close": "Accepted", "partial": "Partial credit", "none": "Incorrect"}
-    said = F.when(F.col(verdict) == "exact", F.lit("Exact match."))
-    for kind, word in kinds.items():
+    share = F.concat(F.lit(SHARE[bulk]), S.percent(ratio), F.lit(")."))
+    said = F.when(F.col(verdict) == "exact", F.lit(EXACT))
+    for kind, (word, _) in VERDICTS.items():
         said = said.when(F.col(verdict) == kind, F.concat(F.lit(word), share))
-    return F.concat(F.lit("Expected: "), S.strip(F.coalesce(S.col(correct), F.lit(""))), F.lit(". Your answer: "), S.strip(text), F.lit(". "), said)
+    return F.concat(F.lit(EXPECTED), S.strip(F.coalesce(S.col(correct), F.lit(""))), F.lit(GIVEN), S.strip(text), F.lit(". "), said)
 
 
 def parse_identification(feedback="feedback") -> Column:
-    """struct(expected, given, percent, kind) of such a sentence; null where it is none."""
-    c, p = S.col(feedback), r"(?s)^Expected:\s*(.*?)\.\s*Your answer:\s*(.*?)\.\s*(.*)$"
+    """struct(expected, given, percent, kind) of such a sentence, of either wording; null where it is none. The pattern
+    is made of the words that the sentence is made of."""
+    c, p = S.col(feedback), rf"(?s)^{EXPECTED.strip()}\s*(.*?)\{GIVEN.strip().replace(' ', chr(92) + 's*', 1)}\s*(.*?)\.\s*(.*)$"
     verdict = F.regexp_extract(c, p, 3)
-    kind = F.when(verdict.rlike("(?i)^exact match"), "exact").when(verdict.rlike("(?i)^accepted"), "accepted").when(verdict.rlike("(?i)^partial credit"), "partial").otherwise("incorrect")
+    kind = F.when(verdict.rlike(f"(?i)^{EXACT.rstrip('.')}"), "exact")
+    for word, name in list(VERDICTS.values())[:-1]:
+        kind = kind.when(verdict.rlike(f"(?i)^{word}"), name)
     share = F.nullif(F.regexp_extract(verdict, r"(\d+)%", 1), F.lit("")).cast("int")
-    return F.when(c.rlike(p), F.struct(F.regexp_extract(c, p, 1).alias("expected"), F.regexp_extract(c, p, 2).alias("given"), share.alias("percent"), kind.alias("kind")))
+    return F.when(c.rlike(p), F.struct(F.regexp_extract(c, p, 1).alias("expected"), F.regexp_extract(c, p, 2).alias("given"), share.alias("percent"), kind.otherwise("incorrect").alias("kind")))
 
 
 def bubble_override(label="label", correct="correct_answer", most="max_points") -> Column:

@@ -16,6 +16,11 @@ RUNAWAY = (
 )
 
 
+# Patterns of score, feedback and confidence in a reply that is no JSON, and of one criterion's object.
+LOOSE = (r'"score"\s*:\s*([\d.]+)', r'"feedback"\s*:\s*"([^"]+)"', r'"confidence"\s*:\s*([\d.]+)')
+LOOSE_ITEM = r'(\{[^{}]*"criterion"[^{}]*\})'
+
+
 def parse_response(raw: Column | str, most: Column | str) -> Column:
     """struct(score, feedback, confidence) of a model's reply: a JSON object with both score and feedback, else what
     patterns find in the raw reply (feedback up to the first quotation mark); scores are clamped to [0, most], confidences to [0, 1]; 1 where none is given, feedback's default is
@@ -24,10 +29,10 @@ def parse_response(raw: Column | str, most: Column | str) -> Column:
     text = S.without_fences(raw)
     j = F.from_json(text, "score string, feedback string, confidence string", {"mode": "PERMISSIVE"})
     strict = F.startswith(F.ltrim(text), F.lit("{")) & j["score"].isNotNull() & j["feedback"].isNotNull() & S.number(j["score"]).isNotNull()
-    grab = lambda p: F.nullif(F.regexp_extract(raw, p, 1), F.lit(""))
-    score = F.when(strict, S.number(j["score"])).otherwise(grab(r'"score"\s*:\s*([\d.]+)').try_cast("double"))
-    feedback = F.when(strict, j["feedback"]).otherwise(grab(r'"feedback"\s*:\s*"([^"]+)"'))
-    confidence = F.when(strict, S.number(j["confidence"])).otherwise(grab(r'"confidence"\s*:\s*([\d.]+)').try_cast("double"))
+    score, feedback, confidence = (F.nullif(F.regexp_extract(raw, p, 1), F.lit("")) for p in LOOSE)
+    score = F.when(strict, S.number(j["score"])).otherwise(score.try_cast("double"))
+    feedback = F.when(strict, j["feedback"]).otherwise(feedback)
+    confidence = F.when(strict, S.number(j["confidence"])).otherwise(confidence.try_cast("double"))
     return F.struct(
         S.clamp(F.coalesce(score, F.lit(0.0)), 0.0, S.col(most)).alias("score"), F.coalesce(feedback, F.substring(raw, 1, 400)).alias("feedback"),
         S.clamp(F.coalesce(confidence, F.lit(1.0)), 0.0, 1.0).alias("confidence"),
@@ -80,7 +85,7 @@ def structured_items(raw: Column | str) -> Column:
     raw = S.col(raw)
     text, item = S.without_fences(raw), "struct<criterion:string,score:string,confidence:string,justification:string>"
     whole = F.when(F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, f"array<{item}>"))
-    parts = F.transform(F.regexp_extract_all(raw, F.lit(r'(\{[^{}]*"criterion"[^{}]*\})'), F.lit(1)), lambda x: F.from_json(x, item))
+    parts = F.transform(F.regexp_extract_all(raw, F.lit(LOOSE_ITEM), F.lit(1)), lambda x: F.from_json(x, item))
     there = lambda items: F.filter(items, lambda x: x.isNotNull())
     return F.when(F.size(there(whole)) > 0, there(whole)).otherwise(there(parts))
 
@@ -113,6 +118,7 @@ def criteria_feedback(scores: Column | str) -> Column:
     return F.when(F.length(text) > MOST_FEEDBACK, F.concat(F.substring(text, 1, MOST_FEEDBACK - 3), F.lit("..."))).otherwise(text)
 
 
+# The line forms of criteria_prompt and criteria_feedback are fixed values too: what a model is told, and what is shown.
 def criteria_prompt(criteria: Column | str) -> Column:
     """A line for each criterion, and under it one for each of its levels with the band of scores that it covers."""
 

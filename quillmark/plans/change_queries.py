@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import grading as G
 from quillmark.operators import mutations as M
-from quillmark.plans.queries import query
+from quillmark.operators.numbering import first_of, numbered
+from quillmark.plans.queries import _IDENT, _OBJ, _identification, _objective, query
 from quillmark.plans.views import Model
 
 _NEW = """new as (select p_partkey % 125 as exam_id, p_partkey as row, case p_partkey % 7 when 0 then null when 1 then ' ' else concat(p_name, ' ') end as prompt,
@@ -150,3 +151,37 @@ def recognition_status(m):
     label = F.when((F.col("sk") % 6 != 0) & F.col("question_id").isNotNull(), "A")
     return m.answers.select("id", G.mark_status(label, F.when(label.isNotNull(), F.col("disc") * 5)).alias("status"))
 
+
+
+@query("""select id, concat('Correct answer: ', correct_answer, '. Detected: ', case when ocr_text = 'Multiple bubbles marked' then 'multiple bubbles marked. Incorrect — more than one option was filled in, so no single answer can be credited. ⚠ Please verify on the original scan.'
+    else concat(trim(ocr_text), case when upper(split_part(trim(ocr_text), ' ', 1)) = upper(correct_answer) or upper(trim(ocr_text)) = upper(correct_answer) then '. Correct.' else '. Incorrect.' end,
+      case when omr_confidence < 0.3 then concat(' ⚠ Low OMR confidence (', cast(round_even(omr_confidence * 100, 0) as bigint), '%).') else '' end) end) as feedback from obj""", _OBJ)
+def objective_feedback_bulk(m):
+    return _objective(m).select("id", G.objective_feedback(bulk=True).alias("feedback"))
+
+
+@query("""select id, concat('Expected: ', correct_answer, '. Your answer: ', trim(ocr_text), '. ', case when kind = 0 then 'Exact match.' else concat(case when ratio >= 0.85 then 'Accepted' when ratio >= 0.6 then 'Partial credit' else 'Incorrect' end, ' (fuzzy ', cast(round_even(ratio * 100, 0) as bigint), '%).') end) as feedback,
+  correct_answer as expected, case when kind <> 0 then cast(round_even(ratio * 100, 0) as bigint) end as percent from judged""", _IDENT)
+def identification_feedback_bulk(m):
+    rows = _identification(m).select("id", G.identification_feedback(bulk=True).alias("feedback"))
+    return rows.select("id", "feedback", G.parse_identification().alias("p")).select("id", "feedback", "p.expected", "p.percent")
+
+
+@query("select s.id, s.exam_id, d.created_at, row_number() over (order by d.created_at desc nulls last, s.id) as place from submissions s join submission_details d on d.submission_id = s.id")
+def submission_order(m):
+    """All submissions in one total order, newest first, numbered without a task that holds them all."""
+    return numbered(m.full("submissions").select("id", "exam_id", "created_at"), [F.col("created_at").desc_nulls_last(), F.col("id")], (), "place")
+
+
+@query("select student_id, s.id, s.status, d.created_at from submissions s join submission_details d on d.submission_id = s.id qualify row_number() over (partition by student_id order by d.created_at desc nulls last, s.id) = 1")
+def newest_submissions(m):
+    rows = m.full("submissions").select("student_id", "id", "status", "created_at")
+    return first_of(rows, ["student_id"], [F.col("created_at").desc_nulls_last(), F.col("id")])
+
+
+@query("select sum(coalesce(try_cast(p_type as double), 0)) as no_number, sum(case when p_size % 5 = 0 then null else 10.0e0 / (p_size % 5) end) as shares, count(*) filter (p_size % 5 = 0) as none from part")
+def guarded_divisions(m):
+    """Casts that fail and divisions by zero give null, whatever the session's rules for them are."""
+    size = (F.col("p_size") % 5).cast("double")
+    share = F.try_divide(F.lit(10.0), size)
+    return m.part.agg(F.sum(F.coalesce(F.col("p_type").try_cast("double"), F.lit(0.0))).alias("no_number"), F.sum(share).alias("shares"), F.count_if(share.isNull()).alias("none"))

@@ -542,7 +542,7 @@ def merged_line_boxes(m):
 
 @query()
 def answer_similarity(m):
-    return m.nation.select("n_nationkey", match_ratio(F.col("n_name"), F.reverse("n_name")).alias("ratio"))
+    return m.part.select("p_partkey", match_ratio(F.lower("p_name"), F.lower(F.concat_ws(" ", "p_brand", "p_type", "p_name"))).alias("ratio"))
 
 
 @query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n from events group by 1, 2")
