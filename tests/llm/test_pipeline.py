@@ -1,4 +1,5 @@
 import corpus_pipeline as C
+import public_tokenizers
 from quillmark.llm import common, toxicity
 
 from tests.llm.test_ngram_join import brute
@@ -24,7 +25,7 @@ def test_each_stage_against_brute_force(spark):
     assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == want
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     two = common.stage(C.without_toxic(spark, one, SF), "test")
-    scores = {r.doc_id: r.predicted for r in toxicity.rate(one, labels).collect()}
+    scores = {r.doc_id: r.predicted for r in toxicity.rate(one, labels, vocabulary=public_tokenizers.path("word_bpe_49k.json")).collect()}
     want = {i for i in want if not scores[i]}
     assert two.columns == docs.columns and {r.doc_id for r in two.collect()} == want
     three = common.stage(C.one_of_each_group(spark, two, SF), "test")
@@ -48,3 +49,19 @@ def test_stages_take_an_empty_table(spark):
     for _, stage in C.STAGES:
         docs = common.stage(stage(spark, docs, SF), "test")
         assert docs.count() == 0
+
+
+def test_stages_take_null_ids_repeated_rows_and_clashing_names(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.limit(40).collect()
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = [tuple(r) for r in some] + [tuple(some[0]), tuple(some[1]), tuple(some[1])] + [(None, some[2].text, None, None, None), (None, some[2].text, None, None, None), (None, None, None, "x.org", 0), (90_001, None, "en", None, 0), (90_002, "", "en", "x.org", 0), (90_003, long, "en", "x.org", 1)]
+    odd = spark.createDataFrame(rows, docs.schema).withColumnsRenamed({"n_chars": "score", "lang": "c0"}).selectExpr("*", "1 as node", "'t' as toxic")
+    kept = odd
+    for name, stage in C.STAGES[:-1]:
+        kept = common.stage(stage(spark, kept, SF), "test")
+        assert kept.columns == odd.columns, name
+    left = kept.collect()
+    assert {r.doc_id for r in left if r.doc_id is not None} <= {r[0] for r in rows} and any(r.doc_id == 90_003 for r in left) and all(r.text for r in left)
+    packed = C.packed(spark, kept, SF).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in left}
