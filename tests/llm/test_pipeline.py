@@ -55,7 +55,7 @@ def test_stages_take_null_ids_repeated_rows_and_clashing_names(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     some = docs.limit(40).collect()
     long = " ".join(f"w{i}" for i in range(40_000))
-    rows = [tuple(r) for r in some] + [tuple(some[0]), tuple(some[1]), tuple(some[1])] + [(None, some[2].text, None, None, None), (None, some[2].text, None, None, None), (None, None, None, "x.org", 0), (90_001, None, "en", None, 0), (90_002, "", "en", "x.org", 0), (90_003, long, "en", "x.org", 1)]
+    rows = [tuple(r) for r in some] + [tuple(some[0]), tuple(some[1]), tuple(some[1])] + [(None, some[2].text, None, None, None), (None, some[2].text, None, None, None), (None, None, None, "x.org", 0), (90_001, None, "en", None, 0), (90_002, "", "en", "x.org", 0), (90_003, long, "en", some[5].source, 1)]
     odd = spark.createDataFrame(rows, docs.schema).withColumnsRenamed({"n_chars": "score", "lang": "c0"}).selectExpr("*", "1 as node", "'t' as toxic")
     kept = odd
     for name, stage in C.STAGES[:-1]:
