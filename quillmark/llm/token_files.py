@@ -21,10 +21,12 @@ import posixpath
 import struct
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,19 +153,59 @@ class Shard:
             i = j
 
 
-def _compress(vocabulary: str, end: int, dictionary: bytes, cuts: np.ndarray):
-    """Rows -> frames with the range of their id; null ids go into the first."""
+class Ranges:
+    """The shards by id and, for ids of more rows than a shard should have, by the hash of the text.
+
+    cuts are the greatest ids of all ranges but the last. hot gives the rows of each such id (None: null ids) and, of
+    its hashes that have more than `share` rows by themselves, the rows of each; rows of one id and text are alike, so
+    they may go to several shards in any order."""
+
+    def __init__(self, cuts: list[int], hot: dict[int | None, tuple[int, dict[int, int]]], share: int):
+        self.cuts, self.hot, self.count = np.array(cuts, np.int64), {}, 0
+        first = []
+        for key in (None, *cuts, "rest"):
+            if key is not None:
+                first.append(self.count)
+                self.count += 1
+            if key in hot:
+                self._split(key, *hot[key], share)
+        self.first = np.array(first, np.int32)
+
+    def _split(self, key: int | None, rows: int, heavy: dict[int, int], share: int) -> None:
+        parts = -(-rows // share)
+        ends = {i * 2**64 // parts - 2**63 for i in range(1, parts)}.union(*({t - 1, t} for t in heavy))
+        ends = sorted(e for e in ends if e >= -(2**63))
+        widths = np.array([-(-heavy.get(e, 1) // share) for e in ends] + [1], np.int64)
+        self.hot[key] = (self.count, np.array(ends, np.int64), widths.cumsum() - widths, widths)
+        self.count += int(widths.sum())
+
+    def place(self, ids: pa.Array, ties: np.ndarray, turn: int) -> np.ndarray:
+        """The shard of each row; turn says where the rows of one id and text go on."""
+        null, known = np.asarray(ids.is_null()), ids.fill_null(-(2**63)).to_numpy()
+        out = self.first[np.searchsorted(self.cuts, known, side="left")]
+        for key in {None, *known[~null].tolist()} & self.hot.keys():
+            base, ends, starts, widths = self.hot[key]
+            at = np.flatnonzero(null if key is None else ~null & (known == key))
+            slot = np.searchsorted(ends, ties[at], side="left")
+            out[at] = base + starts[slot] + (turn + np.arange(len(at))) % widths[slot]
+        return out
+
+
+def _compress(vocabulary: str, end: int, dictionary: bytes, ranges: Ranges):
+    """Rows -> frames with their shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as z
 
         common.only("word_bpe", word_bpe.word_coder.cache_clear)
         zip_ = z.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary, LEVEL)).compress
+        turn = TaskContext.get().partitionId() * 1_000_003
         for batch in batches:
             for x in range(0, batch.num_rows, 1000):
                 rows = batch.slice(x, 1000)
                 ids = [i for _, i in word_bpe.encoded(rows.column("text").to_pylist(), vocabulary, end)]
-                bucket = np.searchsorted(cuts, rows.column("doc_id").fill_null(-(2**63)).to_numpy(), side="left").astype(np.int32)
+                bucket = ranges.place(rows.column("doc_id"), rows.column("tie").to_numpy(), turn)
+                turn += len(rows)
                 cols = [pa.array(bucket), rows.column("doc_id"), rows.column("tie"), pa.array([len(i) for i in ids], pa.int64()), pa.array([zip_(pack(i)) for i in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["bucket", "doc_id", "tie", "n", "frame"])
 
@@ -204,27 +246,46 @@ def _write(folder: str, dictionary: bytes):
     return run
 
 
+def _hot(docs: DataFrame, cuts: list[int], nulls: int, share: int) -> dict[int | None, tuple[int, dict[int, int]]]:
+    """What Ranges wants of the ids that take several of the cuts, and of null ids if they fill a shard; each such id,
+    and each such hash, has more than `share` rows, so there are no more of them than shards."""
+    hot = [c for c, n in Counter(cuts).items() if n > 1]
+    if not hot and nulls <= share:
+        return {}
+    keys = [(c,) for c in [*hot, *([None] if nulls > share else [])]]
+    some = docs.sparkSession.createDataFrame(keys, "hot long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie")).join(F.broadcast(some), F.col("doc_id").eqNullSafe(F.col("hot")), "left_semi")
+    pairs = common.stage(rows.groupBy("doc_id", "tie").agg(F.count("*").alias("n")), "tokens-pairs")
+    out: dict[int | None, tuple[int, dict[int, int]]] = {r["doc_id"]: (r["n"], {}) for r in pairs.groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") > share).collect()}
+    for r in pairs.where(F.col("n") > share).collect():
+        out[r["doc_id"]][1][r["tie"]] = r["n"]
+    common.unstage(pairs)
+    return out
+
+
 def write_shards(docs: DataFrame, vocabulary: str, end: int, folder: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write all rows of docs into shards of folder, in ascending id order (null ids first, then by a hash of the
     text); returns the manifest (bucket, name, rows, tokens, start), one row for each shard file.
 
-    Ids are cut into ranges by approximate quantiles of the ids alone; rows are encoded and compressed where they
-    are read, and only frames are shuffled. An empty table gives a dictionary and no shard."""
+    Ids are cut into ranges by approximate quantiles of the ids alone, and an id that takes several of them into ranges
+    of the hash; rows are encoded and compressed where they are read, and only frames are shuffled. An empty table gives a dictionary and no shard."""
     spark = docs.sparkSession
     common.ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     short = F.octet_length("text") <= FIT_BYTES
-    total = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count_if(short).alias("n")).first()
+    total = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count_if(short).alias("n"), F.count("*").alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     buckets = common.parts_for(spark, total["b"], shard_bytes)
     # a bounded sample to fit the dictionary on: what results say doesn't depend on it
     every = max(1, total["n"] // FIT_ROWS)
     sample = docs.where(short & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).select("text").limit(FIT_ROWS).collect()
     dictionary = train([pack(i) for _, i in word_bpe.encoded([r["text"] for r in sample], vocabulary, end)])
     Store(folder).write("dictionary", iter([dictionary]))
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 4 * buckets)).first()[0] or [] if buckets > 1 else []
+    share = max(1, -(-total["rows"] // buckets))
+    ranges = Ranges(sorted(set(cuts)), _hot(docs, cuts, total["nulls"], share), share)
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    frames = rows.mapInArrow(_compress(vocabulary, end, dictionary, np.array(cuts, np.int64)), "bucket int, doc_id long, tie long, n long, frame binary")
-    dealt = frames.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie")
+    frames = rows.mapInArrow(_compress(vocabulary, end, dictionary, ranges), "bucket int, doc_id long, tie long, n long, frame binary")
+    dealt = frames.repartitionById(ranges.count, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie")
     manifest = sorted(dealt.mapInArrow(_write(folder, dictionary), "bucket int, name string, rows long, tokens long").collect())
     start, out = 0, []
     for m in manifest:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,34 @@ def test_token_files_ties_and_nulls(spark, words):
     assert [r.doc_id for r in out] == [None, 7, 7, 7, 8] and all(b.start == a.start + a.n_tokens for a, b in zip(out, out[1:], strict=False))
 
 
+def test_token_files_split_what_one_id_holds(spark, words):
+    """Ids, and id and text alike, that hold a third of the rows go to many shards, in the order of the ids."""
+    same, hot = [(7, "same text")] * 300, [(7, f"text {i}") for i in range(200)]
+    rows = same + hot + [(None, "no id")] * 250 + [(None, f"none {i}") for i in range(50)] + [(i, f"own {i}") for i in range(-100, 200)] + [(-(2**63), "least"), (2**62 + 1, "most")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    folder = common.stage_path(spark, "test-hot")
+    manifest = token_files.write_shards(df, P.path("word_bpe_49k.json"), 1, folder, shard_bytes=200)
+    each = [m["rows"] for m in manifest.collect()]
+    assert sum(each) == len(rows) and max(each) < 90 and len(each) > 30
+    want, start = [], 0
+    order = df.selectExpr("doc_id", "text", "xxhash64(text) as tie").collect()
+    for r in sorted(order, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie)):
+        ids = [*words.encode(r.text, add_special_tokens=False).ids, 1]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((tuple(r) for r in token_files.read_shards(manifest, folder).collect()), key=lambda r: r[1]) == want
+
+
+def test_ranges_place_every_row():
+    low, high = -(2**63), 2**63 - 1
+    ranges = token_files.Ranges([3, 9], {None: (40, {}), 9: (1000, {5: 500, low: 100, high: 90})}, 10)
+    ids = pa.array([None, 1, 3, 4, 8, 9, 9, 9, 10], pa.int64())
+    at = ranges.place(ids, np.array([0, 0, 0, 0, 0, low, 5, high, 0], np.int64), 0).tolist()
+    assert at == sorted(at) and at[1] == at[2] and at[3] == at[4] < at[5] and max(at) < ranges.count
+    spread = {int(b) for t in range(0, 1000, 8) for b in ranges.place(pa.array([9] * 8, pa.int64()), np.full(8, 5, np.int64), t)}
+    assert len(spread) == 50
+
+
 def test_limits_without_encoding_again(sp, texts):
     c = token_counts.counter(P.path("piece_bpe_32k.model"))
     for t in [*[x or "" for x in ODD if len(x or "") < 800], *fuzz(100, 8), *(x[:300] for x in texts[:10])]:
