@@ -18,8 +18,9 @@ from quillmark.llm import common
 
 #: Rules: fewest words; most percent of words in repeated windows; words of a window. Host: highest shrunk rate.
 LEAST_WORDS, MOST_REPEATED, WINDOW, HOST_LIMIT = 20, 30, 8, 0.5
-#: Rows of one host are dealt over so many keys where its verdict is joined.
-SALT = 32
+#: Where verdicts are joined, a host of more rows is dealt over several keys of at most so many; there are at most
+#: MOST_HOT such hosts, for which rows of a key grow with the table.
+KEY_ROWS, MOST_HOT = 2_000, 200_000
 #: Bytes of rejected hosts up to which they are sent to all tasks.
 MOST_SENT = 8 << 20
 
@@ -86,23 +87,34 @@ def prior(mean: float, spread: float) -> tuple[float, float]:
     return mean * weight, (1 - mean) * weight
 
 
+def _dealt(rows: DataFrame, hosts: DataFrame, host_col: str) -> tuple[DataFrame, DataFrame]:
+    """rows and hosts (host, rows, ...) with a __key each, to be joined by host and __key: a host has as many keys as its
+    rows want, and each of its rows one of them. What all tasks get is 12 bytes for each host of many rows, of which
+    there are at most MOST_HOT; hosts are known by a hash there, alike on both sides."""
+    each = max(KEY_ROWS, -(-(hosts.agg(F.sum("rows")).first()[0] or 0) // MOST_HOT))
+    many = hosts.where(F.col("rows") > each).groupBy(F.xxhash64("host").alias("__hash")).agg(F.max(F.ceil(F.col("rows") / each)).cast("int").alias("__keys"))
+    many = F.broadcast(common.stage(many, "quality-keys"))
+    keys = F.coalesce("__keys", F.lit(1))
+    dealt = rows.join(many, F.xxhash64(host_col) == F.col("__hash"), "left").withColumn("__key", F.pmod(F.monotonically_increasing_id(), keys).cast("int"))
+    spread = hosts.join(many, F.xxhash64("host") == F.col("__hash"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), keys - 1)))
+    return dealt.drop("__hash", "__keys"), spread.drop("__hash", "__keys", "rows")
+
+
 def _with_verdict(rows: DataFrame, verdicts: DataFrame, host_col: str) -> DataFrame:
-    """rows with host_rate and host_rejected; each host's rows are spread over SALT keys."""
-    spread = verdicts.select("host", F.col("rate").alias("host_rate"), "host_rejected", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
-    salted = rows.withColumn("__key", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
-    return salted.join(spread, salted[host_col].eqNullSafe(spread["host"]) & (salted["__key"] == spread["__salt"])).drop("host", "__key", "__salt")
+    """rows with host_rate and host_rejected; the rows of a host are spread over as many keys as they want."""
+    dealt, spread = _dealt(rows, verdicts.select("host", "rows", F.col("rate").alias("host_rate"), "host_rejected"), host_col)
+    return dealt.join(spread, dealt[host_col].eqNullSafe(spread["host"]) & (dealt["__key"] == spread["__part"])).drop("host", "__key", "__part")
 
 
 def _without_hosts(rows: DataFrame, bad: DataFrame, host_col: str) -> DataFrame:
-    """rows whose host isn't among bad ("host", distinct). Where the names take at most MOST_SENT bytes they are sent to
-    all tasks and no row moves; else both sides are dealt by host and SALT keys."""
+    """rows whose host isn't among bad (host, rows; hosts distinct). Where the names take at most MOST_SENT bytes they are
+    sent to all tasks and no row moves; else a host's rows are spread over as many keys as they want."""
     bad = common.stage(bad, "quality-bad")
     if (bad.agg(F.sum(F.coalesce(F.octet_length("host"), F.lit(0)) + 64)).first()[0] or 0) <= MOST_SENT:
         sent = F.broadcast(bad)
         return rows.join(sent, rows[host_col].eqNullSafe(sent["host"]), "left_anti")
-    spread = bad.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salted = rows.withColumn("__key", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
-    return salted.join(spread, salted[host_col].eqNullSafe(spread["host"]) & (salted["__key"] == spread["__salt"]), "left_anti").drop("__key")
+    dealt, spread = _dealt(rows, bad, host_col)
+    return dealt.join(spread, dealt[host_col].eqNullSafe(spread["host"]) & (dealt["__key"] == spread["__part"]), "left_anti").drop("__key")
 
 
 def rate_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -125,7 +137,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source")
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text, host = (f"c{names.index(c)}" for c in (text_col, host_col))
     rated = common.stage(features(rows, text).select(*rows.columns, "base_failed"), "quality-judged")
-    bad = host_verdicts(rated, host, "base_failed").where("host_rejected").select("host")
+    bad = host_verdicts(rated, host, "base_failed").where("host_rejected").select("host", "rows")
     return _without_hosts(rated.where("not base_failed").select(*rows.columns), bad, host).toDF(*names)
 
 

@@ -68,6 +68,17 @@ def test_bad_hosts_take_their_documents_along(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, k in out.items() if k)
 
 
+def test_keys_of_a_host_grow_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "KEY_ROWS", 10)
+    rows = spark.createDataFrame([(i, "hot" if i < 500 else None if i < 700 else f"s{i}") for i in range(900)], "id long, src string").repartition(4)
+    hosts = rows.groupBy(F.col("src").alias("host")).agg(F.count("*").alias("rows")).withColumn("host_rejected", F.lit(True)).withColumn("rate", F.lit(0.5))
+    dealt, spread = quality._dealt(rows, hosts, "src")
+    each = {(r.src, r["__key"]): r.n for r in dealt.groupBy("src", "__key").agg(F.count("*").alias("n")).collect()}
+    assert max(each.values()) <= 14 and sum(each.values()) == 900 and each.keys() == {(r.host, r["__part"]) for r in spread.collect()}
+    out = quality._with_verdict(rows, hosts, "src")
+    assert sorted(r.id for r in out.collect()) == list(range(900)) and out.columns == ["id", "src", "host_rate", "host_rejected"]
+
+
 def test_prior_has_the_moments_asked_for():
     a, b = quality.prior(0.2, 0.01)
     assert abs(a / (a + b) - 0.2) < 1e-12 and abs(a * b / ((a + b) ** 2 * (a + b + 1)) - 0.01) < 1e-12
@@ -77,8 +88,9 @@ def test_keep_good_with_clashing_columns_and_odd_rows(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, f"s{i % 3}" if i % 5 else None) for i, t in enumerate([*odd(), *odd()])], "doc_id long, text string, source string")
     df = df.select("doc_id", F.lit(1).alias("__w"), "text", F.lit("x").alias("__salt"), "source", F.lit(None).cast("int").alias("base_failed"), F.lit(2).alias("host"), F.lit(3).alias("c0"), F.lit(4).alias("n_words"))
     want = sorted(r.doc_id for r in quality.rate_documents(df).collect() if r.kept)
-    for sent in (quality.MOST_SENT, -1):
+    for sent, rows in ((quality.MOST_SENT, quality.KEY_ROWS), (-1, quality.KEY_ROWS), (-1, 3)):
         monkeypatch.setattr(quality, "MOST_SENT", sent)
+        monkeypatch.setattr(quality, "KEY_ROWS", rows)
         kept = quality.keep_good(df)
         assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == want
         assert {tuple(r)[1::2] for r in kept.collect()} == {(1, "x", None, 3)}
