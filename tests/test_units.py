@@ -300,3 +300,45 @@ def test_two_column_paper(spark):
     start = max(y.values()) + 4 + 6
     assert [round(got[i].y1_mm, 2) for i in (12, 13)] == [round(start, 2), round(start + tall + 9, 2)]
     assert [b.label for b in got[1].bubbles] == ["A", "B", "C"] and [b.label for b in got[14].bubbles] == ["True", "False"] and got[1].bubbles[1].cx_mm == 37.5
+
+
+def _merged_plainly(boxes, least=0.5):
+    lines = list(boxes)
+    while True:
+        built = []
+        for b in sorted(lines, key=lambda b: b[1]):
+            for i, m in enumerate(built):
+                shared = min(m[3], b[3]) - max(m[1], b[1])
+                if shared > 0 and shared > least * min(m[3] - m[1], b[3] - b[1]):
+                    built[i] = (min(m[0], b[0]), min(m[1], b[1]), max(m[2], b[2]), max(m[3], b[3]))
+                    break
+            else:
+                built.append(b)
+        if len(built) == len(lines):
+            return built
+        lines = built
+
+
+def test_boxes_of_many_groups_merge_at_once(spark):
+    import random
+    import time
+
+    import numpy as np
+
+    rng = random.Random(8)
+    groups = [[] for _ in range(3000)]
+    for g in groups[2:]:
+        for _ in range(rng.randrange(18)):
+            x, y = rng.randrange(-5, 40), rng.randrange(-5, 60)
+            g.append((x, y, x + rng.randrange(40), y + rng.randrange(25)))
+    groups.append([(i % 7, i * 11 % 4000, i % 7 + 9, i * 11 % 4000 + 12) for i in range(600)])
+    want = [_merged_plainly(g) for g in groups]
+    df = spark.createDataFrame(list(enumerate(groups)), "id int, boxes array<struct<x1:int,y1:int,x2:int,y2:int>>")
+    got = {r.id: [tuple(m) for m in r.merged] for r in L.merged_lines(df).collect()}
+    assert got == {i: sorted(w, key=lambda m: (m[1], m[0])) for i, w in enumerate(want)}
+    assert [L.merge_boxes(g) for g in groups] == want
+    # as many groups as a batch has in well under the time that one after another takes (0.2 ms each at least)
+    many = np.array([(i % 4, i % 4 * 9, 9, i % 4 * 9 + 11) for i in range(160_000)])
+    began = time.process_time()
+    _, sizes = L.merge_groups(many, np.full(40_000, 4))
+    assert (sizes == 4).all() and time.process_time() - began < 4
