@@ -342,3 +342,25 @@ def test_boxes_of_many_groups_merge_at_once(spark):
     began = time.process_time()
     _, sizes = L.merge_groups(many, np.full(40_000, 4))
     assert (sizes == 4).all() and time.process_time() - began < 4
+
+
+def test_replies_are_judged_in_expressions_that_name_each_step_once(spark):
+    levels = [("low", 2.0, None), ("high", 10.0, None)]
+    criteria = [("Content", 10.0, levels), ("Style", 5.0, None), (" ", 3.0, [])]
+    rows = ['[{"criterion": "style ", "score": 7, "confidence": 0.5, "justification": " ok"}, {"criterion": "Content", "score": "6"}]', 'x {"criterion": "content", "score": 5.9} {"criterion": "CONTENT", "score": 6, "confidence": 2} y', "[null, null]", None, ""]
+    df = spark.createDataFrame([(i, r, criteria) for i, r in enumerate(rows)], f"i int, raw string, criteria {T.CRITERIA}")
+    judged = df.select("i", T.structured_scores("criteria", T.structured_items("raw")).alias("s"))
+    got = {r.i: [(x.criterion, x.score, x.confidence, x.level) for x in r.s] for r in judged.collect()}
+    none = [("Content", 0, 0, "low"), ("Style", 0, 0, ""), (" ", 0, 0, "")]
+    assert got[0] == [("Content", 6, 1, "high"), ("Style", 5, 0.5, ""), (" ", 0, 0, "")]
+    assert got[1] == [("Content", 6, 1, "high"), ("Style", 5, 1, ""), (" ", 0, 0, "")] and got[2] == got[3] == got[4] == none
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") <= 4 and plan.count("array_sort(") <= 2
+
+
+def test_grading_of_small_rows_is_dealt_to_all_tasks(spark, tmp_path):
+    from quillmark.plans import queries as Q
+
+    spark.range(400).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = Q.queries()["structured_grades"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 400
