@@ -19,11 +19,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def write_batch(df: DataFrame, path: str, batch: int) -> None:
     """df as the partition `batch` of a Parquet table: only that partition is replaced, so a batch that is written again
     after a failure leaves its rows once. An empty batch clears its partition."""
-    out = df.withColumn("batch", F.lit(batch).cast("long"))
-    if out.isEmpty():
-        out.drop("batch").write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
-    else:
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
 
 def write_stream(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):

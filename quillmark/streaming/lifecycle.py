@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ OUTPUT = "submission_id bigint, status string, outcome string, failures int, ts
 _STATE = "step int, failures int, message string, since bigint"
 #: The step that an event leads to, and the one that it may come from.
 MOVES = {"submitted": (1, (0,)), "processed": (2, (1,)), "graded": (3, (1, 2))}
+#: The order of events of one time.
+ORDER = {k: i for i, k in enumerate(("submitted", "processed", "failed", "graded"))}
 
 
 def follow(step: int, failures: int, kind: str) -> tuple[int, int, str]:
@@ -39,35 +42,38 @@ class _Cycle(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("cycle", _STATE)
 
-    def _row(self, key: int, step: int, outcome: str, failures: int, at: int) -> tuple:
-        return key, STEPS[step], outcome, failures, pd.Timestamp(at, unit="ms")
-
-    def _wait(self, step: int, now: int) -> None:
-        for t in list(self.handle.listTimers()):
+    def _wait(self, step: int, since: int, known: bool) -> None:
+        """Replaces the submission's timer, if it has one; those in store are asked for only if it was known before."""
+        for t in list(self.handle.listTimers()) if known else ():
             self.handle.deleteTimer(t if isinstance(t, int) else t[0])
         if 0 < step < len(STEPS) - 1:
-            self.handle.registerTimer(now + self.limit)
+            self.handle.registerTimer(since + self.limit)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        step, failures, message, since = self.state.get() if self.state.exists() else (0, 0, None, None)
-        events = pd.concat(list(rows))
+        # each call of the state or of a timer is a message to the JVM, so there are a few for a key and none for an event
+        before = self.state.get()
+        step, failures, message, since = before or (0, 0, None, None)
+        events = list(rows)
+        kinds, messages = ([v for e in events for v in e[c].tolist()] for c in ("kind", "message"))
+        times = np.concatenate([e["ts"].to_numpy("datetime64[us]") for e in events])
         # events of one batch in their own order, whatever order they arrive in
-        rank = events["kind"].map({k: i for i, k in enumerate(("submitted", "processed", "failed", "graded"))}).fillna(9)
-        events = events.assign(__rank=rank).sort_values(["ts", "__rank"], kind="stable")
-        out = []
-        for e in events.itertuples(index=False):
-            at = int(pd.Timestamp(e.ts).timestamp() * 1000)
-            step, failures, outcome = follow(step, failures, e.kind)
+        order = np.lexsort(([ORDER.get(k, len(ORDER)) for k in kinds], times))
+        times, moved, told = times[order], False, []
+        for i, at in zip(order.tolist(), (times.astype(np.int64) // 1000).tolist(), strict=True):
+            step, failures, outcome = follow(step, failures, kinds[i])
             if outcome != "ignored":
-                since, message = at, e.message if outcome == "failed" else None
-                self._wait(step, at)
-            out.append(self._row(key[0], step, outcome, failures, at))
+                since, message, moved = at, messages[i] if outcome == "failed" else None, True
+            told.append((STEPS[step], outcome, failures))
+        if moved:
+            self._wait(step, since, before is not None)
         self.state.update((step, failures, message, since))
-        yield pd.DataFrame(out, columns=["submission_id", "status", "outcome", "failures", "ts"])
+        status, outcome, counts = zip(*told, strict=True)
+        yield pd.DataFrame({"submission_id": key[0], "status": status, "outcome": outcome, "failures": counts, "ts": times})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         step, failures, _, _ = self.state.get()
-        yield pd.DataFrame([self._row(key[0], step, "stale", failures, expiredTimerInfo.getExpiryTimeInMs())], columns=["submission_id", "status", "outcome", "failures", "ts"])
+        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        yield pd.DataFrame([(key[0], STEPS[step], "stale", failures, at)], columns=["submission_id", "status", "outcome", "failures", "ts"])
 
     def close(self) -> None:
         pass

@@ -96,3 +96,38 @@ def test_windows_sessions_and_late_rows(spark, tmp_path):
     assert {("09:30", 3), ("10:00", 3), ("11:00", 1), ("11:30", 1), ("17:30", 2), ("18:00", 2)} <= slide and ("09:30", 4) not in slide
     once = W.run_available(W.enqueue_once(src.where("user_id < 3"), "user_id", "1 hour"), "once3", "append", str(tmp_path / "c3"))
     assert sorted(r.user_id for r in once.collect()) == [1, 2]
+
+
+class _Handle:
+    """Counts what a processor asks of its state and timers."""
+
+    def __init__(self):
+        self.kept, self.timers, self.calls = None, set(), 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "getValueState": lambda *_: self, "exists": lambda: self.kept is not None, "get": lambda: self.kept, "update": lambda v: setattr(self, "kept", v),
+            "listTimers": lambda: [(t,) for t in self.timers], "deleteTimer": self.timers.discard, "registerTimer": self.timers.add,
+        }[name]
+
+
+def test_a_key_of_many_events_asks_for_its_state_and_timer_once():
+    import pandas as pd
+
+    def batch(*kinds, start):
+        ts = pd.Timestamp(start) + pd.to_timedelta(range(len(kinds)), unit="us")
+        return pd.DataFrame({"kind": kinds, "message": "m", "ts": ts}).sample(frac=1, random_state=1)
+
+    h, cycle = _Handle(), C._Cycle(1000)
+    cycle.init(h)
+    h.calls = 0
+    got = pd.concat(cycle.handleInputRows((5,), iter([batch("submitted", *["processed", "failed"] * 200, start="2024-01-01 10:00:00")]), None))
+    at = pd.Timestamp("2024-01-01 10:00:00").value // 10**6
+    assert len(got) == 401 and list(got["failures"])[-1] == 200 and h.kept == (1, 200, "m", at) and h.timers == {at + 1000} and h.calls <= 5
+    # times aren't cut to milliseconds, so the last of several events of one is the last
+    assert got["ts"].is_unique and got["ts"].is_monotonic_increasing and list(got.columns) == ["submission_id", "status", "outcome", "failures", "ts"]
+    later = pd.concat(cycle.handleInputRows((5,), iter([batch("odd", start="2024-01-01 10:00:02"), batch("processed", start="2024-01-01 10:00:03")]), None))
+    assert list(later["outcome"]) == ["ignored", "moved"] and h.timers == {at + 4000} and h.kept == (2, 200, None, at + 3000)
+    list(cycle.handleInputRows((5,), iter([batch("graded", start="2024-01-01 10:00:04")]), None))
+    assert h.timers == set() and h.kept[0] == 3
