@@ -74,18 +74,35 @@ def flag_report(exams: DataFrame, stats: DataFrame) -> DataFrame:
     return with_rounded(stats.join(e, "exam_id"), {"precision": 4, "recall": 4})
 
 
+CELLS = ("ai_score", "teacher_score", "groq_confidence", "omr_confidence", "cer", "wer", "status")
+
+
 def grade_sheet(students: DataFrame, submissions: DataFrame, questions: DataFrame, answers: DataFrame) -> DataFrame:
     """The exported sheet: a row for each submission and question of its exam, answered or not, with exam_id, submission_id
     and question_id before the sheet's columns. Of several answers the last counts; an unknown student is named by its
     key; the status is the answer's."""
-    cells = ("ai_score", "teacher_score", "groq_confidence", "omr_confidence", "cer", "wer", "status")
-    last = answers.where("question_id is not null").groupBy("submission_id", "question_id").agg(F.max_by(F.struct(*cells), "id").alias("a"))
+    return sheet_rows(sheet_submissions(students, submissions, answers), questions)
+
+
+def sheet_submissions(students: DataFrame, submissions: DataFrame, answers: DataFrame) -> DataFrame:
+    """What the sheet is made of, a row for each submission: (exam_id, submission_id, student_id, student_name, answers),
+    the last answer to each question in a list. Answers meet by submission_id alone, so those that lie by it don't move."""
+    last = answers.where("question_id is not null").groupBy("submission_id", "question_id").agg(F.max_by(F.struct(*CELLS), "id").alias("a"))
+    last = last.groupBy("submission_id").agg(F.collect_list(F.struct("question_id", "a.*")).alias("answers"))
     s = submissions.select(F.col("id").alias("submission_id"), "exam_id", F.col("student_id").alias("sid")).join(students.select(F.col("id").alias("sid"), "student_id", "full_name"), "sid", "left")
-    q = questions.select(F.col("id").alias("question_id"), "exam_id", "order_index", F.substring("prompt", 1, SHEET_PROMPT).alias("question_prompt"), "question_type", "max_points")
-    out = s.join(q, "exam_id").join(last, ["submission_id", "question_id"], "left")
     known = F.col("student_id").isNotNull()
+    return s.join(last, "submission_id", "left").select(
+        "exam_id", "submission_id", F.coalesce("student_id", F.col("sid").cast("string")).alias("student_id"), F.when(known, F.col("full_name")).otherwise(UNKNOWN_NAME).alias("student_name"), "answers",
+    )
+
+
+def sheet_rows(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """The sheet's rows from those of sheet_submissions(), where these lie: the questions, a few for each exam, are sent
+    to all tasks."""
+    q = questions.select(F.col("id").alias("question_id"), "exam_id", "order_index", F.substring("prompt", 1, SHEET_PROMPT).alias("question_prompt"), "question_type", "max_points")
+    out = rows.join(F.broadcast(q), "exam_id").withColumn("a", F.get(F.filter("answers", lambda x: x["question_id"] == F.col("question_id")), F.lit(0)))
     return out.select(
-        "exam_id", "submission_id", "question_id", F.coalesce("student_id", F.col("sid").cast("string")).alias("student_id"), F.when(known, F.col("full_name")).otherwise(UNKNOWN_NAME).alias("student_name"),
-        F.col("order_index").alias("question_order"), "question_prompt", "question_type", "max_points", *[F.col(f"a.{c}").alias(c) for c in cells[:2]], S.final_score("a.teacher_score", "a.ai_score").alias("final_score"),
-        *[F.col(f"a.{c}").alias(c) for c in cells[2:-1]], F.when(F.col("a").isNull(), "not_submitted").otherwise(F.col("a.status")).alias("status"),
+        "exam_id", "submission_id", "question_id", "student_id", "student_name",
+        F.col("order_index").alias("question_order"), "question_prompt", "question_type", "max_points", *[F.col(f"a.{c}").alias(c) for c in CELLS[:2]], S.final_score("a.teacher_score", "a.ai_score").alias("final_score"),
+        *[F.col(f"a.{c}").alias(c) for c in CELLS[2:-1]], F.when(F.col("a").isNull(), "not_submitted").otherwise(F.col("a.status")).alias("status"),
     )

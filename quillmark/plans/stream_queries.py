@@ -23,6 +23,10 @@ told as (select submission_id, list_reduce(list({{'step': 0, 'failures': 0, 'ign
 _CYCLE_SQL = "select submission_id, ['draft', 'submitted', 'ocr_done', 'graded'][e.step + 1] as status, e.failures, n as n_events, cast(e.ignored as bigint) as n_ignored from told"
 
 
+#: Submissions that one task writes to sheets, about: what it sorts, and the files that others read, stay small.
+SUBMISSIONS = 50_000
+
+
 def _events(df: DataFrame) -> DataFrame:
     return df.select(F.col("user_id").alias("submission_id"), F.expr(_KINDS), F.lit("").alias("message"), F.col("ts").cast("timestamp").alias("ts"))
 
@@ -66,9 +70,13 @@ def queue_counts(m):
 def grade_sheet_files(m):
     """Writes the sheets of all exams, one folder for each, twice, and reads them back."""
     folder = sinks.shared_folder(m.spark, "sheets")
-    sheet = R.grade_sheet(m.students, m.submissions, m.full("questions"), m.full("answers"))
+    # computed once, a row for each submission; only such rows move before each writing
+    questions = sinks.staged(m.full("questions"), "sheet-questions")
+    m.deal("lineitem", "l_orderkey")
+    rows = sinks.staged(R.sheet_submissions(m.students, m.submissions, m.full("answers")), "sheet-rows")
+    parts = max(int(m.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SUBMISSIONS))
     for _ in range(2):
-        files.write_sheets(sheet, folder)
+        files.write_sheets(rows, folder, lambda rows: R.sheet_rows(rows, questions), parts)
     back = files.read_csv(m.spark, folder, files.GRADE_SHEET[:1])
     number = lambda c: F.nullif(F.col(c), F.lit("")).cast("double").alias(c)
     return back.select(F.col("exam_id").cast("int").alias("exam_id"), "student_id", "student_name", F.col("question_order").cast("int").alias("question_order"), "question_prompt", "question_type", number("max_points"), number("final_score"), number("cer"), "status")

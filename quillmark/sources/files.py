@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,12 +68,17 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     out.withColumnRenamed(df.columns[0], MARK + df.columns[0]).write.option("header", True).option("escape", '"').option("emptyValue", "").options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
-def write_sheets(sheet: DataFrame, path: str) -> None:
+def write_sheets(sheet: DataFrame, path: str, whole: Callable[[DataFrame], DataFrame] | None = None, parts: int | None = None) -> None:
     """The sheets of all exams as CSV files, a folder for each exam; exam_id is told by the folder and by a last column.
-    Folders are replaced, so a sheet that is written again is there once; rows stand by student and question."""
-    out = grade_sheet_columns(sheet).columns
-    cells = sheet.select(F.col("exam_id").alias("exam"), *grade_sheet_cells(sheet), F.col("exam_id").cast("string").alias("exam_id"))
-    cells = cells.repartitionByRange("exam", "student_id").sortWithinPartitions("exam", "student_id", F.col("question_order").cast("int"))
+    Folders are replaced, so a sheet that is written again is there once; rows stand by student and question.
+
+    With `whole`, `sheet` holds fewer and shorter rows with exam_id and student_id (a submission's, say), which are dealt
+    to tasks, and whole(rows) makes the sheet's rows of them where they lie; `parts` is then how many tasks there are."""
+    dealt = sheet.repartitionByRange(*([parts] if parts else []), "exam_id", "student_id")
+    rows = whole(dealt) if whole else dealt
+    out = grade_sheet_columns(rows).columns
+    cells = rows.select(F.col("exam_id").alias("exam"), *grade_sheet_cells(rows), F.col("exam_id").cast("string").alias("exam_id"))
+    cells = cells.sortWithinPartitions("exam", "student_id", F.col("question_order").cast("int"))
     cells.withColumnRenamed(out[0], MARK + out[0]).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).option("partitionOverwriteMode", "dynamic").partitionBy("exam").csv(path)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillmark.operators.numbering import LOCAL_CHECKPOINTS
 
@@ -16,6 +15,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df computed once into a table in the shared folder."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_batch(df: DataFrame, path: str, batch: int) -> None:
     """df as the partition `batch` of a Parquet table: only that partition is replaced, so a batch that is written again
     after a failure leaves its rows once. An empty batch clears its partition."""

@@ -109,3 +109,35 @@ def test_sheet_of_unknown_students_and_unanswered_questions(spark):
     answers = spark.createDataFrame(answers, "id int, submission_id int, question_id int, ai_score double, teacher_score double, groq_confidence double, omr_confidence double, cer double, wer double, status string")
     got = rows(R.grade_sheet(students, submissions, questions, answers).orderBy("submission_id", "question_order"), "student_id", "student_name", "question_prompt", "ai_score", "final_score", "status")
     assert got == [("s1", None, "x" * 80, None, None, "needs_review"), ("s1", None, None, None, None, "not_submitted"), ("77", "Unknown", "x" * 80, None, None, "not_submitted"), ("77", "Unknown", None, None, None, "not_submitted")]
+
+
+def test_sheets_are_made_of_submissions_where_these_lie(spark, tmp_path):
+    from quillmark.operators import reports as R
+    from quillmark.plans.views import Model
+    from quillmark.sources import files
+
+    m = Model(spark, "/root/testdata/sf0.001")
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(m.full("answers")) == joins(m.answers)  # an answer's details come from its own row
+    questions = m.full("questions")
+    m = Model(spark, m.dir)
+    m.deal("lineitem", "l_orderkey")
+    own = R.sheet_submissions(m.students, m.submissions, m.full("answers"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where tables are large
+    try:
+        plan = own.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("l_orderkey" in line for line in moved) == 1 and not any("l_linenumber" in line or "question_id" in line for line in moved)
+    whole = R.sheet_rows(own, questions)
+    folder = str(tmp_path / "sheets")
+    for _ in range(2):
+        files.write_sheets(own, folder, lambda rows: R.sheet_rows(rows, questions), 5)
+    back = files.read_csv(spark, folder, files.GRADE_SHEET[:1])
+    key = lambda df: sorted((r.exam_id, r.student_id, int(r.question_order), r.status, r.final_score) for r in df.collect())
+    want = whole.selectExpr("cast(exam_id as string) as exam_id", "student_id", "question_order", "status", "coalesce(cast(final_score as string), '') as final_score")
+    assert key(back) == key(want) and back.count() > 100
+    for f in (tmp_path / "sheets").rglob("*.csv"):
+        at = [(line.split(",")[0], int(line.split(",")[2])) for line in f.read_text().splitlines()[1:]]
+        assert at == sorted(at)
